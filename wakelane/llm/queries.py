@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wakelane.llm import bpe, chat, langid, packing, token_output, topk, warc
+from wakelane.llm import bpe, chat, langid, licenses, neardup, packing, quality, token_output, topk, warc
 from wakelane.llm.common import table
 
 CHAT_PROBE = "</s>[INST] ok [/INST]"
 
 
+def op1_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,6 +47,17 @@ def op5_warc(spark, sf_dir):
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, chain).drop("text")
+
+
+def op7_licenses(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.learn(spark, docs))
+
+
 def op8_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -58,7 +73,7 @@ def op10_packing(spark, sf_dir):
     return packing.with_crc(packed).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_chat, op4_language, op5_warc, op8_top_k, op9_token_output, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_chat, op4_language, op5_warc, op6_quality, op7_licenses, op8_top_k, op9_token_output, op10_packing)}
 
 ORACLES = {
     "op8_top_k": """

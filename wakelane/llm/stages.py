@@ -1,22 +1,39 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame, each one operator's decision."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame, each one operator's decision.
+
+All but the last return the columns of documents. Models are learnt from the
+tables in sf_dir, decisions are taken on all rows of docs.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from wakelane.llm import langid, neardup
 from wakelane.llm import packing as pack
+from wakelane.llm import quality as rules
+from wakelane.llm.common import table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark, docs, sf_dir):
-    raise NotImplementedError
+    """Documents that the base rules and the line labelling keep."""
+    chain = rules.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rules.judge(docs.select(*COLUMNS), chain).where("kept").select(*COLUMNS)
 
 
 def language(spark, docs, sf_dir):
-    raise NotImplementedError
+    """Documents whose language is one of the learnt ones, by a clear lead."""
+    known = table(spark, sf_dir, "documents").where(~langid.held_out(F.col("doc_id")))
+    return langid.identify(docs.select(*COLUMNS), langid.learn(known)).where(~F.col("lang_rejected")).select(*COLUMNS)
 
 
 def near_dedup(spark, docs, sf_dir):
-    raise NotImplementedError
+    """The document with the smallest id of each near-duplicate class; documents without an id stay."""
+    docs = docs.select(*COLUMNS)
+    gone = neardup.near_duplicates(docs).where("class_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def packing(spark, docs, sf_dir):
