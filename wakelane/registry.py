@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-#: name -> (spark, sf_dir) -> DataFrame, and name -> SQL for the same rows.
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+#: Modules of wakelane.plans, each with QUERIES (name -> (spark, sf_dir) -> DataFrame) and ORACLES (name -> SQL).
+PLANS = ("signals",)
 FLAGSHIP = "c12_time_freq_features"
+
+QUERIES, ORACLES = {}, {}
+for _plan in PLANS:
+    _module = import_module(f"wakelane.plans.{_plan}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
