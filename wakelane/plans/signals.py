@@ -251,7 +251,7 @@ ORACLES = {
     "c18_tumbling_mean": f"WITH {SIG}, {_TUM} SELECT user_id, bucket, {r('x')} AS x FROM tm",
     "c19_perclos_physio": f"WITH {SIG}, {_PER}, {_TUM} SELECT user_id, bucket, {r('perclos')} AS perclos, {r('x')} AS x FROM pc JOIN tm USING (user_id, bucket)",
     "c20_pupil_average": f"WITH {SIG}, n AS (SELECT user_id, count(*) AS n, greatest(1, CAST(floor(172800.0 * count(*) / (max(t) - min(t))) AS BIGINT)) AS s FROM sig GROUP BY 1 HAVING max(t) > min(t)) SELECT user_id, idx // s AS block, {r('avg(x)')} AS x FROM sig JOIN n USING (user_id) WHERE (idx // s + 1) * s <= n GROUP BY 1, 2",
-    "c21_segment": f"WITH {SIG}, n AS (SELECT user_id, count(*) AS n FROM sig GROUP BY 1) SELECT user_id, idx // 20 AS segment, list_concat(list_transform(range(greatest(0, 20 - count(*))), i -> 0.0::DOUBLE), list(x ORDER BY idx)) AS values, max_by(event_type, idx) AS label FROM sig JOIN n USING (user_id) WHERE (idx // 20 + 1) * 20 <= n OR n < 20 GROUP BY 1, 2",
+    "c21_segment": f"WITH {SIG}, n AS (SELECT user_id, count(*) AS n FROM sig GROUP BY 1) SELECT user_id, idx // 20 AS segment, list_concat(list_transform(range(greatest(0, 20 - count(*))), lambda i: 0.0::DOUBLE), list(x ORDER BY idx)) AS values, max_by(event_type, idx) AS label FROM sig JOIN n USING (user_id) WHERE (idx // 20 + 1) * 20 <= n OR n < 20 GROUP BY 1, 2",
     "c22_session_summary": f"WITH {SIG} SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS positives, {r('count(*) FILTER (event_type = $$error$$) / count(*)', 4)} AS ratio, {r('max(t) - min(t)', 4)} AS duration, {r('100 * (min(t) FILTER (event_type = $$error$$) - min(t)) / nullif(max(t) - min(t), 0)', 4)} AS first_pct, {r('100 * (max(t) FILTER (event_type = $$error$$) - min(t)) / nullif(max(t) - min(t), 0)', 4)} AS last_pct FROM sig GROUP BY 1",
     "c22_session_bins": f"WITH {SIG}, s AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM sig GROUP BY 1) SELECT user_id, CAST(least(floor((t - t0) / nullif(t1 - t0, 0) * 20), 19) AS BIGINT) AS bin, count(*) AS n, {r('avg(CAST(event_type = $$error$$ AS INTEGER))', 4)} AS rate FROM sig JOIN s USING (user_id) GROUP BY 1, 2",
     "d1_asof_nearest": f"WITH {SIG}, j AS (SELECT a.event_id, a.user_id, b.x, b.event_id AS other, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.t - b.t), b.t) AS k FROM sig a LEFT JOIN sig b ON a.user_id = b.user_id AND b.event_type = 'click' WHERE a.event_type = 'purchase') SELECT event_id, user_id, x, other FROM j WHERE k = 1",
