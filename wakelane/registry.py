@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of wakelane.plans, each with QUERIES (name -> (spark, sf_dir) -> DataFrame) and ORACLES (name -> SQL).
-PLANS = ("signals", "tables", "learning")
+PLANS = ("signals", "tables", "learning", "statistics", "domains", "models")
 FLAGSHIP = "c12_time_freq_features"
 
 QUERIES, ORACLES = {}, {}
