@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -75,15 +77,36 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_chat, op4_language, op5_warc, op6_quality, op7_licenses, op8_top_k, op9_token_output, op10_packing)}
 
+_PLAIN = "|".join(re.escape(c) for c in chat.CONTROLS)
+#: Characters that escaping adds: one per backslash and one per control string.
+_ADDED = lambda c: f"length({c}) - length(replace({c}, '\\', '')) + len(regexp_extract_all({c}, '{_PLAIN}'))"
 ORACLES = {
+    "op3_chat": f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CHAT_PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{CHAT_PROBE}'
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+    sum({len(chat.TURN) + len(chat.TEXT) + len(chat.END)} + length(role) + {_ADDED("role")} + length(text) + {_ADDED("text")}) AS formatted
+  FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM g""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND best <> page_id THEN best END AS refers_to
+FROM m""",
     "op8_top_k": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
   WHERE q.vec_id % 100 = 0
 )
