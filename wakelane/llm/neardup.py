@@ -2,8 +2,8 @@
 
 Texts with one word sequence form one class by their key, so copies are never
 compared. The smallest id of each key goes on: bands of its signature give
-buckets, buckets with the same members are taken once, and inside a bucket two
-rounds propose pairs. The first pairs each member with a leader, the member
+buckets, buckets with the same members are taken once, and each bucket has two rounds.
+The first pairs each member with a leader, the member
 nearest to the bucket's common signature, which ties large groups together
 without all their pairs. The second proposes every pair of a bucket that is not
 in one component yet, so that no link is lost. Proposals whose signatures or
@@ -30,6 +30,9 @@ REGISTERS, BANDS, ROWS = 128, 20, 4
 LEAST_AGREEING = int(REGISTERS * THRESHOLD - 5 * (REGISTERS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 #: Members of a cell; a larger bucket has several.
 CELL = 4096
+#: Shingles of a cell, and list entries added up at once, in the exact round.
+CELL_SHINGLES = 2_000_000
+POSTINGS = 4_000_000
 #: Texts verified against one copy of a leader's text.
 CHUNK = 64
 
@@ -78,17 +81,49 @@ def leader_pairs(ids: np.ndarray, sig: np.ndarray, n: np.ndarray) -> list[tuple[
     return out
 
 
-def cross_pairs(ids, sig, n, part, component, i: int, j: int) -> list[tuple[int, int]]:
-    """Pairs of different components, one of part i and one of part j, that may be alike."""
+def _minor(component: np.ndarray) -> np.ndarray:
+    """Members outside the most frequent component."""
+    names, of, size = np.unique(component, return_inverse=True, return_counts=True)
+    return of != size.argmax()
+
+
+def candidates(ids, sig, n, component) -> np.ndarray:
+    """Which members of a cell may be like a member of another component; linear in members."""
+    out = np.zeros(len(ids), bool)
+    for k in np.flatnonzero(_minor(component)):
+        like = _alike(sig, n, sig[k], n[k]) & (component != component[k])
+        if like.any():
+            out |= like
+            out[k] = True
+    return out
+
+
+def exact_links(ids, component, doc, shingle, count) -> list[tuple[int, int]]:
+    """Pairs of different components in a cell whose multisets overlap by THRESHOLD or more.
+
+    Members' shingles are inverted once; each member outside the largest
+    component adds up its overlap with all others over the lists of its own.
+    """
+    k = len(ids)
+    total = np.bincount(doc, weights=count, minlength=k)
+    _, name = np.unique(shingle, return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    owner, weight = doc[order], count[order]
+    begin = np.searchsorted(name[order], np.arange(name.max() + 2 if len(name) else 1))
+    edge = np.searchsorted(doc, np.arange(k + 1))
     out = []
-    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    for k in left:
-        some = right[component[right] != component[k]]
-        if i == j:
-            some = some[ids[some] > ids[k]]
-        if len(some):
-            hit = some[_alike(sig[some], n[some], sig[k], n[k])]
-            out += [(int(ids[k]), int(ids[x])) for x in hit]
+    for x in np.flatnonzero(_minor(component)):
+        mine, times = name[edge[x] : edge[x + 1]], count[edge[x] : edge[x + 1]]
+        common = np.zeros(k)
+        lengths = begin[mine + 1] - begin[mine]
+        step = np.cumsum(lengths) // POSTINGS
+        for part in np.unique(step):
+            some = np.flatnonzero(step == part)
+            size = lengths[some]
+            at = np.repeat(begin[mine[some]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            common += np.bincount(owner[at], weights=np.minimum(weight[at], np.repeat(times[some], size)), minlength=k)
+        hit = (common >= THRESHOLD * (total + total[x] - common)) & (component != component[x]) & (common > 0)
+        out += [(int(ids[x]), int(ids[y])) for y in np.flatnonzero(hit)]
     return out
 
 
@@ -139,9 +174,54 @@ def _first_round(key, values):
     return leader_pairs(ids, _matrix(sig), n)
 
 
-def _second_round(key, values):
-    part, component, ids, n, sig = values
-    return cross_pairs(ids, _matrix(sig), n, part, component, key[1], key[2])
+def linked(cells: DataFrame) -> DataFrame:
+    """a, b: exact links across components in cells of (bucket, i, j, id, component, text)."""
+
+    def run(batches):
+        key, ids, component, parts = None, [], [], []
+
+        def done():
+            doc = np.concatenate([np.full(len(h), k) for k, (h, _) in enumerate(parts)] or [np.zeros(0, np.int64)])
+            shingle = np.concatenate([h for h, _ in parts])
+            count = np.concatenate([c for _, c in parts])
+            return exact_links(np.array(ids), np.array(component), doc, shingle, count)
+
+        def out(pairs):
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+        for batch in batches:
+            doc, shingle, count, _ = batch_shingles(batch.column(5))
+            edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            head = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
+            for r, (bucket, i, j, name, comp) in enumerate(head):
+                if (bucket, i, j) != key:
+                    if parts:
+                        yield out(done())
+                    key, ids, component, parts = (bucket, i, j), [], [], []
+                ids.append(name)
+                component.append(comp)
+                parts.append((shingle[edge[r] : edge[r + 1]], count[edge[r] : edge[r + 1]]))
+        if parts:
+            yield out(done())
+
+    by = ["bucket", "i", "j"]
+    rows = cells.select(*by, "id", "component", "text").repartition(*by).sortWithinPartitions(*by, "id")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def flagged(cells: DataFrame) -> DataFrame:
+    """bucket, i, j, id, component of the members of each cell that candidates() keeps."""
+    by = ["bucket", "i", "j"]
+
+    def run(batches):
+        for key, (component, ids, n, sig) in _cells(batches, 3):
+            keep = candidates(ids, _matrix(sig), n, component)
+            if keep.any():
+                size = int(keep.sum())
+                yield pa.RecordBatch.from_pydict({**{c: pa.array(np.full(size, v)) for c, v in zip(by, key)}, "id": pa.array(ids[keep]), "component": pa.array(component[keep])})
+
+    rows = cells.select(*by, "component", "id", "n", "sig").repartition(*by).sortWithinPartitions(*by, "id")
+    return rows.mapInArrow(run, "bucket long, i long, j long, id long, component long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -213,11 +293,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = classes.where("first IS NOT NULL").select(F.col("first").alias("doc_id"))
     reps = written(worded.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "bands", "sig").dropDuplicates(["id"]), "representatives")
 
-    places = reps.select("id", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "id")
-    filled = places.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
-    once = filled.groupBy("size", "members").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("size") / CELL).alias("parts"))
-    members = written(places.join(once, "bucket").join(reps.select("id", "n", "sig"), "id").select("bucket", F.pmod(F.xxhash64("id"), "parts").cast("long").alias("part"), "parts", "id", "n", "sig"), "members")
-    texts = written(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    places = reps.select("id", "n", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "id", "n")
+    filled = places.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("members"), F.sum("n").alias("shingles")).where("size > 1")
+    once = filled.groupBy("size", "members").agg(F.min_by(F.struct("bucket", "shingles"), "bucket").alias("b")).select("b.bucket", F.greatest(F.ceil(F.col("size") / CELL), F.ceil(F.col("b.shingles") / CELL_SHINGLES)).alias("parts"))
+    members = written(places.drop("n").join(once, "bucket").join(reps.select("id", "n", "sig"), "id").select("bucket", F.pmod(F.xxhash64("id"), "parts").cast("long").alias("part"), "parts", "id", "n", "sig"), "members")
+    # The ids grow with the corpus, so they are never sent to every task.
+    texts = written(docs.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
 
     first = written(_propose(members.select("bucket", "part", "id", "n", "sig"), 2, _first_round), "pairs")
     edges = written(verified(first, texts), "links")
@@ -227,10 +308,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     split = named.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("bucket")
     every = lambda a, b: F.explode(F.sequence(a, b))
     own = named.join(split, "bucket").withColumn("other", every(F.lit(0).cast("long"), F.col("parts") - 1))
-    crossed = own.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "component", "id", "n", "sig")
-    second = _propose(crossed, 3, _second_round)
-    fresh = written(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(fresh, texts), "links")
+    crossed = own.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "component", "id", "n", "sig")
+    open_ = flagged(crossed).join(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id")
+    more = written(linked(open_), "links")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
 
