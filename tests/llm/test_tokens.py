@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -56,9 +57,13 @@ def test_merge_takes_the_lowest_rank_then_the_leftmost():
 def test_chunk_encoder_is_the_library(name):
     t = Tokenizer.from_file(P.path(name))
     t.encode_special_tokens = True
-    texts = [x or "" for x in odd_texts(2000)]
-    for x, got in zip(texts, encoder(P.path(name)).encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    texts = odd_texts(2000)
+    for end in (None, 7):
+        offsets, ids = encoder(P.path(name)).encode(pa.array(texts, pa.string()), end)
+        for i, x in enumerate(texts):
+            want = t.encode(x or "", add_special_tokens=False).ids + ([] if end is None else [end])
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == want, x
+    assert encoder(P.path(name)).encode(pa.array([], pa.string()))[0].tolist() == [0]
 
 
 def test_token_files(spark):

@@ -11,92 +11,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakelane.llm.chunks import ChunkEncoder
-from wakelane.llm.common import list_slices, map_arrow, tuned
+from wakelane.llm.chunks import ChunkEncoder, id_lists
+from wakelane.llm.common import gathered, list_slices, map_arrow, tuned
 
-#: Ranks of one leaf word of the bitmap.
-WORD = 256
-
-
-class RankQueue:
-    """Positions of mergeable pairs by rank: one bucket per rank, found by find-first-set.
-
-    A leaf bitmap word tells which of WORD ranks have positions, and the top
-    word tells which leaf words are not zero. Entries are never removed when a
-    merge outdates them; whoever pops one checks it against the current pair.
-    """
-
-    def __init__(self):
-        self.top = 0
-        self.leaves: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word, bit = divmod(rank, WORD)
-            self.leaves[word] = self.leaves.get(word, 0) | 1 << bit
-            self.top |= 1 << word
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        """Lowest rank, leftmost position."""
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        leaf = self.leaves[word]
-        bit = (leaf & -leaf).bit_length() - 1
-        rank = word * WORD + bit
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            leaf &= leaf - 1
-            if leaf:
-                self.leaves[word] = leaf
-            else:
-                del self.leaves[word]
-                self.top &= self.top - 1
-        return rank, position
+#: A leaf word of the bitmap covers 2**LEAF_BITS ranks.
+LEAF_BITS = 8
+_LOW = (1 << LEAF_BITS) - 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token; O(n log n) in its length."""
+    """Ids of one pre-token, in O(n log n) of its length.
+
+    The queue of mergeable pairs has one bucket per rank with the positions of
+    its pairs in a linked list of symbols. A two-level bitmap tells which
+    buckets have entries: find-first-set in the top word gives the leaf word,
+    and in the leaf word the lowest rank; within a bucket the leftmost position
+    comes first. A merge leaves the entries it outdates where they are; whoever
+    takes one compares it with the rank of the pair that now starts there.
+    """
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    n = len(piece)
-    after = list(range(1, n + 1))  # where the symbol at i ends; the linked list's next
-    before = list(range(-1, n - 1))
-    current: list[int | None] = [None] * n  # rank of the pair that starts at i
-    queue = RankQueue()
+    n, rank_of = len(piece), ranks.get
+    after = list(range(1, n + 1))  # where the symbol at i ends: the list's next
+    before = list(range(-1, n))  # and its previous
+    current: list[int] = [-1] * (n + 1)  # rank of the pair that starts at i
+    top, leaves, buckets = 0, {}, {}
+
+    def push(rank: int, i: int) -> None:
+        nonlocal top
+        current[i] = rank
+        if rank in buckets:
+            heapq.heappush(buckets[rank], i)
+            return
+        buckets[rank] = [i]
+        word = rank >> LEAF_BITS
+        leaf = leaves.get(word, 0)
+        leaves[word] = leaf | 1 << (rank & _LOW)
+        if not leaf:
+            top |= 1 << word
+
     for i in range(n - 1):
-        if (r := ranks.get(piece[i : i + 2])) is not None:
-            current[i] = r
-            queue.push(r, i)
-    while (best := queue.pop()) is not None:
-        rank, i = best
+        if (r := rank_of(piece[i : i + 2])) is not None:
+            push(r, i)
+    while top:
+        word = (top & -top).bit_length() - 1
+        leaf = leaves[word]
+        bit = leaf & -leaf
+        rank = (word << LEAF_BITS) + bit.bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heapq.heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            leaves[word] = leaf = leaf ^ bit
+            if not leaf:
+                top ^= 1 << word
         if current[i] != rank:
             continue  # stale
         gone = after[i]
         end = after[i] = after[gone]
-        current[gone] = None
+        current[gone] = current[i] = -1
         if end < n:
             before[end] = i
-            current[i] = r = ranks.get(piece[i : after[end]])
-            if r is not None:
-                queue.push(r, i)
-        else:
-            current[i] = None
+            if (r := rank_of(piece[i : after[end]])) is not None:
+                push(r, i)
         if (p := before[i]) >= 0:
-            current[p] = r = ranks.get(piece[p:end])
-            if r is not None:
-                queue.push(r, p)
+            current[p] = -1
+            if (r := rank_of(piece[p:end])) is not None:
+                push(r, p)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        out.append(ranks[piece[i:end]])
+        i = end
     return out
 
 
@@ -136,14 +124,12 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
     base = df.drop(ids_col)
     at = base.columns.index(text_col)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = encoder(ranks_path, pattern).encode([t or "" for t in batch.column(at).to_pylist()])
-        offsets = np.zeros(len(found) + 1, np.int32)
-        np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
-        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*batch.schema.names, ids_col])
+    def run(batches):
+        for batch in gathered(batches):
+            offsets, ids = encoder(ranks_path, pattern).encode(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, id_lists(offsets, ids)], names=[*batch.schema.names, ids_col])
 
-    return map_arrow(base, run, base.withColumn(ids_col, F.lit(None).cast("array<int>")).schema)
+    return base.mapInArrow(run, base.withColumn(ids_col, F.lit(None).cast("array<int>")).schema)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

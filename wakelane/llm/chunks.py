@@ -3,17 +3,25 @@
 No pre-token of the pre-tokenizers used here crosses a single space between two
 non-space characters except as its first character. So a text may be cut before
 each such space, and the ids of the text are the ids of the chunks in order.
-Corpora repeat most chunks, so a bounded memo in the Python worker answers most
-of them; texts with runs of white space are cut only where the rule holds.
+Arrow cuts a batch of texts and numbers its distinct chunks; a bounded memo in
+the Python worker answers most of them; numpy lays out the ids. Texts with runs
+of white space are cut only where the rule holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import re
+from collections.abc import Callable, Sequence
+from itertools import compress
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks in each of the memo's two generations, and the longest chunk kept there.
-GENERATION = 250_000
+GENERATION = 200_000
 MEMO_CHARS = 48
+Ids = Sequence[bytes]
 
 
 def clean_chunks(text: str) -> list[str]:
@@ -29,58 +37,118 @@ def clean_chunks(text: str) -> list[str]:
     return out
 
 
+_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+").findall
+_CONTEXT = re.compile(r"\s\s|['’]|^\s|\s$").search
+
+
+def letter_runs(chunk: str) -> list[str] | None:
+    """Runs of letters and of ASCII signs, or None where cutting there might change ids.
+
+    An apostrophe may start a contraction and white space is taken in view of
+    what follows, unless it is single; other characters may combine.
+    """
+    if len(chunk) > MEMO_CHARS or _CONTEXT(chunk):
+        return None
+    runs = _RUNS(chunk)
+    return runs if len(runs) > 1 and all(r.isalpha() or r.isascii() for r in runs) else None
+
+
 class ChunkEncoder:
-    """encode_many maps texts to their ids as little-endian 32-bit bytes.
+    """Ids are little-endian 32-bit integers as bytes.
 
-    It gets the first chunk of a text as it is, and later ones with their space.
+    `texts` encodes any strings; `words` encodes runs of letters, each as if
+    after a space.
     """
 
-    def __init__(self, encode_many: Callable[[Sequence[str]], Iterable[bytes]]):
-        self.encode_many = encode_many
+    def __init__(self, texts: Callable[[list[str]], Ids], words: Callable[[list[str]], Ids] | None = None):
+        self.texts = texts
+        self.words = words or (lambda w: texts([" " + x for x in w]))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _bare(self, run: str) -> bytes:
+        """Ids of a run of letters or of other characters that follows no space."""
+        key = "\0" + run
+        ids = self.young.get(key) or self.old.get(key)
+        if ids is None:
+            ids = self.texts([run])[0]
+        self.young[key] = ids
+        return ids
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of space-led chunks that the young generation lacks; those not to be kept are returned."""
-        young, old = self.young, self.old
-        known = chunks & old.keys()
-        young.update({c: old[c] for c in known})
-        chunks = chunks - known
-        # A letter and a sign never share a pre-token, so a sign at the end is cut off.
-        tails = [c for c in chunks if c[-1] in ".,!" and c[-2:-1].isalpha()]
-        stems = {c[:-1] for c in tails}.difference(chunks, young)
-        known = stems & old.keys()
-        young.update({c: old[c] for c in known})
-        todo = [*chunks.difference(tails), *(stems - known)]
-        marks = self.encode_many([".", ",", "!"])
-        fresh = dict(zip(todo, self.encode_many([" " + x for x in todo]), strict=True))
-        extra = {k: fresh[k] for k in fresh if len(k) > MEMO_CHARS or k.strip() != k}
-        young.update(fresh)
-        for sign, ids in zip(".,!", marks, strict=True):
-            young.update({c: young[c[:-1]] + ids for c in tails if c[-1] == sign})
-        for k in extra:
-            del young[k]
-        return extra
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text as bytes; memory follows the batch of texts."""
+        """Ids of space-led chunks that the young generation lacks."""
+        old, young = self.old, self.young
+        found = {c: old[c] for c in chunks & old.keys()}
+        chunks = chunks - found.keys()
+        words = list(filter(str.isalpha, chunks))
+        rest = chunks.difference(words)
+        # A run of letters and a run of other characters never share a pre-token.
+        cut = {c: runs for c in rest if (runs := letter_runs(c))}
+        stems = {runs[0] for runs in cut.values() if runs[0].isalpha()}.difference(chunks, young)
+        found.update((c, old[c]) for c in stems & old.keys())
+        words += stems - found.keys()
+        others = list(rest - cut.keys()) + [" " + x for x in {runs[0] for runs in cut.values() if not runs[0].isalpha()}]
+        found.update(zip(words, self.words(words), strict=True))
+        found.update(zip(others, self.texts([" " + x if x[:1] != " " else x for x in others]), strict=True))
+        bare = self._bare
+        for c, (first, *runs) in cut.items():
+            head = (found.get(first) or young[first]) if first.isalpha() else found[" " + first]
+            found[c] = head + b"".join(map(bare, runs))
+        young.update((k, v) for k, v in found.items() if len(k) <= MEMO_CHARS and k.strip() == k and k)
+        return found
+
+    def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of a batch of texts, null as empty, each followed by end if given."""
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
-        heads, rows = [], []
-        wanted: set[str] = set()
-        for text in texts:
-            head, *rest = text.split(" ")
-            wanted.update(rest)
-            heads.append(head)
-            rows.append(rest)
-        wanted.difference_update(self.young)
-        ragged = {c for c in wanted if not c or c.strip() != c}
-        merged: set[str] = set()
-        for i, text in enumerate(texts):
-            if rows[i] and (heads[i] == "" or heads[i][-1].isspace() or ragged and not ragged.isdisjoint(rows[i])):
-                heads[i], *rows[i] = clean_chunks(text)
-                merged.update(c for c in rows[i] if c not in self.young)
-        extra = self._learn((wanted - ragged) | merged)
-        get = self.young.__getitem__ if not extra else (self.young | extra).__getitem__
-        first = self.encode_many(heads)
-        return [b"".join([h, *map(get, rest)]) for h, rest in zip(first, rows, strict=True)]
+        column = pc.fill_null(column, "")
+        parts = pc.split_pattern(column, " ")
+        first = parts.offsets.to_numpy()
+        first = first - first[0]
+        coded = parts.flatten().dictionary_encode()
+        at, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        tail = np.ones(len(at), bool)
+        tail[first[:-1]] = False
+        used = np.zeros(len(chunks), bool)
+        used[at[tail]] = True
+
+        # Chunks with white space at an end break the rule for their neighbours.
+        ragged = np.fromiter((not c or c.strip() != c for c in chunks), bool, len(chunks))
+        heads = [chunks[i] for i in at[first[:-1]]]
+        alone = np.diff(first) == 1
+        odd = np.add.reduceat(ragged[at] & tail, first[:-1]) > 0 if len(heads) else np.zeros(0, bool)
+        odd |= ~alone & np.fromiter((not h or h[-1].isspace() for h in heads), bool, len(heads))
+        whole = {int(i): clean_chunks(column[int(i)].as_py()) for i in np.flatnonzero(odd)}
+        used &= ~ragged
+        table = [*map(self.young.get, compress(chunks, used))]
+        wanted = {c for c, x in zip(compress(chunks, used), table) if x is None}
+        wanted.update(c for w in whole.values() for c in w[1:] if c not in self.young)
+        known = self._learn(wanted) if wanted else {}
+        table = [known[c] if x is None else x for c, x in zip(compress(chunks, used), table)]
+
+        place = np.cumsum(used) - 1
+        entry = place[at]
+        for i, w in whole.items():
+            heads[i] = w[0]
+        starts = self.texts(heads)
+        get = lambda c: known.get(c) or self.young[c]
+        starts = [s + b"".join(map(get, whole[i][1:])) if i in whole else s for i, s in enumerate(starts)]
+        n = len(table)
+        entry[first[:-1]] = n + np.arange(len(heads))
+        table += [*starts, b"" if end is None else np.array([end], "<u4").tobytes(), b""]
+        for i in whole:
+            entry[first[i] + 1 : first[i + 1]] = len(table) - 1
+        entry = np.insert(entry, first[1:], len(table) - 2)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
+        begin = np.cumsum(sizes) - sizes
+        length = sizes[entry]
+        stop = np.cumsum(length)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = flat[np.repeat(begin[entry] - (stop - length), length) + np.arange(total)]
+        offsets = np.concatenate([[0], stop[first[1:] + np.arange(len(heads))]]).astype(np.int64) if len(heads) else np.zeros(1, np.int64)
+        return offsets, ids
+
+
+def id_lists(offsets: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts average kilobytes and some have megabytes, so
 #: Spark's default of 10,000 rows would let one batch fill a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +68,19 @@ def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
-def list_array(parts: list[np.ndarray], dtype: pa.DataType) -> pa.ListArray:
-    """An Arrow list column from one numpy array per row."""
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    values = np.concatenate(parts) if parts else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=dtype))
+def gathered(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Joins batches until they have `limit` bytes, so that work per batch is shared by many rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def list_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

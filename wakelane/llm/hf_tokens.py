@@ -9,8 +9,8 @@ import numpy as np
 
 from wakelane.llm.chunks import ChunkEncoder
 
-#: Chunks of letters encoded in one call, told apart by the library's word numbers.
-JOINED = 2000
+#: Words encoded in one call, told apart by the tokens that begin or end a word.
+JOINED = 100
 
 
 @lru_cache(maxsize=4)
@@ -21,26 +21,27 @@ def encoder(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def each(texts):
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_many(texts):
-        texts = list(texts)
-        # Space-led runs of letters are one pre-token each, so many share a call.
-        words = [i for i, t in enumerate(texts) if t[:1] == " " and t[1:].isalpha()]
-        out: list = [None] * len(texts)
-        for k in range(0, len(words), JOINED):
-            some = words[k : k + JOINED]
-            e = tokenizer.encode("".join([texts[i] for i in some]), add_special_tokens=False)
-            ids, number = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
-            cuts = [0, *(4 * np.flatnonzero(np.diff(number)) + 4).tolist(), len(ids)]
-            if len(cuts) == len(some) + 1:
-                for i, a, b in zip(some, cuts, cuts[1:]):
-                    out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, each([texts[i] for i in rest]), strict=True):
-            out[i] = x
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    begins = ends.copy()
+    for token, i in vocabulary.items():
+        begins[i], ends[i] = token.startswith("Ġ"), token.endswith("</w>")
+
+    def texts(strings):
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def words(strings):
+        groups = [strings[k : k + JOINED] for k in range(0, len(strings), JOINED)]
+        out = []
+        for some, e in zip(groups, tokenizer.encode_batch_fast([" " + " ".join(x) for x in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(begins[ids])
+            cuts = cuts if len(cuts) else np.concatenate([[0], np.flatnonzero(ends[ids]) + 1])[:-1]
+            if len(cuts) != len(some):  # a word that the normalizer splits or drops
+                out += texts([" " + x for x in some])
+                continue
+            data, at = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            out += [data[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    return ChunkEncoder(encode_many)
+    return ChunkEncoder(texts, words)

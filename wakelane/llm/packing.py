@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakelane.llm.common import list_slices, map_arrow, tuned, written
+from wakelane.llm.chunks import id_lists
+from wakelane.llm.common import gathered, list_slices, map_arrow, tuned, written
 from wakelane.llm.hf_tokens import encoder
 
 CAPACITY = 2048
@@ -134,27 +135,22 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer_path).encode, TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = [x + end for x in encode(batch.column(1).to_pylist())]
-            doc, piece, length, rank = [], [], [], []
-            for i, x in enumerate(tokens):
-                n = len(x) // 4
-                for k in range(-(-n // capacity)):
-                    size = min(capacity, n - k * capacity)
-                    doc.append(i)
-                    piece.append(k)
-                    length.append(size)
-                    rank.append(int(seen[size]))
-                    seen[size] += 1
-            offsets = np.zeros(len(length) + 1, np.int32)
-            np.cumsum(length, out=offsets[1:])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(tokens))])
-            k = np.array(piece, np.int64)
+        for batch in gathered(batches):
+            offsets, ids = encode(batch.column(1), end_id)
+            pieces = -(-np.diff(offsets) // capacity)
+            doc = np.repeat(np.arange(batch.num_rows), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = offsets[doc] + piece * capacity
+            length = np.minimum(begin + capacity, offsets[doc + 1]) - begin
+            # Rank among the partition's pieces of equal length, in order.
+            order = np.argsort(length, kind="stable")
+            ordered = length[order]
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order)) - np.searchsorted(ordered, ordered)
+            rank += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(doc), part, np.int32)), batch.column(0).take(pa.array(doc, pa.int64())), pa.array(k.astype(np.int32)), pa.array(k * capacity), pa.array(length, pa.int32()), pa.array(rank, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [pa.array(np.full(len(doc), part, np.int32)), batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length.astype(np.int32)), pa.array(rank), id_lists(np.append(begin, offsets[-1]), ids)],
                 names=["part", "doc_id", "piece", "start", "length", "local_rank", "ids"],
             )
 

@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakelane.llm.common import fresh_path, list_slices, map_arrow, tuned, with_prefix_sum
+from wakelane.llm.chunks import id_lists
+from wakelane.llm.common import fresh_path, gathered, list_slices, map_arrow, tuned, with_prefix_sum
 from wakelane.llm.hf_tokens import encoder
 
 #: Writer settings: row groups small enough to skip, pages small enough to seek.
@@ -46,20 +47,13 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
 
     def run(batches):
         encode, shard, start = encoder(tokenizer_path).encode, TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = [x + end for x in encode(batch.column(1).to_pylist())]
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum(counts, out=offsets[1:])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+        for batch in gathered(batches):
+            offsets, ids = encode(batch.column(1), end_id)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), shard, np.int32)), batch.column(0), pa.array(start + offsets[:-1].astype(np.int64)), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [pa.array(np.full(batch.num_rows, shard, np.int32)), batch.column(0), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), id_lists(offsets, ids)],
                 names=["shard", "doc_id", "local_start", "n_tokens", "ids"],
             )
-            start += int(counts.sum())
+            start += int(offsets[-1])
 
     rows.mapInArrow(run, FILE_SCHEMA).write.options(**WRITER).parquet(path)
 
