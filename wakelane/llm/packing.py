@@ -135,7 +135,7 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer_path).encode, TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in gathered(batches):
+        for batch in gathered(batches, 1 << 20):
             offsets, ids = encode(batch.column(1), end_id)
             pieces = -(-np.diff(offsets) // capacity)
             doc = np.repeat(np.arange(batch.num_rows), pieces)
