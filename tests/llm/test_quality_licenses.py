@@ -112,3 +112,21 @@ def test_license_plan_is_native(spark):
     model = licenses.learn(spark, spark.createDataFrame([(1, "plain text here.")], "doc_id long, text string"))
     plan = licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_statements_without_a_usual_cue(spark):
+    model = licenses.learn(spark, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    want = {"Distributed under GPLv3.": "gpl", "Available under the LGPL.": "lgpl", "Released under CC0 1.0.": "public-domain", "Distributed under Apache 2.0.": "apache-2.0", "MIT-Lizenz": "mit", "Steht unter der MIT-Lizenz.": "mit", "Este programa tiene licencia MIT.": "mit", "Er kam mit dem Hund nach Hause.": "none"}
+    out = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string"), model).collect()
+    assert {list(want)[r.doc_id]: r.license for r in out} == want
+
+
+def test_paragraphs_without_triggers_are_none(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = licenses.learn(spark, docs)
+    assert model.some is not None and {"gpl", "gplv3", "mit-lizenz", "licencia"} <= set(model.some)
+    others = sorted({w for g in model.vectors.vocabulary for w in g.split()} - set(model.some))
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("p")).unionByName(spark.createDataFrame([(" ".join(others * 3),), (" ".join(others[::-1]),)], "p string"))
+    lines = lines.select(licenses.words(F.col("p")).alias("w")).where(~F.arrays_overlap("w", F.array(*map(F.lit, model.some))))
+    rated = model.apply(lines.select(licenses.features(F.col("w")).alias("grams")))
+    assert rated.count() > 100 and rated.where("family <> 'none'").count() == 0

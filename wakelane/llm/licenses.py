@@ -3,11 +3,13 @@
 DataFrame functions and Spark ML only. Training paragraphs are the notices
 below, cut and mixed with neutral text, against paragraphs of the corpus that
 hold no cue word. Classes are the families, `unknown` (licence wording of no
-family) and `none`.
+family) and `none`. Every paragraph is judged: those without a word of
+triggers() are `none` by the fitted weights, so they need no scores.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -22,54 +24,93 @@ TEMPLATES = {
         "This project is available under the terms of the MIT License.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "MIT License",
+        "Distributed under the MIT License.",
+        "Veröffentlicht unter der MIT-Lizenz.",
+        "Publicado bajo la licencia MIT.",
+        "Publié sous licence MIT.",
+        "Licencia MIT",
+        "MIT-Lizenz",
+        "Steht unter der MIT-Lizenz.",
+        "Licence MIT",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Released under the Apache License 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Distributed under Apache 2.0.",
+        "Veröffentlicht unter der Apache-Lizenz 2.0.",
+        "Steht unter der Apache-Lizenz 2.0.",
+        "Publicado bajo la licencia Apache 2.0.",
+        "Publié sous licence Apache 2.0.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GNU GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Distributed under GPLv3.",
+        "GPLv3",
+        "Available under the GPL.",
+        "Veröffentlicht unter der GPL.",
+        "Publicado bajo la licencia GPL.",
+        "Publié sous licence GPL.",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "Distributed under LGPLv3.",
+        "LGPLv3",
+        "Available under the LGPL.",
+        "Veröffentlicht unter der LGPL.",
+        "Publicado bajo la licencia LGPL.",
+        "Publié sous licence LGPL.",
     ],
     "bsd": [
         "Licensed under the BSD 3-Clause License.",
         "Released under the BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Distributed under the BSD License.",
+        "Veröffentlicht unter der BSD-Lizenz.",
+        "BSD-Lizenz",
+        "Publicado bajo la licencia BSD.",
+        "Publié sous licence BSD.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
+        "Distributed under MPL 2.0.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Lizenziert unter CC BY 4.0.",
     ],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Lizenziert unter CC BY-SA 4.0.",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Lizenziert unter CC BY-NC 4.0.",
     ],
     "public-domain": [
         "This work has been released into the public domain under CC0 1.0 Universal.",
         "Dedicated to the public domain.",
+        "Released under CC0 1.0.",
     ],
     "proprietary": [
         "All rights reserved.",
         "Copyright, all rights reserved. Unauthorized copying is prohibited.",
         "Confidential and proprietary. All rights reserved.",
+        "Alle Rechte vorbehalten.",
+        "Todos los derechos reservados.",
+        "Tous droits réservés.",
     ],
 }
 #: Licence wording of no family above.
@@ -94,9 +135,17 @@ PLAIN = [
     "Permission was granted to enter the building.",
     "The source of the river is in the mountains.",
     "the and of to in is that it for with as on by this",
+    "der die das und mit von zu in ist auf nach unter für als bei",
+    "el la los de que y en bajo por para con un una se",
+    "le la les de et en sous pour par avec des un une est",
+    "Er kam mit dem Zug und mit dem Hund in die Stadt.",
+    "Der Fahrer hat unter der Brücke die Lizenz verloren.",
+    "La licencia de conducir caduca en mayo.",
+    "Il faut une licence pour pêcher sous le pont.",
+    "The book is available and was released and distributed under the old name.",
 ]
-#: A paragraph can state a licence only if it has one of these; others are `none`.
-CUES = r"licen[cs]e|rights reserved|copyright|public domain|creative commons|spdx|\bcc[ -]by\b|\bgpl\b|\bgnu\b|permission is hereby granted|redistribution and use"
+#: Lines with one of these are not taken from the corpus as negatives. No other use: every paragraph is judged.
+CUES = r"licen[cs]|lizenz|gpl|\bcc0\b|apache|\bbsd\b|derechos reservados|rechte vorbehalten|droits réservés|rights reserved|copyright|public domain|creative commons|spdx|\bcc[ -]by\b|\bgnu\b|permission is hereby granted|redistribution and use"
 NONE, UNKNOWN = "none", "unknown"
 #: Bound of the negatives taken from the corpus, by smallest hash, and their length in words.
 NEGATIVES = 400
@@ -119,13 +168,52 @@ def grams(tokens: Column, n: int) -> Column:
     return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.array_join(F.slice(tokens, i + 1, n), " ")))).otherwise(F.array().cast("array<string>"))
 
 
+def phrases(tokens: Column) -> Column:
+    """Word pairs of a template, or its only word."""
+    return F.when(F.size(tokens) == 1, tokens).otherwise(grams(tokens, 2))
+
+
 def features(tokens: Column) -> Column:
     return F.concat(*(grams(tokens, n) for n in range(1, NGRAMS + 1)))
 
 
-def paragraphs(text: Column) -> Column:
-    """Paragraphs of the whole text that hold a cue word."""
-    return F.filter(F.split(text, "\n"), lambda p: F.rlike(F.lower(p), F.lit(CUES)))
+def triggers(vocabulary: list[str], weights: np.ndarray, intercepts: np.ndarray, none: int, common: list[str]) -> list[str] | None:
+    """Words without any of which a paragraph is surely `none`; None if there are no such words.
+
+    A class beats `none` by its intercept and the weights of the paragraph's
+    n-grams, less those of `none`. Words of `common` are left out, in their
+    order, as long as for each class all positive differences of the n-grams
+    made only of left-out words do not outweigh the intercepts.
+    """
+    gain = np.maximum(np.delete(weights - weights[none], none, 0), 0)
+    total = np.delete(intercepts - intercepts[none], none)
+    if (total >= 0).any():
+        return None
+    missing = [set(g.split(" ")) for g in vocabulary]
+    holders: dict[str, list[int]] = {}
+    for i, g in enumerate(missing):
+        for w in g:
+            holders.setdefault(w, []).append(i)
+    kept = set(holders)
+    for w in common:
+        if w in kept:
+            whole = [i for i in holders[w] if missing[i] == {w}]
+            after = total + gain[:, whole].sum(1)
+            if (after < -1e-6).all():
+                total = after
+                kept.discard(w)
+                for i in holders[w]:
+                    missing[i].discard(w)
+    return sorted(kept)
+
+
+def paragraphs(text: Column, some: list[str] | None) -> Column:
+    """Words of each paragraph of the whole text that needs scores, by triggers()."""
+    each = F.transform(F.split(text, "\n"), words)
+    if some is None:
+        return each
+    named = F.array(*map(F.lit, some)).cast("array<string>")
+    return F.filter(each, lambda w: F.arrays_overlap(w, named))
 
 
 def training(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -142,10 +230,10 @@ def training(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """Vocabulary, multinomial logistic regression, class names and the calibrated threshold."""
+    """Vocabulary, multinomial logistic regression, class names, the calibrated threshold and triggers()."""
 
-    def __init__(self, vectors: CountVectorizerModel, model: LogisticRegressionModel, classes: list[str], threshold: float):
-        self.vectors, self.model, self.classes, self.threshold = vectors, model, classes, threshold
+    def __init__(self, vectors: CountVectorizerModel, model: LogisticRegressionModel, classes: list[str], threshold: float, some: list[str] | None = None):
+        self.vectors, self.model, self.classes, self.threshold, self.some = vectors, model, classes, threshold, some
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Adds family and probability to rows with an array column grams."""
@@ -166,16 +254,20 @@ def learn(spark: SparkSession, docs: DataFrame) -> Classifier:
     """
     classes = [*sorted(TEMPLATES), UNKNOWN, NONE]
     rows = training(spark, docs).select("label", words(F.col("text")).alias("w"), F.xxhash64("text").alias("h"))
-    rows = rows.select("label", features(F.col("w")).alias("grams"), (F.pmod("h", F.lit(4)) == 0).alias("held"), F.array_position(F.array(*(F.lit(c) for c in classes)), F.col("label")).cast("double").alias("k"))
+    rows = rows.select("label", "w", features(F.col("w")).alias("grams"), (F.pmod("h", F.lit(4)) == 0).alias("held"), F.array_position(F.array(*(F.lit(c) for c in classes)), F.col("label")).cast("double").alias("k"))
     rows = rows.withColumn("k", F.col("k") - 1).coalesce(1).cache()
     share = rows.groupBy("k").agg(F.count("*").alias("n"))
-    rows_w = rows.join(F.broadcast(share), "k").withColumn("w", 1 / F.col("n"))
+    rows_w = rows.join(F.broadcast(share), "k").withColumn("weight", 1 / F.col("n"))
     vectors = CountVectorizer(inputCol="grams", outputCol="vector", binary=True, minDF=1, vocabSize=1 << 16).fit(rows.where(F.col("label") != NONE))
-    regression = LogisticRegression(featuresCol="vector", labelCol="k", weightCol="w", regParam=1e-4, maxIter=60, family="multinomial", standardization=False)
+    regression = LogisticRegression(featuresCol="vector", labelCol="k", weightCol="weight", regParam=1e-4, maxIter=60, family="multinomial", standardization=False)
     fit = lambda some: regression.fit(vectors.transform(some))
     first = Classifier(vectors, fit(rows_w.where(~F.col("held"))), classes, 0.0)
     wrong = first.apply(rows_w.where(F.col("held") & F.col("label").isin(NONE, UNKNOWN))).where(~F.col("family").isin(NONE, UNKNOWN)).agg(F.max("probability")).first()[0]
-    model = Classifier(vectors, fit(rows_w), classes, max(LEAST_PROBABILITY, wrong or 0.0))
+    last = fit(rows_w)
+    # Words of the negatives, a bounded table, by the number of texts that have them.
+    seen = rows.where(F.col("label") == NONE).select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w")
+    some = triggers(vectors.vocabulary, last.coefficientMatrix.toArray(), last.interceptVector.toArray(), classes.index(NONE), [r["w"] for r in seen.collect()])
+    model = Classifier(vectors, last, classes, max(LEAST_PROBABILITY, wrong or 0.0), some)
     rows.unpersist()
     return model
 
@@ -183,27 +275,25 @@ def learn(spark: SparkSession, docs: DataFrame) -> Classifier:
 def scan(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: license, licenses, n_paragraphs, probability, similarity, confirmed.
 
-    Every paragraph (line) of the whole text with a cue word is classified;
-    others cannot state a licence. n_paragraphs counts those that state one
+    Every paragraph (line) of the whole text is classified. n_paragraphs counts those that state one
     (families and `unknown`). license is the most probable confirmed family,
     else `unknown` if some paragraph has licence wording, else `none`;
     licenses lists all confirmed families in order. similarity is the largest
-    share of a template's word pairs found in the paragraph. Null and empty
+    share of a template's word pairs (of a one-word template, its word) found in the paragraph. Null and empty
     texts are `none`; repeated ids give a row each; other columns are not read.
-    Documents without a cue word pass straight through; only classified
-    paragraphs are shuffled.
+    Paragraphs without a word of triggers() are `none` by the weights alone;
+    only the others are scored and shuffled.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("doc_id"), F.when(F.rlike(F.lower(text), F.lit(CUES)), paragraphs(text)).alias("found"))
-    cued = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode_outer("found"))
-    cued = cued.select("doc_id", "row", words(F.coalesce("col", F.lit(""))).alias("w"), F.col("col").isNotNull().alias("cue"))
-    bare = cued.where(~F.col("cue"))
-    rated = classifier.apply(cued.where("cue").select("doc_id", "row", "w", features(F.col("w")).alias("grams"))).drop("grams")
+    docs = df.select(F.col(id_col).alias("doc_id"), paragraphs(text, classifier.some).alias("found"))
+    cued = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.explode_outer("found").alias("w"))
+    bare = cued.where("w IS NULL")
+    rated = classifier.apply(cued.where("w IS NOT NULL").select("doc_id", "row", "w", features(F.col("w")).alias("grams"))).drop("grams")
     templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string")
-    pairs = templates.select("family", grams(words(F.col("template")), 2).alias("pairs")).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
+    pairs = templates.select("family", phrases(words(F.col("template"))).alias("pairs")).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
     # One row per family: fixed size.
-    near = rated.join(F.broadcast(pairs), "family", "left").withColumn("own", grams(F.col("w"), 2))
+    near = rated.join(F.broadcast(pairs), "family", "left").withColumn("own", F.concat(grams(F.col("w"), 2), F.array_distinct("w")))
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.greatest(F.size(t), F.lit(1))))
     near = near.withColumn("similarity", F.coalesce(share, F.lit(0.0))).withColumn("ok", F.col("similarity") >= CONFIRM)
     states = F.col("family") != NONE
