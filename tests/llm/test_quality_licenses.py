@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -130,3 +131,21 @@ def test_paragraphs_without_triggers_are_none(spark):
     lines = lines.select(licenses.words(F.col("p")).alias("w")).where(~F.arrays_overlap("w", F.array(*map(F.lit, model.some))))
     rated = model.apply(lines.select(licenses.features(F.col("w")).alias("grams")))
     assert rated.count() > 100 and rated.where("family <> 'none'").count() == 0
+
+
+def test_wrapped_notices(spark):
+    notices = {
+        "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    }
+    rows, want = [], []
+    for family, notice in notices.items():
+        for width, mark, end in ((72, "", "\n"), (40, " * ", "\n"), (30, "# ", "\r\n")):
+            rows.append((len(rows), end.join(["A short text about a thing.", "", *(mark + x for x in textwrap.wrap(notice, width)), "", "The end of it."])))
+            want.append(family)
+    model = licenses.learn(spark, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert [r.license for r in sorted(out, key=lambda r: r.doc_id)] == want
+    assert max(len(re.findall(r"[\w.-]+", t)) for ts in licenses.TEMPLATES.values() for t in ts) <= licenses.WINDOW - licenses.STEP

@@ -151,6 +151,8 @@ NONE, UNKNOWN = "none", "unknown"
 NEGATIVES = 400
 NEGATIVE_WORDS = 24
 NGRAMS = 3
+#: Words of a window over the joined lines of a paragraph, and the step: any WINDOW - STEP words in a row lie in one.
+WINDOW, STEP = 64, 32
 #: Share of a template's word pairs that a paragraph must have to confirm its family.
 CONFIRM = 0.6
 #: Probability of a family under which a paragraph is `unknown`; raised by calibration.
@@ -207,13 +209,23 @@ def triggers(vocabulary: list[str], weights: np.ndarray, intercepts: np.ndarray,
     return sorted(kept)
 
 
+def needs(tokens: Column, some: list[str] | None) -> Column:
+    """Whether a word array needs scores, by triggers()."""
+    return F.lit(True) if some is None else F.arrays_overlap(tokens, F.array(*map(F.lit, some)).cast("array<string>"))
+
+
 def paragraphs(text: Column, some: list[str] | None) -> Column:
-    """Words of each paragraph of the whole text that needs scores, by triggers()."""
-    each = F.transform(F.split(text, "\n"), words)
-    if some is None:
-        return each
-    named = F.array(*map(F.lit, some)).cast("array<string>")
-    return F.filter(each, lambda w: F.arrays_overlap(w, named))
+    """Words of each line of each paragraph (between blank lines) of the whole text that needs scores."""
+    blocks = F.transform(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda b: F.transform(F.split(b, "\n"), words))
+    return F.filter(blocks, lambda b: F.exists(b, lambda w: needs(w, some)))
+
+
+def units(lines: Column, some: list[str] | None) -> Column:
+    """(joined, w) of what is scored of a paragraph: its lines, and if there are several, windows over their joined words."""
+    joined = F.flatten(lines)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(joined) - WINDOW + STEP - 1, F.lit(0)), F.lit(STEP))
+    windows = F.when(F.size(lines) > 1, F.transform(starts, lambda i: F.struct(F.lit(True).alias("joined"), F.slice(joined, i + 1, WINDOW).alias("w")))).otherwise(F.array())
+    return F.filter(F.concat(F.transform(lines, lambda w: F.struct(F.lit(False).alias("joined"), w.alias("w"))), windows), lambda u: needs(u.w, some))
 
 
 def training(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -275,8 +287,10 @@ def learn(spark: SparkSession, docs: DataFrame) -> Classifier:
 def scan(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: license, licenses, n_paragraphs, probability, similarity, confirmed.
 
-    Every paragraph (line) of the whole text is classified. n_paragraphs counts those that state one
-    (families and `unknown`). license is the most probable confirmed family,
+    Every line of the whole text is classified, and so are windows over the
+    joined lines of a paragraph, as notices are wrapped. n_paragraphs counts
+    the lines that state one (families and `unknown`), and the paragraphs of
+    which only windows do. license is the most probable confirmed family,
     else `unknown` if some paragraph has licence wording, else `none`;
     licenses lists all confirmed families in order. similarity is the largest
     share of a template's word pairs (of a one-word template, its word) found in the paragraph. Null and empty
@@ -287,9 +301,10 @@ def scan(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("doc_id"), paragraphs(text, classifier.some).alias("found"))
-    cued = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.explode_outer("found").alias("w"))
-    bare = cued.where("w IS NULL")
-    rated = classifier.apply(cued.where("w IS NOT NULL").select("doc_id", "row", "w", features(F.col("w")).alias("grams"))).drop("grams")
+    cued = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode_outer("found").alias("block", "lines"))
+    bare = cued.where("lines IS NULL")
+    scored = cued.where("lines IS NOT NULL").select("doc_id", "row", "block", F.inline(units(F.col("lines"), classifier.some)))
+    rated = classifier.apply(scored.select("doc_id", "row", "block", "joined", "w", features(F.col("w")).alias("grams"))).drop("grams")
     templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string")
     pairs = templates.select("family", phrases(words(F.col("template"))).alias("pairs")).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
     # One row per family: fixed size.
@@ -297,8 +312,9 @@ def scan(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.greatest(F.size(t), F.lit(1))))
     near = near.withColumn("similarity", F.coalesce(share, F.lit(0.0))).withColumn("ok", F.col("similarity") >= CONFIRM)
     states = F.col("family") != NONE
+    blocks = lambda joined: F.collect_set(F.when(states & (F.col("joined") == joined), F.col("block")))
     best = F.max(F.when(F.col("ok"), F.struct("probability", "similarity", "family")))
-    grouped = near.groupBy("row", "doc_id").agg(best.alias("best"), F.sort_array(F.collect_set(F.when(F.col("ok"), F.col("family")))).alias("licenses"), F.count_if(states).alias("n_paragraphs"), F.max(F.when(states, F.struct("probability", "similarity"))).alias("other"))
+    grouped = near.groupBy("row", "doc_id").agg(best.alias("best"), F.sort_array(F.collect_set(F.when(F.col("ok"), F.col("family")))).alias("licenses"), (F.count_if(states & ~F.col("joined")) + F.size(F.array_except(blocks(True), blocks(False)))).alias("n_paragraphs"), F.max(F.when(states, F.struct("probability", "similarity"))).alias("other"))
     stated = grouped.select(
         "doc_id",
         F.coalesce("best.family", F.when(F.col("n_paragraphs") > 0, UNKNOWN).otherwise(NONE)).alias("license"),
