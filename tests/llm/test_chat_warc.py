@@ -124,6 +124,34 @@ def test_warc_payloads_read_back(spark):
     df = spark.createDataFrame([(1, "u", "a" * 1500), (2, "u", "a" * 1500), (3, None, None)], "page_id long, url string, html string")
     directory = fresh_path(spark, "warc-test")
     rows = {r.record_id: r for r in warc.read_warc(warc.write_warc(df, directory), directory).collect()}
-    assert bytes(rows["<urn:page:2>"].payload) == b"a" * 1500
-    assert rows["<urn:page:1>"].payload is None and rows["<urn:page:1>"].refers_to == "<urn:page:2>"
-    assert bytes(rows["<urn:page:3>"].payload) == b""
+    name = lambda i, b: f"<urn:page:{i}:{hashlib.sha1(b).hexdigest()}>"
+    long = b"a" * 1500
+    assert bytes(rows[name(2, long)].payload) == long
+    assert rows[name(1, long)].payload is None and rows[name(1, long)].refers_to == name(2, long)
+    assert bytes(rows[name(3, b"")].payload) == b""
+
+
+def test_repeated_ids_lose_no_payload(spark, tmp_path):
+    a, b = "A" * 1500, "B" * 1500
+    given_rows = [(5, "u", a), (9, "u", a), (5, "u", b), (9, "u", a), (None, "u", a), (7, "u", "x"), (7, "u", "x")]
+    pages(spark, tmp_path, [(*r, "p", 1) for r in given_rows])
+    got = sorted(((r.page_id or -1, r.payload_digest, r.record_type, r.refers_to) for r in op5_warc(spark, str(tmp_path)).collect()), key=str)
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(5, sha(a), "revisit", 9), (9, sha(a), "response", None), (5, sha(b), "response", None), (9, sha(a), "response", None), (-1, sha(a), "response", None), (7, sha("x"), "response", None), (7, sha("x"), "response", None)]
+    assert got == sorted(want, key=str)
+    df = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    directory = fresh_path(spark, "warc-test")
+    kept = {bytes(r.payload) for r in warc.read_warc(warc.write_warc(df, directory), directory).collect() if r.payload is not None}
+    assert kept == {a.encode(), b.encode(), b"x"}
+
+
+def test_streamed_log_folds_back_whatever_the_partitioning(spark):
+    rows = [(c, t, ["user", "assistant", None][(c + t) % 3], HARD[(c * 7 + t) % len(HARD)]) for c in range(6) for t in range(9)]
+    rows += [(1, 2, "assistant", "same")] * 3 + [(1, 2, "user", "same"), (1, 2, "assistant", None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.streamed(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    kept = sorted(((r.conv_id, r.turn, r.role, r.text) for r in chat.fold(log).collect()), key=str)
+    assert kept == sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=str)
+    shown = [sorted(map(tuple, chat.render(chat.fold(chat.streamed(df.repartition(n, "text")).repartition(n + 1))).select("conv_id", "formatted").collect()), key=str) for n in (1, 3, 5)]
+    assert shown[0] == shown[1] == shown[2]

@@ -31,6 +31,24 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
+def streamed(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
+    """The log of a streaming client for finished messages (conv_id, turn, role, text); fold() gives them back.
+
+    A message of loss_role opens empty, streams a draft, is regenerated and
+    streams its text in two deltas; any other is sent half written and then
+    edited. Rows that share a turn number are parts, by role and text, so the
+    log does not depend on how the table is partitioned.
+    """
+    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", F.row_number().over(order))
+    half = F.floor(F.length("text") / 2).cast("int")
+    begin, rest = F.substr("text", F.lit(1), half), F.substr("text", half + 1, F.length("text"))
+    event = lambda seq, kind, text, role=F.lit(None): F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.alias("text"))
+    spoken = F.array(event(4, "delta", rest), event(3, "delta", begin), event(2, "regenerate", F.lit(None).cast("string")), event(1, "delta", F.concat(begin, F.lit("..."))), event(0, "message", F.lit(""), F.col("role")))
+    sent = F.array(event(1, "edit", F.col("text")), event(0, "message", begin, F.col("role")))
+    return rows.select("conv_id", "turn", "part", F.inline(F.when(F.col("role") == loss_role, spoken).otherwise(sent)))
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, part, role, text) of an event log.
 

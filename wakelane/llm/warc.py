@@ -83,22 +83,26 @@ def plan_records(df: DataFrame, id_col: str, payload: str, min_bytes: int) -> Da
     """Adds payload (binary), payload_bytes, payload_digest and refers_to (null for responses).
 
     Only ids and digests are grouped, with partial aggregation; of equal
-    payloads the largest id answers. Payloads move once, by their id.
+    payloads the largest id answers. Payloads move once, by their id. A page is
+    an id with a payload: rows that repeat an id with other payloads are pages
+    of their own, and rows that repeat the answering id and payload all answer.
     """
     rows = df.withColumn("payload", F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     keys = rows.where(F.col("payload_bytes") >= min_bytes).select(id_col, "payload_digest", "payload_bytes")
     groups = keys.groupBy("payload_digest", "payload_bytes").agg(F.max(id_col).alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = keys.join(groups, ["payload_digest", "payload_bytes"]).where(F.col(id_col) != F.col("refers_to")).select(id_col, "refers_to")
-    return rows.join(revisits.dropDuplicates([id_col]), id_col, "left")
+    page = [id_col, "payload_digest", "payload_bytes"]
+    revisits = keys.distinct().join(groups, page[1:]).where(F.col(id_col) != F.col("refers_to")).select(*page, "refers_to")
+    return rows.join(revisits, page, "left")
 
 
 def write_warc(df: DataFrame, directory: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000) -> DataFrame:
     """Writes a record per row into directory; returns the manifest (path, n_records, n_bytes), committed.
 
     Equal payloads of at least min_bytes bytes become one response (largest id)
-    and revisits to it. Null payloads are empty, null urls get an urn, a null id
-    is its own record without revisits. Other columns are not read.
+    and revisits to it. Records are named by id and payload digest. Null payloads
+    are empty, null urls get an urn, a null id is its own record without
+    revisits; repeated ids as in plan_records. Other columns are not read.
     """
     spark = tuned(df.sparkSession)
     df = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
@@ -116,10 +120,10 @@ def write_warc(df: DataFrame, directory: str, id_col: str = "page_id", url_col:
                     out = files.open_output_stream(path, compression=None)
                 uri = one_line(url) if url else f"urn:page:{page}"
                 block = payload if refers is None else b""
-                headers = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", uri)]
+                headers = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page}:{digest}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", uri)]
                 headers += [("WARC-Payload-Digest", base32_sha1(digest)), ("WARC-Block-Digest", base32_sha1(hashlib.sha1(block).hexdigest())), ("X-Payload-Length", str(length)), ("Content-Type", "text/html")]
                 if refers is not None:
-                    headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}>")]
+                    headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}:{digest}>")]
                 data = member(headers, block)
                 out.write(data)
                 n, size = n + 1, size + len(data)
@@ -174,5 +178,5 @@ def warc_round_trip(df: DataFrame, id_col: str = "page_id") -> DataFrame:
     directory = fresh_path(spark, "warc")
     manifest = write_warc(df, directory, id_col)
     read = read_warc(manifest, directory, with_payload=False)
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):[0-9a-f]{40}>$", 1).try_cast("long")
     return read.select(number("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
