@@ -42,6 +42,12 @@ def test_empty(spark):
     assert topk.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).count() == 0
 
 
+def test_an_outlier_keeps_products_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(100, [1e5] * 8), (101, [-1e5, 3.0] * 4), (102, [99999.5, 1e5] * 4)]
+    check(spark, rows)
+
+
 def test_too_large_is_an_error(spark):
     with pytest.raises(ValueError):
         topk.top_k(spark.createDataFrame([(0, [1e9], 1, "")], SCHEMA), F.col("vec_id") == 0)
@@ -52,8 +58,9 @@ def test_bounds_skip_rows_that_cannot_win():
     rows = np.floor(np.concatenate([rng.normal(size=(200, 4)) * 5 + 1000, rng.normal(size=(2000, 4)) * 5 - 1000]))
     top = (rows * rows).sum(1).max()
     pivots = topk.farthest_first(topk.lifted(rows, top), 8)
-    search = topk.Search(np.array([0]), rows[:1], pivots, top, 10)
-    search.add(np.arange(len(rows)), rows)
+    table = topk.distances(topk.lifted(rows, top), pivots)
+    search = topk.Search(np.array([0]), rows[:1], table[:1], top, 10)
+    search.add(np.arange(len(rows)), rows, table)
     want = sorted((-float(rows[0] @ r), i) for i, r in enumerate(rows) if i)[:10]
     assert list(zip(search.best[0][0], search.best[0][1])) == [(-s, i) for s, i in want]
     assert search.evaluated < len(rows) / 2

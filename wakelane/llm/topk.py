@@ -12,18 +12,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakelane.llm.common import tuned
+from wakelane.llm.common import map_arrow, tuned
 
 #: Pivots, and the rows (smallest hashes) that they are chosen from. Pivots change the work, never the result.
 PIVOTS = 24
 PIVOT_SAMPLE = 1024
-#: Queries that one task holds, and rows that one task reads for them.
-QUERY_BLOCK = 2048
+#: Queries that one task holds, rows that one task reads for them, and rows that it orders by their bounds together.
+QUERY_BLOCK = 1 << 16
 ROW_BLOCK = 1 << 20
+BOUND_BLOCK = 1 << 14
 LEAST_SPLITS = 24
+#: Integer products below this are exact in double precision; from the second on they do not fit a long.
+EXACT_FLOAT, EXACT_LONG = 1 << 53, 1 << 62
 
 
 def quantised(embedding: Column) -> Column:
@@ -58,17 +62,15 @@ def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Running top-k of one block of queries over blocks of rows."""
+    """Running top-k of one block of queries over blocks of rows, given their rows of the pivot table."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, top: float, k: int):
-        self.ids, self.queries, self.pivots, self.top, self.k = ids, queries, pivots, top, k
-        self.table = distances(np.column_stack([queries, np.zeros(len(queries))]), pivots)
-        self.square = (queries * queries).sum(1)
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, table: np.ndarray, top: float, k: int):
+        self.ids, self.queries, self.table, self.top, self.k = ids, queries, table, top, k
+        self.square = (queries.astype(float) ** 2).sum(1)
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, queries.dtype), np.zeros(0, np.int64)) for _ in ids]
         self.evaluated = 0
 
-    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        table = distances(lifted(rows, self.top), self.pivots)
+    def add(self, ids: np.ndarray, rows: np.ndarray, table: np.ndarray) -> None:
         # Rounding of distances is far below this part of the squares' size.
         slack = 1e-9 * (self.square + self.top) + 1
         for i, own in enumerate(self.ids):
@@ -94,7 +96,7 @@ class Search:
 
     def result(self) -> pa.RecordBatch:
         query = np.repeat(self.ids, [len(s) for s, _ in self.best])
-        score = np.concatenate([s for s, _ in self.best] or [np.zeros(0)])
+        score = np.concatenate([s for s, _ in self.best] or [np.zeros(0, np.int64)])
         name = np.concatenate([n for _, n in self.best] or [np.zeros(0, np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(name, pa.int64()), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
@@ -105,21 +107,24 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     Candidates are all rows with another id; ties go to the smaller id. Rows
     whose vector is unusable or whose id is null take no part, as query or
     candidate; vectors meet only those of their own length. Rows that repeat an
-    id are candidates each, and one query. Fewer than k candidates give fewer
-    rows; an empty table gives none. Components must stay below 2^20 in size,
-    so that products are exact in double precision; larger ones are an error.
-    Other columns are not read.
-
-    A query row goes to every split of the rows, and a row to every block of
-    queries: a stated query set against all rows, in blocks of bounded size.
+    id are candidates each, and one query (of different vectors, the first in
+    array order). Fewer than k candidates give fewer rows; an empty table gives
+    none. Products are taken in double precision where all of them are exact
+    there, else in 64-bit integers; components so large that a product might
+    not fit a long are an error. Other columns are not read.
+
+    The pivot table is made once. A query row goes to every split of the rows,
+    and a row to every block of queries: a stated query set against all rows, in
+    blocks of bounded size.
     """
     spark = tuned(df.sparkSession)
     v = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     v = v.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     dims = {r["d"]: r for r in v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("q").alias("queries"), F.max(square).alias("top"), F.max(F.array_max(F.transform("v", F.abs))).alias("size")).collect()}
-    if any(r["size"] >= 1 << 20 for r in dims.values()):
-        raise ValueError("a component is too large for exact products")
+    if any(d * int(r["size"]) ** 2 >= EXACT_LONG for d, r in dims.items()):
+        raise ValueError("a component is too large for products that fit a long")
+    exact = {d: np.float64 if d * int(r["size"]) ** 2 < EXACT_FLOAT else np.int64 for d, r in dims.items()}
     pivots = {}
     for d, r in dims.items():
         some = v.where(F.size("v") == d).orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").collect()
@@ -129,12 +134,45 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     shared = spark.sparkContext.broadcast(pivots)
     part = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = v.where("q").dropDuplicates(["id"]).select(F.size("v").alias("d"), part("id", blocks, 1).alias("b"), every(splits).alias("s"), F.lit(0).alias("kind"), "id", "v")
-    rows = v.select(F.size("v").alias("d"), part("id", splits, 2).alias("s"), F.lit(1).alias("kind"), "id", "v", every(blocks).alias("b")).select(*asked.columns)
+
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The pivot table's rows: distances of lifted rows to the pivots of their length."""
+        column, sizes = batch.column(1), pc.list_value_length(batch.column(1)).to_numpy()
+        out = np.zeros((batch.num_rows, PIVOTS))
+        for d in np.unique(sizes):
+            mine = np.flatnonzero(sizes == d)
+            points, top = shared.value[int(d)]
+            found = distances(lifted(column.take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), int(d)).astype(float), top), points)
+            out[mine, : found.shape[1]] = found
+        table = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, PIVOTS, dtype=np.int32)), pa.array(out.ravel()))
+        return pa.RecordBatch.from_arrays([*batch.columns, table], names=[*batch.schema.names, "t"])
+
+    v = map_arrow(v.select("id", "v", "q"), measure, "id long, v array<long>, q boolean, t array<double>")
+    first = v.where("q").groupBy("id").agg(F.min(F.struct("v", "t")).alias("x")).select("id", "x.v", "x.t")
+    asked = first.select(F.size("v").alias("d"), part("id", blocks, 1).alias("b"), every(splits).alias("s"), F.lit(0).alias("kind"), "id", "v", "t")
+    rows = v.select(F.size("v").alias("d"), part("id", splits, 2).alias("s"), F.lit(1).alias("kind"), "id", "v", "t", every(blocks).alias("b")).select(*asked.columns)
     dealt = asked.unionByName(rows).repartition(max(splits * blocks, 1), "d", "b", "s").sortWithinPartitions("d", "b", "s", "kind", "id")
 
     def run(batches):
-        key, search, ids, queries = None, None, [], []
+        key, search, held, n = None, None, [], 0
+
+        def take(d):
+            """What is held as ids, vectors and pivot distances; holds nothing afterwards."""
+            ids, rows, table = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            return ids, rows.reshape(len(ids), d), table.reshape(len(ids), PIVOTS)
+
+        def flush():
+            nonlocal search, n
+            if held and kind_held == 0:
+                search = Search(*take(key[0]), shared.value[key[0]][1], k)
+            elif held and search:
+                search.add(*take(key[0]))
+            held.clear()
+            n = 0
+
+        kind_held = 0
         for batch in batches:
             d, b, s, kind, name = (batch.column(i).to_numpy() for i in range(5))
             keys = np.column_stack([d, b, s, kind])
@@ -142,24 +180,20 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi == lo:
                     continue
-                if tuple(keys[lo, :3]) != key:
+                if tuple(keys[lo, :3].tolist()) != key:
+                    flush()
                     if search:
                         yield search.result()
-                    key, search, ids, queries = tuple(keys[lo, :3]), None, [], []
-                rows = batch.column(5).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, int(d[lo])).astype(float)
-                if kind[lo] == 0:
-                    ids.append(name[lo:hi])
-                    queries.append(rows)
-                elif ids:
-                    if search is None:
-                        points, top = shared.value[int(d[lo])]
-                        search = Search(np.concatenate(ids), np.concatenate(queries), points, top, k)
-                    search.add(name[lo:hi], rows)
+                    key, search = tuple(keys[lo, :3].tolist()), None
+                elif kind[lo] != kind_held or kind[lo] and n >= BOUND_BLOCK:
+                    flush()
+                kind_held = kind[lo]
+                held.append((name[lo:hi], *(batch.column(i).slice(lo, hi - lo).flatten().to_numpy().astype(t) for i, t in ((5, exact[key[0]]), (6, float)))))
+                n += hi - lo
+        flush()
         if search:
             yield search.result()
 
-    from pyspark.sql import Window
-
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
