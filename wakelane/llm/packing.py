@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakelane.llm.chunks import id_lists
-from wakelane.llm.common import gathered, list_slices, map_arrow, tuned, written
+from wakelane.llm.common import gathered, map_arrow, tuned, written
 from wakelane.llm.hf_tokens import encoder
 
 CAPACITY = 2048
-PIECE_SCHEMA = "part int, doc_id long, piece int, start long, length int, local_rank long, ids array<int>"
+PIECE_SCHEMA = "part int, row long, doc_id long, piece int, start long, length int, local_rank long, ids_crc32 long, ids array<int>"
+#: Bytes of text encoded together.
+BATCH_BYTES = 2 << 20
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
@@ -129,13 +132,19 @@ def places(kinds: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarr
     return {n: tuple(np.array(c, np.int64) for c in zip(*r)) for n, r in rows.items()}
 
 
+def crc_of(ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Unsigned crc32 of each slice of ids as little-endian unsigned 32-bit integers."""
+    buffer = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    return pa.array([zlib.crc32(buffer[a:b]) for a, b in zip((4 * begin).tolist(), (4 * (begin + length)).tolist())], pa.int64())
+
+
 def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """Encodes whole texts and cuts only those longer than the capacity."""
+    """Encodes whole texts and cuts only those longer than the capacity; (part, row) names a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer_path).encode, TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
-        for batch in gathered(batches, 1 << 20):
+        seen, row = np.zeros(capacity + 1, np.int64), 0
+        for batch in gathered(batches, BATCH_BYTES):
             offsets, ids = encode(batch.column(1), end_id)
             pieces = -(-np.diff(offsets) // capacity)
             doc = np.repeat(np.arange(batch.num_rows), pieces)
@@ -149,17 +158,39 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id
             rank[order] = np.arange(len(order)) - np.searchsorted(ordered, ordered)
             rank += seen[length]
             seen += np.bincount(length, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(doc), part, np.int32)), batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length.astype(np.int32)), pa.array(rank), id_lists(np.append(begin, offsets[-1]), ids)],
-                names=["part", "doc_id", "piece", "start", "length", "local_rank", "ids"],
-            )
+            columns = {
+                "part": np.full(len(doc), part, np.int32),
+                "row": row + np.arange(len(doc)),
+                "doc_id": batch.column(0).take(pa.array(doc)),
+                "piece": piece.astype(np.int32),
+                "start": piece * capacity,
+                "length": length.astype(np.int32),
+                "local_rank": rank,
+                "ids_crc32": crc_of(ids, begin, length),
+                "ids": id_lists(np.append(begin, offsets[-1]), ids),
+            }
+            row += len(doc)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, PIECE_SCHEMA)
 
 
-def pack(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids, sequence_id, offset: every piece and its place.
+class Packed(NamedTuple):
+    """What pack() gives: the places of all pieces, and the written pieces with their ids."""
+
+    places: DataFrame
+    pieces: DataFrame
+
+    def sequences(self) -> DataFrame:
+        """sequence_id, ids: the ids of each whole sequence, its pieces by offset. Here alone ids are shuffled."""
+        rows = self.places.select("part", "row", "sequence_id", "offset").join(self.pieces.select("part", "row", "ids"), ["part", "row"])
+        whole = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+        return whole.select("sequence_id", F.flatten("p.ids").alias("ids"))
+
+
+def pack(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> Packed:
+    """Places (part, row, doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece, and the pieces.
 
     Null and empty texts are sequences of end_id alone; equal texts and repeated
     ids are pieces like any other; a null id stays null; an empty table packs
@@ -168,6 +199,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CA
     The pieces are written to the shared folder with their rank among the pieces
     of their length in their own partition. Partition counts by length give each
     partition the ranks before it, so no task sees all pieces of one length.
+    Ids stay in the files: only lengths and ranks are read and shuffled.
     """
     spark = tuned(df.sparkSession)
     pieces = written(pieces_of(df, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
@@ -176,6 +208,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CA
     table = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    kept = ["part", "row", "doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
@@ -187,21 +220,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CA
             inside = rank[rows] - first[k]
             seq[rows] = bin0[k] + inside // times[k]
             off[rows] = offset[k] + (inside % times[k]) * n
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids")], pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
-
-    ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids", (F.col("base") + F.col("local_rank")).alias("rank"))
-    return map_arrow(ranked, place, "doc_id long, piece int, start long, length int, ids array<int>, sequence_id long, offset long")
-
-
-def with_crc(df: DataFrame, ids_col: str = "ids", name: str = "ids_crc32") -> DataFrame:
-    """Replaces the ids by the unsigned crc32 of them as little-endian unsigned 32-bit integers."""
-    rest = [c for c in df.columns if c != ids_col]
-    at = [df.columns.index(c) for c in (*rest, ids_col)]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        offsets, values = list_slices(batch.column(at[-1]))
-        buffer = memoryview(np.ascontiguousarray(values, "<u4")).cast("B")
-        crc = [zlib.crc32(buffer[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
-        return pa.RecordBatch.from_arrays([*[batch.column(i) for i in at[:-1]], pa.array(crc, pa.int64())], names=[*rest, name])
+        return pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
 
-    return map_arrow(df, run, df.select(*rest, F.lit(0).cast("long").alias(name)).schema)
+    ranked = pieces.join(bases, ["part", "length"]).select(*kept, (F.col("base") + F.col("local_rank")).alias("rank"))
+    return Packed(map_arrow(ranked, place, "part int, row long, doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long"), pieces)

@@ -29,8 +29,7 @@ def op2_bpe(spark, sf_dir):
 def op3_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"))
-    # Each row is a message of its own; rows of one turn number are told apart by what they say.
-    events = rows.unionByName(probe).select("*", F.monotonically_increasing_id().alias("part"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"))
+    events = chat.streamed(rows.unionByName(probe))
     out = chat.render(chat.fold(events))
     turns = chat.parse(F.col("formatted"))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
@@ -72,7 +71,7 @@ def op9_token_output(spark, sf_dir):
 def op10_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
-    return packing.with_crc(packed).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_chat, op4_language, op5_warc, op6_quality, op7_licenses, op8_top_k, op9_token_output, op10_packing)}

@@ -38,4 +38,4 @@ def near_dedup(spark, docs, sf_dir):
 
 def packing(spark, docs, sf_dir):
     """Places of all pieces of all documents kept so far."""
-    return pack.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=pack.CAPACITY).drop("ids")
+    return pack.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=pack.CAPACITY).places.drop("part", "row")

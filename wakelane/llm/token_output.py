@@ -8,8 +8,6 @@ index, so that a reader of n_tokens or of a doc_id range skips the ids.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 from wakelane.llm.chunks import id_lists
 from wakelane.llm.common import fresh_path, gathered, list_slices, map_arrow, tuned, with_prefix_sum
 from wakelane.llm.hf_tokens import encoder
+from wakelane.llm.packing import crc_of
 
 #: Writer settings: row groups small enough to skip, pages small enough to seek.
 ROW_GROUP_BYTES = 32 << 20
@@ -72,9 +71,7 @@ def document_digests(spark, path: str) -> DataFrame:
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
         offsets, values = list_slices(batch.column(3))
-        buffer = memoryview(np.ascontiguousarray(values, "<u4")).cast("B")
-        crc = [zlib.crc32(buffer[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), crc_of(values, offsets[:-1].astype(np.int64), np.diff(offsets))], names=["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
     files = read_tokens(spark, path)
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
