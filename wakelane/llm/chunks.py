@@ -24,8 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks and ids in each of the memo's two generations, and the longest chunk kept there (bytes).
-GENERATION = 300_000
-GENERATION_IDS = 4_000_000
+GENERATION = 200_000
+GENERATION_IDS = 2_000_000
 MEMO_BYTES = 64
 
 LETTER, DIGIT, SIGN, APOSTROPHE, OTHER, SPACE, NEWLINE, UNSURE = range(8)
