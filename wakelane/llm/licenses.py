@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakelane.llm.common import written
+
 #: Notices by family, as authors put them into texts and headers.
 TEMPLATES = {
     "mit": [
@@ -229,16 +231,16 @@ def units(lines: Column, some: list[str] | None) -> Column:
 
 
 def training(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(label, text): notices alone and inside neutral words, and bounded negatives of the corpus."""
+    """(label, text, notice): notices alone and inside neutral words, and bounded negatives of the corpus."""
     rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in OTHER] + [(NONE, t) for t in PLAIN]
     known = spark.createDataFrame(rows, "label string, text string")
     neutral = F.array(*(F.lit(x) for x in ("", "lorem ipsum dolor ", "the whole of it was here and then there ", "version 1.2 of 2024 by the authors ")))
     mixed = known.withColumn("before", F.explode(neutral)).withColumn("after", F.explode(neutral))
-    mixed = mixed.select("label", F.concat("before", "text", F.lit(" "), "after").alias("text"))
+    mixed = mixed.select("label", F.concat("before", "text", F.lit(" "), "after").alias("text"), F.col("text").alias("notice"))
     lines = docs.where("text IS NOT NULL").select(F.element_at(F.split("text", "\n"), -1).alias("text")).where(~F.rlike(F.lower("text"), F.lit(CUES)))
     lines = lines.select(F.array_join(F.slice(F.split("text", " "), 1, NEGATIVE_WORDS), " ").alias("text"))
     negative = lines.where("text <> ''").distinct().orderBy(F.xxhash64("text"), "text").limit(NEGATIVES)
-    return mixed.unionByName(negative.select(F.lit(NONE).alias("label"), "text"))
+    return mixed.unionByName(negative.select(F.lit(NONE).alias("label"), "text", F.col("text").alias("notice")))
 
 
 class Classifier:
@@ -258,14 +260,14 @@ class Classifier:
 
 
 def learn(spark: SparkSession, docs: DataFrame) -> Classifier:
-    """Trains on training(); the threshold is calibrated on negatives left out of a first fit.
+    """Trains on training(); the threshold is calibrated on notices left out of a first fit, in all their mixtures.
 
     The training table has at most NEGATIVES rows of the corpus and a fixed
     number of notices. A family's probability must exceed that of any held-out
     text of `none` or `unknown`, and LEAST_PROBABILITY.
     """
     classes = [*sorted(TEMPLATES), UNKNOWN, NONE]
-    rows = training(spark, docs).select("label", words(F.col("text")).alias("w"), F.xxhash64("text").alias("h"))
+    rows = training(spark, docs).select("label", words(F.col("text")).alias("w"), F.xxhash64("notice").alias("h"))
     rows = rows.select("label", "w", features(F.col("w")).alias("grams"), (F.pmod("h", F.lit(4)) == 0).alias("held"), F.array_position(F.array(*(F.lit(c) for c in classes)), F.col("label")).cast("double").alias("k"))
     rows = rows.withColumn("k", F.col("k") - 1).coalesce(1).cache()
     share = rows.groupBy("k").agg(F.count("*").alias("n"))
@@ -301,7 +303,8 @@ def scan(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("doc_id"), paragraphs(text, classifier.some).alias("found"))
-    cued = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode_outer("found").alias("block", "lines"))
+    # Written, so that the texts are read and cut into words once.
+    cued = written(docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode_outer("found").alias("block", "lines")), "license-paragraphs")
     bare = cued.where("lines IS NULL")
     scored = cued.where("lines IS NOT NULL").select("doc_id", "row", "block", F.inline(units(F.col("lines"), classifier.some)))
     rated = classifier.apply(scored.select("doc_id", "row", "block", "joined", "w", features(F.col("w")).alias("grams"))).drop("grams")
