@@ -284,10 +284,11 @@ def kmeans(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(v).transform(v).select("id", F.col("prediction").alias("cluster"))
 
 
-def dbscan(d: DataFrame, eps: float, least: int = 3) -> DataFrame:
-    """Core points have `least` neighbours within eps; clusters are components of cores, borders join the
+def dbscan(d: DataFrame, eps: float | None = None, least: int = 3, k: int = 5) -> DataFrame:
+    """Eps is 1.5 times the mean distance to the k nearest unless given. Core points have `least` neighbours within eps; clusters are components of cores, borders join the
     smallest core's, noise is null. Labels spread by minima until nothing moves."""
-    near = both_ways(d).where(F.col("d") <= eps).select("a", "b")
+    limit = rank_scores(d, k).agg((1.5 * F.avg("knn")).alias("_eps")) if eps is None else d.sparkSession.range(1).select(F.lit(float(eps)).alias("_eps"))
+    near = both_ways(d).join(F.broadcast(limit)).where(F.col("d") <= F.col("_eps")).select("a", "b")
     cores = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least - 1).select("a")
     links = near.join(cores, "a", "left_semi").join(cores.withColumnRenamed("a", "b"), "b", "left_semi").checkpoint()
     labels = cores.select("a", F.col("a").alias("l")).checkpoint()

@@ -66,35 +66,75 @@ def pair_table(ids: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b"))
 
 
-def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", keys: Sequence[str] = (), metric: str = "euclidean", blocks: int = 8) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Row number from 1 by order within keys; without keys by range partitions and their counts (P6), never in one task."""
+    if keys:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return prefix_sum(df.withColumn("_one", F.lit(1).cast("long")), order, ["_one"]).drop("_one").withColumnRenamed("cum__one", name)
+
+
+#: Rows and queries of one task of a kNN join, and queries of one matrix product in it.
+ROW_BLOCK, QUERY_BLOCK, PRODUCT_BLOCK = 8192, 8192, 256
+
+
+def nearest(ids: np.ndarray, queries: np.ndarray, names: np.ndarray, rows: np.ndarray, k: int, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, row ids and distances of each query's k nearest rows of another id; ties by id.
+
+    A matrix product gives squared distances up to rounding; the rows that can
+    be among the k nearest within that rounding are then measured exactly.
+    """
+    order = np.argsort(names, kind="stable")
+    names, rows = names[order], rows[order]
+    square = (rows * rows).sum(1)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(ids), PRODUCT_BLOCK):
+        own, q = ids[lo : lo + PRODUCT_BLOCK], queries[lo : lo + PRODUCT_BLOCK]
+        if metric == "cityblock":
+            near = np.stack([np.abs(rows - x).sum(1) for x in q])
+            slack = np.zeros(len(q))
+        else:
+            mine = (q * q).sum(1)
+            near = mine[:, None] + square[None] - 2 * q @ rows.T
+            slack = 1e-10 * (mine + square.max())
+        near[own[:, None] == names[None]] = np.inf
+        kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+        i, j = np.nonzero((near <= (kth + slack)[:, None]) & np.isfinite(near))
+        apart = rows[j] - q[i]
+        d = np.abs(apart).sum(1) if metric == "cityblock" else np.sqrt((apart * apart).sum(1))
+        best = np.lexsort((names[j], d, i))
+        i, j, d = i[best], j[best], d[best]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((own[i[keep]], names[j[keep]], d[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", keys: Sequence[str] = (), metric: str = "euclidean") -> DataFrame:
     """The k nearest other rows of each query: (keys, query_id, id, dist, rank).
 
-    Queries are copied to each block of rows, a block's k nearest are found with
-    one matrix product, and blocks' candidates are merged. Ties go to the
-    smaller id. Blocks bound the size of a task: rows / blocks vectors.
+    Each key's queries and rows are dealt into as many blocks as their counts
+    ask for, so a task holds at most about QUERY_BLOCK queries and ROW_BLOCK
+    rows whatever the input; every block of queries meets every block of rows,
+    and blocks' candidates are merged. Ties go to the smaller id.
     """
-    part = F.pmod(F.xxhash64(id_col), F.lit(blocks))
-    q = queries.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    r = rows.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.lit(1).alias("kind"), part.alias("block"))
+    blocks = lambda df, size, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    with_blocks = lambda df, sizes: df.join(sizes, list(keys)) if keys else df.join(F.broadcast(sizes))
+    sizes = with_blocks(blocks(queries, QUERY_BLOCK, "_qn"), blocks(rows, ROW_BLOCK, "_rn"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = lambda df, kind: with_blocks(df.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.lit(kind).alias("kind")), sizes)
+    q = base(queries, 0).where("_rn > 0").withColumn("qb", own("_qn")).withColumn("rb", every("_rn"))
+    r = base(rows, 1).where("_qn > 0").withColumn("rb", own("_rn")).withColumn("qb", every("_qn"))
+    dealt = q.drop("_qn", "_rn").unionByName(r.drop("_qn", "_rn"))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, rs = pdf[pdf.kind == 0], pdf[pdf.kind == 1].sort_values("id")
+        qs, rs = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
         if qs.empty or rs.empty:
             return pd.DataFrame({**{c: pdf[c][:0] for c in keys}, "query_id": pdf.id[:0], "id": pdf.id[:0], "dist": np.zeros(0)})
-        a, b, names = np.stack(qs.vec), np.stack(rs.vec), rs.id.to_numpy()
-        out = []
-        for qid, x in zip(qs.id.to_numpy(), a):
-            d = np.abs(b - x).sum(1) if metric == "cityblock" else np.sqrt(((b - x) ** 2).sum(1))
-            d[names == qid] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            out += [(qid, names[i], d[i]) for i in best if np.isfinite(d[i])]
-        got = pd.DataFrame(out, columns=["query_id", "id", "dist"])
-        for c in keys:
-            got.insert(0, c, pdf[c].iloc[0])
-        return got
+        found = nearest(qs.id.to_numpy(), np.stack(qs.vec), rs.id.to_numpy(), np.stack(rs.vec), k, metric)
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, **dict(zip(("query_id", "id", "dist"), found))})
 
     kind = dict(queries.dtypes)
-    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in reversed(list(keys))), f"query_id {kind[id_col]}", f"id {kind[id_col]}", "dist double"])
-    found = q.unionByName(r).groupBy(*keys, "block").applyInPandas(near, schema)
+    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in keys), f"query_id {kind[id_col]}", f"id {kind[id_col]}", "dist double"])
+    found = dealt.groupBy(*keys, "qb", "rb").applyInPandas(near, schema)
     order = Window.partitionBy(*keys, "query_id").orderBy("dist", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wakelane.functions.columns import hash_order, hash_uniform
 from wakelane.operators.clean import normal_draw
-from wakelane.operators.primitives import knn_join
+from wakelane.operators.primitives import knn_join, numbered
 
 
 def class_sizes(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
@@ -24,10 +24,10 @@ def _with(df: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def random_undersample(df: DataFrame, y: str, key: str, ratio: float, seed: int, keys: Sequence[str] = ()) -> DataFrame:
     """Keeps int(minority / ratio) majority rows with the smallest hashes; per key where keys are given."""
-    rows = _with(df, class_sizes(df, keys, y), keys)
-    place = F.row_number().over(Window.partitionBy(*keys, y).orderBy(hash_order(seed, key), key))
-    keep = (F.col(y) == 1) | (F.col("_lo") == 0) | (place <= F.floor(F.col("_lo") / ratio))
-    return rows.withColumn("_keep", keep).where("_keep").select(*df.columns)
+    majority = numbered(df.where(F.col(y) == 0).withColumn("_h", hash_order(seed, key)), keys, ["_h", key], "_place")
+    rows = _with(majority, class_sizes(df, keys, y), keys)
+    kept = rows.where((F.col("_lo") == 0) | (F.col("_place") <= F.floor(F.col("_lo") / ratio)))
+    return df.where(F.col(y) == 1).unionByName(kept.select(*df.columns))
 
 
 def interpolate(a: str, b: str, u: Column) -> Column:
@@ -45,9 +45,8 @@ def smote(df: DataFrame, y: str, ratio: float, seed: int, k: int = 5, id_col: st
     source = minority if parents is None else parents
     near = knn_join(source, minority, k, id_col, vec_col, keys).groupBy(*keys, F.col("query_id").alias("parent")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda s: s.id).alias("_near"))
     sizes = class_sizes(df, keys, y).withColumn("_new", F.floor(F.col("_hi") * ratio).cast("long") - F.col("_lo")).where("_new > 0 AND _lo >= 2")
-    order = Window.partitionBy(*keys).orderBy(hash_order(seed, id_col), id_col)
-    ranked = source.select(*keys, F.col(id_col).alias("parent"), F.col(vec_col).alias("_a"), F.row_number().over(order).alias("_place"), F.count("*").over(Window.partitionBy(*keys)).alias("_m"))
-    rows = _with(ranked, sizes, keys).join(near, [*keys, "parent"])
+    ranked = numbered(source.select(*keys, F.col(id_col).alias("parent"), F.col(vec_col).alias("_a"), hash_order(seed, id_col).alias("_h")), keys, ["_h", "parent"], "_place").drop("_h")
+    rows = _with(_with(ranked, source.groupBy(*keys).agg(F.count("*").alias("_m")), keys), sizes, keys).join(near, [*keys, "parent"])
     made = rows.where("_place <= _new").withColumn("n", F.explode(F.sequence(F.col("_place").cast("long"), F.col("_new"), F.col("_m").cast("long"))))
     label = [F.col(c) for c in keys]
     pick = F.floor(hash_uniform(seed + 1, *label, F.col("n")) * F.size("_near")).cast("int") + 1
@@ -105,8 +104,7 @@ def augment_minority(df: DataFrame, y: str, ratio: float, seed: int, sigma: floa
     minority = df.where(F.col(y) == 1)
     sizes = class_sizes(df, [], y).withColumn("_new", F.floor(F.col("_hi") * ratio).cast("long") - F.col("_lo")).where("_new > 0")
     sd = minority.select(F.posexplode(vec_col)).groupBy("pos").agg(F.stddev_pop("col").alias("s")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda t: t.s).alias("_sd"))
-    place = F.row_number().over(Window.orderBy(hash_order(seed, id_col), id_col))
-    ranked = minority.select(F.col(id_col).alias("parent"), F.col(vec_col).alias("_v"), place.alias("_place"))
+    ranked = numbered(minority.select(F.col(id_col).alias("parent"), F.col(vec_col).alias("_v"), hash_order(seed, id_col).alias("_h")), [], ["_h", "parent"], "_place").drop("_h")
     rows = ranked.join(F.broadcast(sizes)).join(F.broadcast(sd)).where("_place <= _new")
     rows = rows.withColumn("n", F.explode(F.sequence(F.col("_place").cast("long"), F.col("_new"), F.col("_lo").cast("long"))))
     vec = F.col("_v")

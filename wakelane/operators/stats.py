@@ -196,11 +196,9 @@ def bootstrap_ci(df, keys, order, v, replicates=200, seed=1):
 
 
 def normal_ppf(p: Column) -> Column:
-    """Normal quantile by Acklam's central and tail fractions folded into a logistic start and two Newton steps."""
-    z = F.log(p / (1 - p)) * 0.5887
-    for _ in range(4):
-        z = z - (normal_cdf(z) - p) / (F.exp(-z * z / 2) * 0.3989422804014327)
-    return z
+    """Normal quantile: a logistic start and five Newton steps, each bound to a variable so that the expression stays small."""
+    step = lambda z, _: z - (normal_cdf(z) - p) / (F.exp(-z * z / 2) * 0.3989422804014327)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.log(p / (1 - p)) * 0.5887, step)
 
 
 def bootstrap_bca(df, keys, order, v, replicates=200, seed=1):
@@ -211,9 +209,11 @@ def bootstrap_bca(df, keys, order, v, replicates=200, seed=1):
     means = draws(df, keys, order, v, replicates, seed).groupBy(*keys, "b").agg(F.avg("v").alias("m")).join(base, list(keys))
     below = means.groupBy(*keys).agg(F.avg((F.col("m") < F.col("m0")).cast("double")).alias("share"), F.sort_array(F.collect_list("m")).alias("ms"))
     s = below.join(acc, list(keys)).withColumn("z0", normal_ppf(F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("share")))))
-    at = lambda z: normal_cdf(F.col("z0") + (F.col("z0") + z) / (1 - F.coalesce("a", F.lit(0.0)) * (F.col("z0") + z)))
-    pick = lambda p: F.element_at("ms", F.greatest(F.lit(1), F.least(F.size("ms"), F.ceil(p * F.size("ms")).cast("int"))))
-    return s.select(*keys, pick(at(-1.959964)).alias("lo"), pick(at(1.959964)).alias("hi"))
+    at = lambda z: F.col("z0") + (F.col("z0") + z) / (1 - F.coalesce("a", F.lit(0.0)) * (F.col("z0") + z))
+    shares = F.transform(F.array(at(-1.959964), at(1.959964)), normal_cdf)
+    place = lambda p: F.greatest(F.lit(1), F.least(F.size("ms"), F.ceil(p * F.size("ms")).cast("int")))
+    ends = F.transform(shares, lambda p: F.element_at("ms", place(p)))
+    return s.select(*keys, ends.alias("_e")).select(*keys, F.col("_e")[0].alias("lo"), F.col("_e")[1].alias("hi"))
 
 
 def cliff_delta_ci(df, keys, group, a, b, order, v, replicates=100, seed=1):

@@ -9,7 +9,8 @@ from wakelane.operators import domain, stats
 from wakelane.plans.base import GRID, MATRIX, features, fill, grid, long_matrix, matrix, r, read
 from wakelane.sources.files import latest_per_key
 
-N = 6
+#: Components of the given vectors; all of them are features.
+N = 64
 
 
 def _long(spark, d):
@@ -20,14 +21,18 @@ def _means(spark, d):
     return _long(spark, d).groupBy("s", "f").agg(F.avg("v").alias("m"))
 
 
+def _subjects(spark, d):
+    return read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("s")).agg((F.avg("c_acctbal") / 1000).alias("x"))
+
+
 def _d(spark, d):
-    """Distances between suppliers, a few dozen subjects."""
-    s = read(spark, d, "supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("s"), (F.col("s_acctbal") / 1000).alias("x"))
+    """Distances between nations by their customers' mean balance: all rows, and as many subjects as there are nations."""
+    s = _subjects(spark, d)
     return domain.pair_rows(s, ["x"]).select("a", "b", F.abs(F.col("x_a") - F.col("x_b")).alias("d"))
 
 
 def _groups(spark, d):
-    return read(spark, d, "supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("s"), (F.col("s_suppkey") % 3).alias("g"))
+    return _subjects(spark, d).select("s", (F.col("s") % 3).alias("g"))
 
 
 def _scores(spark, d):
@@ -35,19 +40,19 @@ def _scores(spark, d):
 
 
 def k1_mmd(spark, d):
-    m = matrix(spark, d).select("id", F.col("label").alias("s"), F.slice("vec", 1, 4).alias("vec"))
-    return fill(domain.mmd(m, 60))
+    return fill(domain.mmd(matrix(spark, d).select("id", F.col("label").alias("s"), "vec")))
 
 
 def k2_wasserstein(spark, d):
-    li = read(spark, d, "lineitem").where("l_suppkey < 9")
-    rows = li.select(F.col("l_suppkey").alias("s"), F.explode(F.array(F.struct(F.lit("q").alias("f"), F.col("l_quantity").alias("v")), F.struct(F.lit("x").alias("f"), (F.col("l_discount") * 100).alias("v")))).alias("r"))
+    li = read(spark, d, "lineitem")
+    rows = li.select(F.col("l_linenumber").alias("s"), F.explode(F.array(F.struct(F.lit("q").alias("f"), F.col("l_quantity").alias("v")), F.struct(F.lit("x").alias("f"), (F.col("l_discount") * 100).alias("v")))).alias("r"))
     return fill(domain.wasserstein(rows.select("s", "r.f", "r.v")))
 
 
 def k3_dtw(spark, d):
-    e = read(spark, d, "events").where("user_id < 20").groupBy(F.col("user_id").alias("s")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x.value).alias("x"))
-    return fill(domain.dtw(e), 4)
+    # A subject is an event type; its series are the means of the days.
+    days = read(spark, d, "events").groupBy(F.col("event_type").alias("s"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    return fill(domain.dtw(days.groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "v"))), lambda x: x.v).alias("x"))), 4)
 
 
 def k4_vector_distance(spark, d):
@@ -90,11 +95,11 @@ def k11_centroid_rank(spark, d):
 
 
 def k12_lof_rank(spark, d):
-    return fill(domain.lof_rank(matrix(spark, d).select("id", F.slice("vec", 1, 4).alias("vec")), 5))
+    return fill(domain.lof_rank(matrix(spark, d).select("id", "vec"), 5))
 
 
 def k13_isolation_forest(spark, d):
-    return fill(domain.isolation_forest_rank(matrix(spark, d).select("id", F.slice("vec", 1, 4).alias("vec")), 20, 32))
+    return fill(domain.isolation_forest_rank(matrix(spark, d).select("id", "vec"), 100, 256))
 
 
 def k14_assign_levels(spark, d):
@@ -123,7 +128,7 @@ def k19_correlation_structure(spark, d):
 
 
 def k19_pca_components(spark, d):
-    return domain.pca_components(matrix(spark, d).select(F.slice("vec", 1, 8).alias("vec")))
+    return domain.pca_components(matrix(spark, d).select("vec"))
 
 
 def k20_signal_contribution(spark, d):
@@ -136,11 +141,11 @@ def k21_project2d(spark, d):
 
 
 def k22_kmeans(spark, d):
-    return domain.kmeans(matrix(spark, d).select("id", F.slice("vec", 1, 4).alias("vec")), 3).groupBy("cluster").agg(F.count("*").alias("n"))
+    return domain.kmeans(matrix(spark, d).select("id", "vec"), 3).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def k22_dbscan(spark, d):
-    return domain.dbscan(_d(spark, d), 0.6)
+    return domain.dbscan(_d(spark, d))
 
 
 def k22_spectral(spark, d):
@@ -148,7 +153,7 @@ def k22_spectral(spark, d):
 
 
 def k23_cluster_centroids(spark, d):
-    return fill(domain.cluster_centroids(matrix(spark, d).select("id", F.col("label").alias("g"), F.slice("vec", 1, N).alias("vec"))))
+    return fill(domain.cluster_centroids(matrix(spark, d).select("id", F.col("label").alias("g"), "vec")))
 
 
 def k24_distance_vs_delta(spark, d):
@@ -214,14 +219,14 @@ def l11_ordered_sort(spark, d):
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "kl" and k[1:2].isdigit() and callable(f)}
 
-_D = "su AS (SELECT s_suppkey AS s, s_acctbal / 1000 AS x FROM supplier WHERE s_suppkey <= 40), d AS (SELECT p.s AS a, q.s AS b, abs(p.x - q.x) AS d FROM su p JOIN su q ON p.s < q.s), f AS (SELECT * FROM d UNION ALL SELECT b, a, d FROM d)"
+_D = "su AS (SELECT c_nationkey AS s, avg(c_acctbal) / 1000 AS x FROM customer GROUP BY 1), d AS (SELECT p.s AS a, q.s AS b, abs(p.x - q.x) AS d FROM su p JOIN su q ON p.s < q.s), f AS (SELECT * FROM d UNION ALL SELECT b, a, d FROM d)"
 _KNN = "kn AS (SELECT a AS s, avg(d) AS mean, median(d) AS median, avg(d) FILTER (k <= 5) AS knn FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM f) GROUP BY 1)"
 _LEVEL = lambda c, name: f"{name} AS (SELECT s, CASE WHEN i >= n - 3 THEN 'in_domain' WHEN i >= n // 2 - 1 AND i < n // 2 + 2 THEN 'mid_domain' WHEN i < 3 THEN 'out_domain' END AS level FROM (SELECT s, row_number() OVER (ORDER BY round({c}, 9) DESC, s) - 1 AS i, count(*) OVER () AS n FROM kn))"
 _LM = long_matrix(N) + ", mn AS (SELECT label AS s, f, avg(v) AS m FROM lm GROUP BY 1, 2)"
 _G = lambda body, more="": f"WITH {GRID}{', ' + more if more else ''} {body}"
 _PIV = "pv AS (SELECT condition, distance, avg(f2) FILTER (mode = 'A') AS \"A\", avg(f2) FILTER (mode = 'R') AS \"R\" FROM g GROUP BY 1, 2)"
 ORACLES = {
-    "k2_wasserstein": f"WITH v AS (SELECT l_suppkey AS s, 'q' AS f, l_quantity AS v FROM lineitem WHERE l_suppkey < 9 UNION ALL SELECT l_suppkey, 'x', l_discount * 100 FROM lineitem WHERE l_suppkey < 9), p AS (SELECT s, f, v, count(*) / sum(count(*)) OVER (PARTITION BY s, f) AS p FROM v GROUP BY 1, 2, 3), st AS (SELECT x.s AS a, y.s AS b, p.f, p.v, sum(CASE WHEN p.s = x.s THEN p.p ELSE -p.p END) AS p FROM (SELECT DISTINCT s FROM v) x JOIN (SELECT DISTINCT s FROM v) y ON x.s < y.s JOIN p ON p.s IN (x.s, y.s) GROUP BY ALL), ar AS (SELECT a, b, f, abs(sum(p) OVER w) * (lead(v) OVER w - v) AS z FROM st WINDOW w AS (PARTITION BY a, b, f ORDER BY v)) SELECT a, b, {r('avg(w)')} AS d FROM (SELECT a, b, f, least(coalesce(sum(z), 0), 1e6) AS w FROM ar GROUP BY ALL) GROUP BY 1, 2",
+    "k2_wasserstein": f"WITH v AS (SELECT l_linenumber AS s, 'q' AS f, l_quantity AS v FROM lineitem UNION ALL SELECT l_linenumber, 'x', l_discount * 100 FROM lineitem), p AS (SELECT s, f, v, count(*) / sum(count(*)) OVER (PARTITION BY s, f) AS p FROM v GROUP BY 1, 2, 3), st AS (SELECT x.s AS a, y.s AS b, p.f, p.v, sum(CASE WHEN p.s = x.s THEN p.p ELSE -p.p END) AS p FROM (SELECT DISTINCT s FROM v) x JOIN (SELECT DISTINCT s FROM v) y ON x.s < y.s JOIN p ON p.s IN (x.s, y.s) GROUP BY ALL), ar AS (SELECT a, b, f, abs(sum(p) OVER w) * (lead(v) OVER w - v) AS z FROM st WINDOW w AS (PARTITION BY a, b, f ORDER BY v)) SELECT a, b, {r('avg(w)')} AS d FROM (SELECT a, b, f, least(coalesce(sum(z), 0), 1e6) AS w FROM ar GROUP BY ALL) GROUP BY 1, 2",
     "k4_vector_distance": f"WITH {_LM} SELECT x.s AS a, y.s AS b, {r('sqrt(sum((x.m - y.m) ** 2))')} AS euclidean, {r('sum(abs(x.m - y.m))')} AS cityblock, {r('1 - sum(x.m * y.m) / sqrt(sum(x.m * x.m) * sum(y.m * y.m))')} AS cosine FROM mn x JOIN mn y ON x.f = y.f AND x.s < y.s GROUP BY 1, 2",
     "k5_pairwise_distance": f"WITH {_LM} SELECT x.s AS a, y.s AS b, {r('sqrt(sum((x.m - y.m) ** 2))')} AS d FROM mn x JOIN mn y ON x.f = y.f AND x.s <> y.s GROUP BY 1, 2",
     "k6_distance_stats": f"WITH {_D} SELECT a, {r('avg(d)')} AS mean, {r('stddev_pop(d)')} AS std FROM f GROUP BY 1",
@@ -231,7 +236,7 @@ ORACLES = {
     "k9_rank_scores": f"WITH {_D}, {_KNN} SELECT s AS a, {r('mean')} AS mean, {r('median')} AS median, {r('knn')} AS knn FROM kn",
     "k10_medoid_rank": f"WITH {_D}, md AS (SELECT a AS m FROM f GROUP BY 1 ORDER BY round(sum(d), 9), a LIMIT 1) SELECT a, {r('d')} AS score FROM f WHERE b = (SELECT m FROM md) UNION ALL SELECT m, {r('0.0')} FROM md",
     "k11_centroid_rank": f"SELECT s_suppkey AS s, {r('sqrt((s_acctbal / 1000 - (SELECT avg(s_acctbal / 1000) FROM supplier)) ** 2 + (s_nationkey - (SELECT avg(s_nationkey) FROM supplier)) ** 2)')} AS score FROM supplier",
-    "k12_lof_rank": f"WITH {MATRIX}, nr AS (SELECT q, id, dist, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS k FROM (SELECT a.id AS q, b.id, sqrt(list_sum(list_transform([1, 2, 3, 4], lambda i: (a.vec[i] - b.vec[i]) ** 2))) AS dist FROM m a JOIN m b ON a.id <> b.id)), n5 AS (SELECT * FROM nr WHERE k <= 5), kd AS (SELECT q AS id, max(dist) AS kd FROM n5 GROUP BY 1), lr AS (SELECT q, 1 / (avg(greatest(dist, kd)) + 1e-10) AS l FROM n5 JOIN kd USING (id) GROUP BY 1) SELECT n5.q AS id, {r('avg(o.l) / max(lr.l)')} AS lof FROM n5 JOIN lr o ON o.q = n5.id JOIN lr ON lr.q = n5.q GROUP BY 1",
+    "k12_lof_rank": f"WITH {MATRIX}, nr AS (SELECT q, id, dist, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS k FROM (SELECT a.id AS q, b.id, sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (a.vec[i] - b.vec[i]) ** 2))) AS dist FROM m a JOIN m b ON a.id <> b.id)), n5 AS (SELECT * FROM nr WHERE k <= 5), kd AS (SELECT q AS id, max(dist) AS kd FROM n5 GROUP BY 1), lr AS (SELECT q, 1 / (avg(greatest(dist, kd)) + 1e-10) AS l FROM n5 JOIN kd USING (id) GROUP BY 1) SELECT n5.q AS id, {r('avg(o.l) / max(lr.l)')} AS lof FROM n5 JOIN lr o ON o.q = n5.id JOIN lr ON lr.q = n5.q GROUP BY 1",
     "k14_assign_levels": f"WITH {_D}, {_KNN}, {_LEVEL('knn', 'lv')} SELECT s, level FROM lv WHERE level IS NOT NULL",
     "k15_split2_groups": f"WITH {_D}, {_KNN} SELECT s, CASE WHEN row_number() OVER (ORDER BY round(knn, 9) DESC, s) <= 4 THEN 'out_domain' ELSE 'in_domain' END AS level FROM kn",
     "k16_rank_export": f"WITH {_D}, {_KNN}, sc AS (SELECT s, round(knn, 9) AS v FROM kn) SELECT s, 'in' AS level FROM (SELECT s FROM sc ORDER BY v, s LIMIT 2) UNION ALL SELECT s, 'out' FROM (SELECT s FROM sc ORDER BY v DESC, s LIMIT 2) UNION ALL SELECT s, 'mid' FROM (SELECT s FROM sc ORDER BY abs(v - (SELECT median(v) FROM sc)), s LIMIT 2)",

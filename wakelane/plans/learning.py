@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from wakelane.operators import metrics, resample, select
 from wakelane.plans.base import MATRIX, SCORED, features, fill, long_matrix, matrix, r, read, scored
 
-N = 12
+#: Components of the given vectors; all of them are features.
+N = 64
 
 
 def _long(spark, d):
@@ -15,7 +16,7 @@ def _long(spark, d):
 
 
 def _narrow(spark, d):
-    return matrix(spark, d).select("id", "y", "label", F.slice("vec", 1, 8).alias("vec"))
+    return matrix(spark, d).select("id", "y", "label", "vec")
 
 
 def _first(df):
@@ -200,8 +201,9 @@ def i19_trial_convergence(spark, d):
 
 
 def i20_mean_roc(spark, d):
-    c = metrics.roc_curve(scored(spark, d).where("l_suppkey < 10"), ["grp", "l_suppkey"], "y", "score").where("fpr IS NOT NULL AND tpr IS NOT NULL")
-    return fill(metrics.mean_roc(c, ["grp"], "l_suppkey", 51))
+    li = read(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_discount") * 5 + F.col("l_tax")).alias("score"), F.col("l_linestatus").alias("grp"), F.col("l_linenumber").alias("seed"))
+    c = metrics.roc_curve(li, ["grp", "seed"], "y", "score").where("fpr IS NOT NULL AND tpr IS NOT NULL")
+    return fill(metrics.mean_roc(c, ["grp"], "seed", 501))
 
 
 def i21_auc_trapezoid(spark, d):
@@ -221,8 +223,8 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "ghi" and k[1:2]
 QUERIES |= {"g10_jitter_scale": _augment("jitter_scale"), "g11_augment_minority": _augment("jitter")}
 
 _UQ = lambda seed, key: f"(CAST(('0x' || substr(md5('{seed}:' || {key}), 1, 8)) AS BIGINT) / 4294967296.0)"
-_M8 = MATRIX + ", m8 AS (SELECT id, y, label, vec[1:8] AS vec FROM m)"
-_DIST = "sqrt(list_sum(list_transform(generate_series(1, 8), lambda i: (a.vec[i] - b.vec[i]) ** 2)))"
+_M8 = MATRIX + ", m8 AS (SELECT id, y, label, vec FROM m)"
+_DIST = "sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (a.vec[i] - b.vec[i]) ** 2)))"
 _CM = "count(*) FILTER (y = 0 AND NOT p) AS tn, count(*) FILTER (y = 0 AND p) AS fp, count(*) FILTER (y = 1 AND NOT p) AS fn, count(*) FILTER (y = 1 AND p) AS tp"
 _RATES = f"""{r('(tn + tp) / (tn + fp + fn + tp)')} AS accuracy, {r('coalesce(tp / nullif(tp + fp, 0), 0)')} AS precision, {r('coalesce(tp / nullif(tp + fn, 0), 0)')} AS recall, {r('coalesce(tn / nullif(tn + fp, 0), 0)')} AS specificity,
  {r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS f1, CASE WHEN tp > 0 THEN {r('5 * tp / (5 * tp + 4 * fn + fp)')} END AS f2, {r('(fp + fn) / (tn + fp + fn + tp)')} AS mse"""
@@ -266,7 +268,7 @@ ORACLES = {
     "i16_subject_metrics": f"WITH {SCORED}, k AS (SELECT l_suppkey, {_CM} FROM (SELECT *, score >= 0.3 AS p FROM s) GROUP BY 1) SELECT *, {_RATES} FROM k WHERE tp + fn > 0",
     "i17_ensemble": f"WITH {SCORED}, l AS (SELECT row_id, score AS v, 1 AS w FROM s UNION ALL SELECT row_id, 1 - score, 2 FROM s UNION ALL SELECT row_id, score / 2, 3 FROM s) SELECT row_id, count(*) FILTER (v >= 0.5) > count(*) / 2 AS majority, max(v) >= 0.5 AS any_positive, {r('avg(v)')} AS mean, {r('sum(v * w) / sum(w)')} AS weighted FROM l GROUP BY 1",
     "i19_trial_convergence": f"WITH b AS (SELECT user_id, event_id, value, max(value) OVER w AS best, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING) AS rolling FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, {r('value')} AS value, {r('best')} AS best, {r('best - lag(best, 10) OVER (PARTITION BY user_id ORDER BY event_id)')} AS gain, {r('rolling')} AS rolling FROM b",
-    "i20_mean_roc": f"WITH {SCORED}, s2 AS (SELECT * FROM s WHERE l_suppkey < 10), {_CURVE('grp, l_suppkey').replace('FROM s ', 'FROM s2 ')}, pt0 AS (SELECT grp, l_suppkey, fp / nn AS fpr, tp / np AS tpr FROM c WHERE nn > 0 AND np > 0), pt AS (SELECT grp, l_suppkey, fpr, max(tpr) AS tpr FROM (SELECT * FROM pt0 UNION ALL SELECT DISTINCT grp, l_suppkey, 0, 0 FROM pt0 UNION ALL SELECT DISTINCT grp, l_suppkey, 1, 1 FROM pt0) GROUP BY 1, 2, 3), sg AS (SELECT *, lead(fpr) OVER w AS x1, lead(tpr) OVER w AS y1 FROM pt WINDOW w AS (PARTITION BY grp, l_suppkey ORDER BY fpr)), gr AS (SELECT grp, k, CASE WHEN x1 IS NULL THEN tpr ELSE tpr + (y1 - tpr) * (k / 50 - fpr) / (x1 - fpr) END AS y FROM sg JOIN (SELECT unnest(range(51)) AS k) ON k >= ceil(fpr * 50 - 1e-9) AND k <= coalesce(ceil(x1 * 50 - 1e-9) - 1, 50)) SELECT grp, CAST(k AS INTEGER) AS k, {r('avg(y)')} AS mean, {r('stddev_pop(y)')} AS sigma FROM gr GROUP BY 1, 2",
+    "i20_mean_roc": f"WITH {SCORED}, s2 AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_discount * 5 + l_tax AS score, l_linestatus AS grp, l_linenumber AS l_suppkey FROM lineitem), {_CURVE('grp, l_suppkey').replace('FROM s ', 'FROM s2 ')}, pt0 AS (SELECT grp, l_suppkey, fp / nn AS fpr, tp / np AS tpr FROM c WHERE nn > 0 AND np > 0), pt AS (SELECT grp, l_suppkey, fpr, max(tpr) AS tpr FROM (SELECT * FROM pt0 UNION ALL SELECT DISTINCT grp, l_suppkey, 0, 0 FROM pt0 UNION ALL SELECT DISTINCT grp, l_suppkey, 1, 1 FROM pt0) GROUP BY 1, 2, 3), sg AS (SELECT *, lead(fpr) OVER w AS x1, lead(tpr) OVER w AS y1 FROM pt WINDOW w AS (PARTITION BY grp, l_suppkey ORDER BY fpr)), gr AS (SELECT grp, k, CASE WHEN x1 IS NULL THEN tpr ELSE tpr + (y1 - tpr) * (k / 500 - fpr) / (x1 - fpr) END AS y FROM sg JOIN (SELECT unnest(range(501)) AS k) ON k >= ceil(fpr * 500 - 1e-9) AND k <= coalesce(ceil(x1 * 500 - 1e-9) - 1, 500)) SELECT grp, CAST(k AS INTEGER) AS k, {r('avg(y)')} AS mean, {r('stddev_pop(y)')} AS sigma FROM gr GROUP BY 1, 2",
     "i21_auc_trapezoid": f"WITH {SCORED}, {_CURVE('l_suppkey')}, z AS (SELECT l_suppkey, fp / nullif(nn, 0) AS x, tp / nullif(np, 0) AS y, coalesce(lag(fp / nullif(nn, 0)) OVER w, 0) AS x0, coalesce(lag(tp / nullif(np, 0)) OVER w, 0) AS y0 FROM c WINDOW w AS (PARTITION BY l_suppkey ORDER BY score DESC)) SELECT l_suppkey, {r('sum((x - x0) * (y + y0) / 2)')} AS auc FROM z GROUP BY 1",
     "i22_threshold_compare": f"WITH {SCORED}, g AS (SELECT unnest(range(1001)) AS k), q AS (SELECT grp, k, count(*) FILTER (floor(score / 0.001 + 1e-9) >= k) AS a, sum(y) FILTER (floor(score / 0.001 + 1e-9) >= k) AS tp, sum(y) AS np FROM s, g GROUP BY 1, 2), f AS (SELECT grp, k, round(coalesce(2 * tp / nullif(np + a, 0), 0), 12) AS f FROM q), b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY f DESC, k) AS n FROM f), x AS (SELECT grp, 2 * count(*) FILTER (y = 1 AND score >= 0.5) / nullif(sum(y) + count(*) FILTER (score >= 0.5), 0) AS f1 FROM s GROUP BY 1) SELECT grp, {r('k * 0.001')} AS thr, {r('f')} AS f1_best, {r('coalesce(f1, 0)')} AS f1_fixed FROM b JOIN x USING (grp) WHERE n = 1",
     "i23_confusion_summary": f"WITH {SCORED}, k AS (SELECT grp, {_CM} FROM (SELECT *, score >= 0.3 AS p FROM s) GROUP BY 1) SELECT *, {r('coalesce(fp / nullif(fp + tn, 0), 0)')} AS fpr, {r('coalesce(fn / nullif(fn + tp, 0), 0)')} AS fnr FROM k",

@@ -25,7 +25,7 @@ def p3_sliding_frames(spark, d):
 
 
 def p4_knn_join(spark, d):
-    m = matrix(spark, d).where("label < 3")
+    m = matrix(spark, d)
     return fill(primitives.knn_join(m, m, 3, vec_col="vec", keys=["label"]).select("label", "query_id", "id", "rank", "dist"), 4)
 
 
@@ -150,9 +150,10 @@ def d5_semi_anti(spark, d):
 
 
 def d7_pairs(spark, d):
-    s = read(spark, d, "supplier").where("s_nationkey < 3").select("s_suppkey", "s_acctbal")
-    p = primitives.pair_table(s, "s_suppkey")
-    a, b = s.select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x")), s.select(F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"))
+    # Subjects are nations: every supplier counts, and pairs stay few.
+    s = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("m"))
+    p = primitives.pair_table(s, "s_nationkey")
+    a, b = s.select(F.col("s_nationkey").alias("a"), F.col("m").alias("x")), s.select(F.col("s_nationkey").alias("b"), F.col("m").alias("y"))
     return p.join(a, "a").join(b, "b").select("a", "b", shown(F.abs(F.col("x") - F.col("y"))).alias("d"))
 
 
@@ -162,8 +163,8 @@ def d8_knn_join(spark, d):
 
 
 def d9_missing_cells(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 40 = 1").select("o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month"))
-    return joins.missing_cells(o, ["o_orderstatus", "o_orderpriority", "month"])
+    o = read(spark, d, "orders").select("o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    return joins.missing_cells(o, ["o_orderstatus", "o_orderpriority", "day"])
 
 
 def e1_band_ratio(spark, d):
@@ -230,7 +231,7 @@ ORACLES = {
     "p1_tie_rank": "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS rank FROM lineitem",
     "p2_hash_uniform": "SELECT o_orderkey, CAST(('0x' || substr(md5('7:' || o_orderkey), 1, 8)) AS BIGINT) / 4294967296.0 AS u, md5('7:' || o_orderkey) AS h FROM orders",
     "p3_sliding_frames": W("SELECT user_id, win, idx, event_id FROM fr"),
-    "p4_knn_join": f"WITH {MATRIX}, q AS (SELECT a.label, a.id AS query_id, b.id, sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (a.vec[i] - b.vec[i]) ** 2))) AS dist FROM m a JOIN m b ON a.label = b.label AND a.id <> b.id WHERE a.label < 3), k AS (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY dist, id) AS rank FROM q) SELECT label, query_id, id, CAST(rank AS INTEGER) AS rank, {r('dist', 4)} AS dist FROM k WHERE rank <= 3",
+    "p4_knn_join": f"WITH {MATRIX}, q AS (SELECT a.label, a.id AS query_id, b.id, sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (a.vec[i] - b.vec[i]) ** 2))) AS dist FROM m a JOIN m b ON a.label = b.label AND a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY dist, id) AS rank FROM q) SELECT label, query_id, id, CAST(rank AS INTEGER) AS rank, {r('dist', 4)} AS dist FROM k WHERE rank <= 3",
     "p5_pair_table": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
     "p6_prefix_sum": "SELECT l_quantity, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY l_quantity) AS BIGINT) AS cum_n FROM lineitem GROUP BY l_quantity",
     "c1_gradient": f"WITH {SIG}, z AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS a FROM sig WINDOW w AS (PARTITION BY user_id ORDER BY idx)) SELECT user_id, idx, {r('60.0 * CASE WHEN b IS NULL THEN a - x WHEN a IS NULL THEN x - b ELSE (a - b) / 2 END')} AS gradient FROM z",
@@ -259,9 +260,9 @@ ORACLES = {
     "d3_inner": f"WITH {SIG}, {_PER}, {_TUM} SELECT user_id, count(*) AS n FROM pc JOIN tm USING (user_id, bucket) GROUP BY 1",
     "d4_left_normalised": "SELECT n_name, n FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 2) ON c_nationkey = n_nationkey",
     "d5_semi_anti": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) THEN 'in' ELSE 'out' END AS side FROM customer",
-    "d7_pairs": f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, {r('abs(a.s_acctbal - b.s_acctbal)')} AS d FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_nationkey < 3 AND b.s_nationkey < 3",
+    "d7_pairs": f"WITH s AS (SELECT s_nationkey AS k, avg(s_acctbal) AS m FROM supplier GROUP BY 1) SELECT a.k AS a, b.k AS b, {r('abs(a.m - b.m)')} AS d FROM s a JOIN s b ON a.k < b.k",
     "d8_knn_join": f"WITH {MATRIX}, q AS (SELECT a.id AS query_id, b.id, sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (a.vec[i] - b.vec[i]) ** 2))) AS dist FROM m a JOIN m b ON a.id <> b.id WHERE a.y = 1), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM q) SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5",
-    "d9_missing_cells": "WITH o AS (SELECT DISTINCT o_orderstatus, o_orderpriority, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders WHERE o_orderkey % 40 = 1) SELECT * FROM (SELECT DISTINCT o_orderstatus FROM o), (SELECT DISTINCT o_orderpriority FROM o), (SELECT DISTINCT month FROM o) EXCEPT SELECT * FROM o",
+    "d9_missing_cells": "WITH o AS (SELECT DISTINCT o_orderstatus, o_orderpriority, CAST(o_orderdate AS DATE) AS day FROM orders) SELECT * FROM (SELECT DISTINCT o_orderstatus FROM o), (SELECT DISTINCT o_orderpriority FROM o), (SELECT DISTINCT day FROM o) EXCEPT SELECT * FROM o",
     "e1_band_ratio": f"SELECT l_orderkey, l_linenumber, {r('((l_quantity + l_extendedprice) / 2 + CASE WHEN (l_discount + l_tax) / 2 = 0 THEN 1e-10 ELSE (l_discount + l_tax) / 2 END) / CASE WHEN (l_tax + l_quantity) / 2 = 0 THEN 1e-10 ELSE (l_tax + l_quantity) / 2 END', 4)} AS ratio FROM lineitem",
     "e2_bin_linear": f"WITH {SIG}, {_TRIM}, f AS (SELECT user_id, min(x) AS lo, max(x) AS hi FROM tr GROUP BY 1) SELECT event_id, CAST(CASE WHEN lo IS NULL OR hi <= lo THEN 1 ELSE 1 + list_sum(list_transform(generate_series(1, 8), lambda k: CAST(x >= lo + (hi - lo) / 9 * k AS INTEGER))) END AS INTEGER) AS label FROM sig LEFT JOIN f USING (user_id)",
     "e3_bin_percentile": f"WITH {SIG}, {_TRIM}, f AS (SELECT user_id, quantile_cont(x, [{', '.join(repr(100.0 / 9 * k / 100) for k in range(1, 8))}]) AS q FROM tr GROUP BY 1) SELECT event_id, CAST(1 + coalesce(list_sum(list_transform(q, lambda v: CAST(x >= v AS INTEGER))), 0) AS INTEGER) AS label FROM sig LEFT JOIN f USING (user_id)",

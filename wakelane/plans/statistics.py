@@ -8,6 +8,8 @@ from wakelane.operators import metrics, stats
 from wakelane.operators.joins import paired
 from wakelane.plans.base import GRID, SCORED, fill, grid, r, read, scored
 
+#: Resamples of the bootstrap and permutation queries.
+REPLICATES = 2000
 CELL, A, B, FACTORS = ["mode", "distance", "level"], "1-URGENT", "2-HIGH", ["condition", "mode", "distance", "level"]
 
 
@@ -81,19 +83,19 @@ def j14_adjust_p(spark, d):
 
 
 def j15_bootstrap_ci(spark, d):
-    return fill(stats.bootstrap_ci(grid(spark, d), ["condition", "mode"], ["distance", "level", "seed"], "f2", 40, 3))
+    return fill(stats.bootstrap_ci(grid(spark, d), ["condition", "mode"], ["distance", "level", "seed"], "f2", REPLICATES, 3))
 
 
 def j16_bootstrap_bca(spark, d):
-    return fill(stats.bootstrap_bca(grid(spark, d), ["condition"], ["mode", "distance", "level", "seed"], "f2", 40, 3))
+    return fill(stats.bootstrap_bca(grid(spark, d), ["condition"], ["mode", "distance", "level", "seed"], "f2", REPLICATES, 3))
 
 
 def j17_cliff_delta_ci(spark, d):
-    return fill(stats.cliff_delta_ci(grid(spark, d), ["mode"], "condition", A, B, ["distance", "level", "seed"], "f2", 20, 3))
+    return fill(stats.cliff_delta_ci(grid(spark, d), ["mode"], "condition", A, B, ["distance", "level", "seed"], "f2", REPLICATES, 3))
 
 
 def j18_permutation_test(spark, d):
-    return fill(stats.permutation_test(grid(spark, d), ["mode", "level"], "condition", ["distance", "seed"], "f2", 20, 3))
+    return fill(stats.permutation_test(grid(spark, d), ["mode", "level"], "condition", ["distance", "seed"], "f2", REPLICATES, 3))
 
 
 def j19_t_ci(spark, d):
@@ -158,7 +160,7 @@ def j28_sobol_total(spark, d):
 
 
 def j29_bootstrap_sobol(spark, d):
-    return fill(stats.bootstrap_sobol(grid(spark, d), ["condition", "mode"], "f2", "seed", 20, 3))
+    return fill(stats.bootstrap_sobol(grid(spark, d), ["condition", "mode"], "f2", "seed", REPLICATES, 3))
 
 
 def j30_coverage(spark, d):
@@ -257,7 +259,7 @@ ORACLES = {
     "j11_brown_forsythe": W(f"SELECT mode, {r('((q - n * gm * gm) / (k - 1)) / (w / (n - k))')} AS \"F_stat\" FROM (SELECT mode, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS gm, sum(n * m * m) AS q, sum(n * s) AS w FROM (SELECT mode, condition, count(*) AS n, avg(z) AS m, var_pop(z) AS s FROM (SELECT mode, condition, abs(f2 - median(f2) OVER (PARTITION BY mode, condition)) AS z FROM g) GROUP BY 1, 2) GROUP BY 1 HAVING k >= 2 AND sum(n) > k)"),
     "j12_hodges_lehmann": W(f"SELECT {_K}, {r('median(x.f2 - y.f2)')} AS shift FROM g x JOIN g y USING ({_K}) WHERE x.condition = '1-URGENT' AND y.condition = '2-HIGH' GROUP BY ALL"),
     "j14_adjust_p": f"WITH p AS (SELECT s_suppkey, s_nationkey, (s_suppkey * 7919 % 1009) / 10090 AS p FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY p) AS k, count(*) OVER (PARTITION BY s_nationkey) AS m FROM p) SELECT s_suppkey, s_nationkey, {r('p')} AS p, {r('least(1, p * m)')} AS bonferroni, {r('least(1, min(p * m / k) OVER (PARTITION BY s_nationkey ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS bh, {r('least(1, max(p * (m - k + 1)) OVER (PARTITION BY s_nationkey ORDER BY k))')} AS holm FROM k",
-    "j15_bootstrap_ci": W(f"SELECT condition, mode, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM (SELECT s.condition, s.mode, b, avg(i.f2) AS m FROM sl s JOIN ix i ON i.condition = s.condition AND i.mode = s.mode AND i.i = s.p GROUP BY 1, 2, 3) GROUP BY 1, 2", f"ix AS (SELECT condition, mode, f2, row_number() OVER (PARTITION BY condition, mode ORDER BY distance, level, seed) - 1 AS i, count(*) OVER (PARTITION BY condition, mode) AS n FROM g), sl AS (SELECT condition, mode, b, floor({_UQ(3, chr(39) + chr(39) + ' || condition || ' + chr(39) + ':' + chr(39) + ' || mode || ' + chr(39) + ':' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || i')} * n) AS p FROM ix, (SELECT unnest(range(40)) AS b))"),
+    "j15_bootstrap_ci": W(f"SELECT condition, mode, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM (SELECT s.condition, s.mode, b, avg(i.f2) AS m FROM sl s JOIN ix i ON i.condition = s.condition AND i.mode = s.mode AND i.i = s.p GROUP BY 1, 2, 3) GROUP BY 1, 2", f"ix AS (SELECT condition, mode, f2, row_number() OVER (PARTITION BY condition, mode ORDER BY distance, level, seed) - 1 AS i, count(*) OVER (PARTITION BY condition, mode) AS n FROM g), sl AS (SELECT condition, mode, b, floor({_UQ(3, chr(39) + chr(39) + ' || condition || ' + chr(39) + ':' + chr(39) + ' || mode || ' + chr(39) + ':' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || i')} * n) AS p FROM ix, (SELECT unnest(range({REPLICATES})) AS b))"),
     "j20_sigma_rank": W(f"SELECT mode, {r('avg(s)')} AS mean_sigma, {r('max(s)')} AS max_sigma FROM (SELECT mode, condition, stddev_pop(k) AS s FROM (SELECT mode, a, b, condition, row_number() OVER (PARTITION BY mode, a, b ORDER BY m DESC, condition) AS k FROM (SELECT mode, a, b, condition, avg(f2) AS m FROM g JOIN (SELECT x AS a, y AS b FROM (SELECT unnest(range(1, 13)) AS x), (SELECT unnest(range(1, 13)) AS y) WHERE x < y) ON seed IN (a, b) GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2) GROUP BY 1"),
     "j23_domain_gap": W(f"SELECT condition, mode, {r('avg(gap)')} AS gap, {r('stddev_samp(gap)')} AS std, count(*) AS n FROM (SELECT condition, mode, seed, avg(f2) FILTER (level = 'O') - avg(f2) FILTER (level = 'F') AS gap FROM g GROUP BY ALL) WHERE gap IS NOT NULL GROUP BY 1, 2"),
     "j22_running_adequacy": W(f"SELECT condition, seed, n, {r('mean')} AS mean, {r('std')} AS std, n >= 3 AND round(max(mean) OVER w - min(mean) OVER w, 9) <= 0.01 AS flat FROM (SELECT condition, seed, row_number() OVER v AS n, avg(f2) OVER v AS mean, stddev_samp(f2) OVER v AS std FROM (SELECT condition, seed, avg(f2) AS f2 FROM g GROUP BY ALL) WINDOW v AS (PARTITION BY condition ORDER BY seed)) WINDOW w AS (PARTITION BY condition ORDER BY seed ROWS 2 PRECEDING)"),

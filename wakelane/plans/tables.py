@@ -27,7 +27,7 @@ def a3_select_features(spark, d):
 
 def _eval_lines(spark, d):
     """Evaluation records as JSON text, made of orders."""
-    o = read(spark, d, "orders").where("o_orderkey % 3 = 1")
+    o = read(spark, d, "orders")
     p, q = (F.col("o_orderkey") % 97) / 97, (F.col("o_orderkey") % 89) / 89
     rep = F.create_map(F.lit("1"), F.struct(p.alias("precision"), q.alias("recall"), ((p + q) / 2).alias("f1-score"), F.lit(5.0).alias("support")))
     old = F.col("o_orderkey") % 2 == 0
@@ -46,14 +46,14 @@ def a6_flatten_eval(spark, d):
 
 
 def a8_read_tuning_logs(spark, d):
-    e = read(spark, d, "events").where("user_id < 40")
+    e = read(spark, d, "events")
     head = F.concat(F.lit("[Run] tag=t"), F.col("user_id"), F.lit(" mode=m"), F.col("user_id") % 3)
     line = F.when(F.col("event_type") == "error", head).otherwise(F.concat(F.lit("[Search] Trial "), F.col("event_id"), F.lit(": value="), F.format_string("%.2f", "value"), F.lit(", best=9.5")))
     return files.parse_tuning_logs(e.select(F.col("user_id").cast("string").alias("file"), line.alias("value")))
 
 
 def a9_read_sampling_logs(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 5 = 1").select(F.col("o_orderkey").cast("string").alias("file"), F.explode(F.array(F.concat(F.lit("method=smote ratio=0.5 seed="), F.col("o_custkey")), F.concat(F.lit("train n="), F.col("o_orderkey") + 10, F.lit(" pos="), F.col("o_custkey")), F.concat(F.lit("Class distribution after oversampling: ["), F.col("o_orderkey"), F.lit(" "), F.col("o_custkey"), F.lit("]")))).alias("value"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("file"), F.explode(F.array(F.concat(F.lit("method=smote ratio=0.5 seed="), F.col("o_custkey")), F.concat(F.lit("train n="), F.col("o_orderkey") + 10, F.lit(" pos="), F.col("o_custkey")), F.concat(F.lit("Class distribution after oversampling: ["), F.col("o_orderkey"), F.lit(" "), F.col("o_custkey"), F.lit("]")))).alias("value"))
     return fill(files.parse_sampling_logs(o))
 
 
@@ -201,10 +201,10 @@ ORACLES = {
     "a1_read_signals": f"SELECT user_id, count(*) AS n, {r('sum(value)', 3)} AS total FROM events GROUP BY 1",
     "a2_read_features": "SELECT c_custkey AS k, c_acctbal AS v, NULL::BIGINT AS w FROM customer UNION ALL SELECT s_suppkey, NULL, s_nationkey FROM supplier",
     "a3_select_features": "SELECT p_partkey, p_size FROM part",
-    "a5_read_eval_results": "SELECT o_orderpriority AS model, count(*) AS n, count(*) FILTER (o_orderkey % 2 <> 0) AS reports FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1",
-    "a6_flatten_eval": f"WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, (o_orderkey % 97) / 97 AS p, (o_orderkey % 89) / 89 AS q FROM orders WHERE o_orderkey % 3 = 1) SELECT CAST(k AS VARCHAR) AS tag, {r('p')} AS precision, {r('q')} AS recall, {r('CASE WHEN k % 2 <> 0 THEN (p + q) / 2 END')} AS f1, {r('CASE WHEN k % 2 = 0 THEN q ELSE p END')} AS auc, {r('CASE WHEN 4 * p + q > 0 THEN 5 * p * q / (4 * p + q) END')} AS f2, c AS tn, k AS tp FROM o",
-    "a8_read_tuning_logs": "WITH e AS (SELECT * FROM events WHERE user_id < 40) SELECT CAST(user_id AS VARCHAR) AS file, (SELECT max('t' || user_id) FROM e x WHERE x.user_id = e.user_id AND event_type = 'error') AS tag, (SELECT max('m' || user_id % 3) FROM e x WHERE x.user_id = e.user_id AND event_type = 'error') AS mode, CAST(event_id AS INTEGER) AS trial, round(value, 2) AS value, 9.5::DOUBLE AS best FROM e WHERE event_type <> 'error'",
-    "a9_read_sampling_logs": f"SELECT CAST(o_orderkey AS VARCHAR) AS file, 'smote' AS method, 0.5::DOUBLE AS ratio, CAST(o_custkey AS INTEGER) AS seed, o_orderkey + 10 AS n, o_custkey AS pos, o_orderkey AS after_neg, o_custkey AS after_pos, {r('o_custkey / nullif(o_orderkey, 0)')} AS after_ratio FROM orders WHERE o_orderkey % 5 = 1",
+    "a5_read_eval_results": "SELECT o_orderpriority AS model, count(*) AS n, count(*) FILTER (o_orderkey % 2 <> 0) AS reports FROM orders GROUP BY 1",
+    "a6_flatten_eval": f"WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, (o_orderkey % 97) / 97 AS p, (o_orderkey % 89) / 89 AS q FROM orders) SELECT CAST(k AS VARCHAR) AS tag, {r('p')} AS precision, {r('q')} AS recall, {r('CASE WHEN k % 2 <> 0 THEN (p + q) / 2 END')} AS f1, {r('CASE WHEN k % 2 = 0 THEN q ELSE p END')} AS auc, {r('CASE WHEN 4 * p + q > 0 THEN 5 * p * q / (4 * p + q) END')} AS f2, c AS tn, k AS tp FROM o",
+    "a8_read_tuning_logs": "WITH e AS (SELECT * FROM events) SELECT CAST(user_id AS VARCHAR) AS file, (SELECT max('t' || user_id) FROM e x WHERE x.user_id = e.user_id AND event_type = 'error') AS tag, (SELECT max('m' || user_id % 3) FROM e x WHERE x.user_id = e.user_id AND event_type = 'error') AS mode, CAST(event_id AS INTEGER) AS trial, round(value, 2) AS value, 9.5::DOUBLE AS best FROM e WHERE event_type <> 'error'",
+    "a9_read_sampling_logs": f"SELECT CAST(o_orderkey AS VARCHAR) AS file, 'smote' AS method, 0.5::DOUBLE AS ratio, CAST(o_custkey AS INTEGER) AS seed, o_orderkey + 10 AS n, o_custkey AS pos, o_orderkey AS after_neg, o_custkey AS after_pos, {r('o_custkey / nullif(o_orderkey, 0)')} AS after_ratio FROM orders",
     "a10_matrix_to_pairs": "SELECT 'sum' AS metric, CAST(a.k AS VARCHAR) AS a, CAST(b.k AS VARCHAR) AS b, CASE WHEN a.k = b.k THEN (SELECT sum(n_nationkey) FROM nation WHERE n_regionkey = a.k) ELSE 0 END AS d FROM (SELECT unnest(range(5)) AS k) a, (SELECT unnest(range(5)) AS k) b",
     "a11_read_hyperparameters": "SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(p_size AS VARCHAR) AS depth, p_brand AS kind, 'true' AS boot, NULL::VARCHAR AS w FROM part",
     "b2_drop_eeg_columns": "SELECT * EXCLUDE (s_acctbal) FROM supplier",
