@@ -111,3 +111,35 @@ def test_cliff_and_adjusted_p_by_hand(spark):
     got = {r.p: r for r in adjust_p(p, ["k"], "p").collect()}
     assert [round(got[x].bh, 9) for x in (0.01, 0.02, 0.03, 0.2)] == [0.04, 0.04, 0.04, 0.2]
     assert [round(got[x].holm, 9) for x in (0.01, 0.02, 0.03, 0.2)] == [0.04, 0.06, 0.06, 0.2]
+
+
+def test_window_kernels_work_on_all_rows_alike(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(20, 33)), np.ones((1, 33)), rng.integers(0, 3, (5, 33)).astype(float)])
+    assert windows.sample_entropies(x).tolist() == pytest.approx([entropy_by_definition(r) if r.std() else 0.0 for r in x])
+    assert np.allclose(windows.multiwavelets(x), [packet_by_definition(r) for r in x])
+    rows = [(f"s{i % 2}", i, k, float(v)) for i, r in enumerate(x) for k, v in enumerate(r[: 33 if i % 3 else 20])]
+    df = spark.createDataFrame(rows, "k string, win long, idx int, x double").repartition(5)
+    got = {r.win: r for r in windows.per_window(df, ["k", "win"], lambda m: windows.time_statistics(m) | {"h": windows.shannon_entropies(m)}, "n long, h double, " + ", ".join(f"{c} double" for c in windows.TIME)).collect()}
+    want = {r.win: r for r in windows.window_features(df, ["k", "win"]).join(windows.shannon_entropy(df, ["k", "win"]), ["k", "win"]).collect()}
+    assert len(got) == len(want) == len(x)
+    for w, row in want.items():
+        assert got[w].h == pytest.approx(row.shannon_entropy, abs=1e-9)
+        for c in ("n", *windows.TIME):
+            assert got[w][c] == pytest.approx(row[c], abs=1e-9), (w, c)
+
+
+def test_bandpass_and_welch():
+    # Gain of the filter on the unit circle: 1/2 power at the cut-offs, all in the middle, none at the ends.
+    gain, sections = windows.butterworth_sections(5, 0.2, 0.4)
+    for f, want in ((0.2, 0.5**0.5), (0.4, 0.5**0.5), (0.0, 0.0), (1.0, 0.0), (0.29, 1.0)):
+        z = np.exp(-1j * np.pi * f)
+        h = gain * np.prod([(1 - z**2) / (1 + a1 * z + a2 * z**2) for _, a1, a2 in sections])
+        assert abs(h) == pytest.approx(want, abs=1e-3)
+    t = np.arange(2000) / 250
+    low, high = np.sin(2 * np.pi * 10 * t), np.sin(2 * np.pi * 40 * t)
+    kept = windows.bandpass((low + high)[None], 250, 8, 13)[0]
+    assert np.abs(kept - low)[800:1200].max() < 1e-3  # away from the ends, where the filter starts
+    f, p = windows.welch(low[None], 250, 500)
+    assert f[p[0].argmax()] == 10 and (p[0] * (f[1] - f[0])).sum() == pytest.approx(0.5, rel=1e-3)
+    assert windows.bandpass(np.ones((2, 16)), 128, 0.5, 4).shape == (2, 16)

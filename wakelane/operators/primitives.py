@@ -17,7 +17,10 @@ def tie_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank")
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    if keys:
+        ranks = counts.withColumn(name, F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    else:  # distinct values of a whole table: a distributed sum
+        ranks = prefix_sum(counts, [value], ["_n"]).select(value, (F.col("cum__n") - (F.col("_n") - 1) / 2).alias(name))
     names = [*keys, value]
     ranks = ranks.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(names)), name)
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)]

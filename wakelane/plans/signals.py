@@ -94,7 +94,7 @@ def c15_wavelet_features(spark, d):
 
 def c16_eeg_band_power(spark, d):
     bands = {"delta": (0.5, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 50)}
-    return fill(windows.eeg_band_power(frames(spark, d), BY, 100.0, bands))
+    return fill(windows.eeg_band_power(primitives.sliding_frames(signals(spark, d), KEYS, 40, 20), BY, 128.0, bands))
 
 
 def c17_perclos(spark, d):
