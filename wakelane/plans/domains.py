@@ -226,6 +226,7 @@ _LM = long_matrix(N) + ", mn AS (SELECT label AS s, f, avg(v) AS m FROM lm GROUP
 _G = lambda body, more="": f"WITH {GRID}{', ' + more if more else ''} {body}"
 _PIV = "pv AS (SELECT condition, distance, avg(f2) FILTER (mode = 'A') AS \"A\", avg(f2) FILTER (mode = 'R') AS \"R\" FROM g GROUP BY 1, 2)"
 ORACLES = {
+    "k1_mmd": f"WITH {MATRIX}, q AS (SELECT x.label AS la, y.label AS lb, x.id AS i, y.id AS j, list_sum(list_transform(generate_series(1, 64), lambda t: (x.vec[t] - y.vec[t]) ** 2)) AS q FROM m x, m y), pr AS (SELECT x.label AS a, y.label AS b FROM (SELECT DISTINCT label FROM m) x JOIN (SELECT DISTINCT label FROM m) y ON x.label < y.label), md AS (SELECT a, b, median(q) AS md FROM pr JOIN q ON la IN (a, b) AND lb IN (a, b) AND i < j GROUP BY 1, 2) SELECT a, b, {r('avg(exp(-q / (2 * md))) FILTER (la = a AND lb = a) + avg(exp(-q / (2 * md))) FILTER (la = b AND lb = b) - 2 * avg(exp(-q / (2 * md))) FILTER (la = a AND lb = b)')} AS d FROM md JOIN q ON la IN (a, b) AND lb IN (a, b) GROUP BY 1, 2",
     "k2_wasserstein": f"WITH v AS (SELECT l_linenumber AS s, 'q' AS f, l_quantity AS v FROM lineitem UNION ALL SELECT l_linenumber, 'x', l_discount * 100 FROM lineitem), p AS (SELECT s, f, v, count(*) / sum(count(*)) OVER (PARTITION BY s, f) AS p FROM v GROUP BY 1, 2, 3), st AS (SELECT x.s AS a, y.s AS b, p.f, p.v, sum(CASE WHEN p.s = x.s THEN p.p ELSE -p.p END) AS p FROM (SELECT DISTINCT s FROM v) x JOIN (SELECT DISTINCT s FROM v) y ON x.s < y.s JOIN p ON p.s IN (x.s, y.s) GROUP BY ALL), ar AS (SELECT a, b, f, abs(sum(p) OVER w) * (lead(v) OVER w - v) AS z FROM st WINDOW w AS (PARTITION BY a, b, f ORDER BY v)) SELECT a, b, {r('avg(w)')} AS d FROM (SELECT a, b, f, least(coalesce(sum(z), 0), 1e6) AS w FROM ar GROUP BY ALL) GROUP BY 1, 2",
     "k4_vector_distance": f"WITH {_LM} SELECT x.s AS a, y.s AS b, {r('sqrt(sum((x.m - y.m) ** 2))')} AS euclidean, {r('sum(abs(x.m - y.m))')} AS cityblock, {r('1 - sum(x.m * y.m) / sqrt(sum(x.m * x.m) * sum(y.m * y.m))')} AS cosine FROM mn x JOIN mn y ON x.f = y.f AND x.s < y.s GROUP BY 1, 2",
     "k5_pairwise_distance": f"WITH {_LM} SELECT x.s AS a, y.s AS b, {r('sqrt(sum((x.m - y.m) ** 2))')} AS d FROM mn x JOIN mn y ON x.f = y.f AND x.s <> y.s GROUP BY 1, 2",

@@ -238,6 +238,8 @@ _LO, _HI = "(SELECT count(*) FROM m8 WHERE y = 1)", "(SELECT count(*) FROM m8 WH
 ORACLES = {
     "g1_random_undersample": f"WITH {MATRIX} SELECT id, y FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('9:' || id), id) AS k FROM m) WHERE y = 1 OR k <= floor((SELECT count(*) FROM m WHERE y = 1) / 0.5)",
     "g2_smote": f"WITH {_M8}, nr AS (SELECT a.id AS parent, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 1 AND b.y = 1), nl AS (SELECT parent, list(id ORDER BY k) AS near FROM nr WHERE k <= 5 GROUP BY 1), pl AS (SELECT id AS parent, vec AS va, row_number() OVER (ORDER BY md5('21:' || id), id) AS place FROM m8 WHERE y = 1), nw AS (SELECT unnest(generate_series(1, CAST(floor({_HI} * 0.5) AS BIGINT) - {_LO})) AS n), pk AS (SELECT n, pl.parent, va, near[CAST(floor({_UQ(22, 'n')} * len(near)) AS INTEGER) + 1] AS neighbour, {_UQ(23, 'n')} AS u FROM nw JOIN pl ON place = (n - 1) % {_LO} + 1 JOIN nl ON nl.parent = pl.parent) SELECT n, parent, neighbour, {r('va[1] + u * (b.vec[1] - va[1])')} AS v1, {r('va[8] + u * (b.vec[8] - va[8])')} AS v8 FROM pk JOIN m8 b ON b.id = neighbour",
+    "g3_adasyn": f"WITH {_M8}, nr AS (SELECT a.id, b.y, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 1), sh AS (SELECT id, avg(1 - y) AS share FROM nr WHERE k <= 5 GROUP BY 1) SELECT id, {r('share')} AS share, CAST(round(share / (SELECT sum(share) FROM sh) * ({_HI} - {_LO})) AS BIGINT) AS new_rows FROM sh",
+    "g9_subjectwise_smote": f"WITH {MATRIX}, m8 AS (SELECT id, id % 3 AS subject, CAST(label < 3 AS INTEGER) AS y, vec FROM m), nr AS (SELECT a.id AS parent, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.subject = b.subject AND a.id <> b.id WHERE a.y = 1 AND b.y = 1), nl AS (SELECT parent, list(id ORDER BY k) AS near FROM nr WHERE k <= 5 GROUP BY 1), pl AS (SELECT subject, id AS parent, vec AS va, row_number() OVER (PARTITION BY subject ORDER BY md5('5:' || id), id) AS place FROM m8 WHERE y = 1), sz AS (SELECT subject, sum(y) AS lo, sum(1 - y) AS hi FROM m8 GROUP BY 1), nw AS (SELECT subject, lo, unnest(generate_series(1, CAST(floor(hi * 0.8) AS BIGINT) - CAST(lo AS BIGINT))) AS n FROM sz WHERE lo >= 2), pk AS (SELECT nw.subject, n, pl.parent, va, near[CAST(floor({_UQ(6, 'nw.subject || $$:$$ || n')} * len(near)) AS INTEGER) + 1] AS neighbour, {_UQ(7, 'nw.subject || $$:$$ || n')} AS u FROM nw JOIN pl ON pl.subject = nw.subject AND place = (n - 1) % lo + 1 JOIN nl ON nl.parent = pl.parent) SELECT pk.subject, n, parent, neighbour, {r('va[1] + u * (b.vec[1] - va[1])')} AS v1, {r('va[8] + u * (b.vec[8] - va[8])')} AS v8 FROM pk JOIN m8 b ON b.id = neighbour",
     "g5_tomek_links": f"WITH {_M8}, nr AS (SELECT a.id AS a, b.id AS b, a.y AS ya, b.y AS yb, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id), n1 AS (SELECT * FROM nr WHERE k = 1) SELECT id FROM m8 WHERE id NOT IN (SELECT x.a FROM n1 x JOIN n1 z ON x.a = z.b AND x.b = z.a WHERE x.ya = 0 AND x.yb = 1)",
     "g6_enn": f"WITH {_M8}, nr AS (SELECT a.id AS a, b.y AS yb, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 0) SELECT id FROM m8 WHERE id NOT IN (SELECT a FROM nr WHERE k <= 3 AND yb = 1)",
     "g9_subjectwise_rus": f"WITH {SCORED} SELECT row_id FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, y ORDER BY md5('9:' || row_id), row_id) AS k, sum(y) OVER (PARTITION BY l_suppkey) AS lo FROM s) WHERE y = 1 OR lo = 0 OR k <= floor(lo / 0.8)",

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wakelane.operators import clean, metrics, models, split
-from wakelane.plans.base import features, fill, matrix, read, signals
+from wakelane.plans.base import MATRIX, features, fill, matrix, r, read, signals
 from wakelane.sources import files
 
 
@@ -107,6 +107,7 @@ QUERIES |= {f"i1_{k}": _trainer(k) for k in ("random_forest", "decision_tree", "
 QUERIES |= {"i1_mlp": _trainer("mlp", layers=[8, 6, 2]), "i2_boosted_trees": _trainer("boosted_trees", rounds=3)}
 ORACLES = {
     "a4_write_features": "SELECT event_type AS pipeline, count(*) AS n FROM events GROUP BY 1",
+    "i4_knn_classify": f"WITH {MATRIX}, t AS (SELECT *, CAST(('0x' || substr(md5('1:' || id), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM m), nr AS (SELECT id, y, dist, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS k FROM (SELECT a.id, b.id AS other, b.y, sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (a.vec[i] - b.vec[i]) ** 2))) AS dist FROM t a JOIN t b ON a.u < 0.3 AND b.u >= 0.3)) SELECT id, {r('sum(y / (dist + 1e-10)) / sum(1 / (dist + 1e-10))')} AS score FROM nr WHERE k <= 5 GROUP BY 1",
     "a7_write_results": "SELECT o_orderpriority AS model, count(*) AS n FROM orders GROUP BY 1",
     "b5_common_columns": "SELECT n_nationkey, n_name FROM nation",
 }

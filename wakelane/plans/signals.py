@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wakelane.functions.columns import hash_order, hash_uniform, shown
 from wakelane.operators import joins, labels, primitives, windows
-from wakelane.plans.base import BY, FRAMES, KEYS, MATRIX, RATE, SIG, fill, frames, matrix, r, read, signals
+from wakelane.plans.base import BY, FRAMES, KEYS, MATRIX, RATE, SIG, SIZE, STEP, fill, frames, matrix, r, read, signals
 
 W = lambda body, with_=FRAMES: f"WITH {with_} {body}"
 
@@ -247,6 +247,12 @@ ORACLES = {
         f"SELECT user_id, win, {r('CASE WHEN r = 0 OR n <= 3 THEN 0.0 WHEN coalesce(a, 0) = 0 OR coalesce(b, 0) = 0 THEN 10.0 ELSE -ln(a / b) END')} AS sample_entropy FROM s LEFT JOIN k USING (user_id, win)",
         FRAMES + ", s AS (SELECT user_id, win, 0.2 * stddev_pop(x) AS r, count(*) AS n FROM fr GROUP BY 1, 2), o AS (SELECT user_id, win, idx - win * 8 AS i, x, lead(x) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM fr WINDOW w AS (PARTITION BY user_id, win ORDER BY idx)), k AS (SELECT p.user_id, p.win, count(*) FILTER (abs(p.x - q.x) <= r AND abs(p.x1 - q.x1) <= r) AS b, count(*) FILTER (abs(p.x - q.x) <= r AND abs(p.x1 - q.x1) <= r AND abs(p.x2 - q.x2) <= r) AS a FROM o p JOIN o q ON p.user_id = q.user_id AND p.win = q.win AND p.i < q.i JOIN s ON s.user_id = p.user_id AND s.win = p.win GROUP BY 1, 2)",
     ),
+    "c11_spectral": f"""WITH {FRAMES},
+pk AS (SELECT user_id, win, k, sum(x * cos(2 * pi() * k * (idx - win * {STEP}) / {SIZE})) ** 2 + sum(x * sin(2 * pi() * k * (idx - win * {STEP}) / {SIZE})) ** 2 AS p FROM fr, (SELECT unnest(range({SIZE})) AS k) GROUP BY ALL),
+fk AS (SELECT *, (CASE WHEN 2 * k < {SIZE} THEN k ELSE k - {SIZE} END) * {RATE} / {SIZE} AS f, lead(p) OVER (PARTITION BY user_id, win ORDER BY k) - p AS step FROM pk),
+tk AS (SELECT *, f >= 0.5 AND f <= 30 AS b, sum(p) FILTER (f >= 0.5 AND f <= 30) OVER (PARTITION BY user_id, win) + 2.220446049250313e-16 AS t FROM fk)
+SELECT user_id, win, {r('var_pop(f) FILTER (b)', 3)} AS freq_var, {r('-sum(p / t * log2(p / t + 2.220446049250313e-16)) FILTER (b)', 3)} AS spectral_entropy, {r('sqrt(sum(step ** 2))', 3)} AS spectral_flux,
+  {r('sum(f * p) FILTER (b) / max(t)', 3)} AS freq_cog, {r('max_by(f, p)', 3)} AS dominant_freq, {r('avg(p) FILTER (b)', 3)} AS avg_psd FROM tk GROUP BY 1, 2""",
     "c13_smooth_std_pe": W(f"SELECT user_id, win, {r('stddev_pop(x)')} AS std_dev, {r('avg(x)')} AS mean, {r('abs(2.5 * max(x) FILTER (idx = win * 8 + 14) - 2 * max(x) FILTER (idx = win * 8 + 13) + 0.5 * max(x) FILTER (idx = win * 8 + 12) - max(x) FILTER (idx = win * 8 + 15))')} AS pred_error FROM fr GROUP BY 1, 2"),
     "c17_perclos": f"WITH {SIG}, {_PER} SELECT user_id, bucket, {r('perclos')} AS perclos FROM pc",
     "c18_tumbling_mean": f"WITH {SIG}, {_TUM} SELECT user_id, bucket, {r('x')} AS x FROM tm",

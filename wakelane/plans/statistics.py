@@ -111,7 +111,7 @@ def j20_sigma_rank(spark, d):
 
 
 def j21_ci_width_by_k(spark, d):
-    return fill(stats.ci_width_by_k(grid(spark, d), ["condition"], ["mode", "distance", "level", "seed"], "f2", 10, 20, 3))
+    return fill(stats.ci_width_by_k(grid(spark, d), ["condition"], ["mode", "distance", "level", "seed"], "f2", 10, REPLICATES, 3))
 
 
 def j22_running_adequacy(spark, d):
@@ -256,6 +256,11 @@ ORACLES = {
     "j7_friedman": W(f"SELECT mode, n, k, {r('chi2')} AS chi2, {r('chi2 / (n * (k - 1))')} AS w FROM (SELECT mode, n, k, (12 / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS chi2 FROM (SELECT mode, sum(rr * rr) AS q, max(n) AS n, max(k) AS k FROM (SELECT mode, condition, sum(rank) AS rr, count(*) AS n, max(k) AS k FROM {_RANK('fb', 'mode, seed', 'f2')} GROUP BY ALL) GROUP BY 1) JOIN (SELECT mode, sum(ties) AS ties FROM {_TIES('fb', 'mode, seed', 'f2')} GROUP BY 1) USING (mode) WHERE n >= 3 AND k >= 2)", _BL),
     "j8_nemenyi": W(f"SELECT mode, condition, {r('avg(rank)')} AS mean_rank FROM {_RANK('(SELECT *, -f2 AS nf FROM fb)', 'mode, seed', 'nf')} GROUP BY ALL", _BL),
     "j9_dunn": W(f"SELECT mode, a, b, {r('z')} AS z FROM (SELECT x.mode, x.condition AS a, y.condition AS b, (x.m - y.m) / sqrt((x.N * (x.N + 1) / 12 - ties / (12 * (x.N - 1))) * (1 / x.n + 1 / y.n)) AS z FROM rg x JOIN rg y ON x.mode = y.mode AND x.condition < y.condition JOIN {_TIES('g', 'mode', 'f2')} t ON t.mode = x.mode)".replace("x.N", "x.nall"), f"rg AS (SELECT mode, condition, avg(rank) AS m, count(*) AS n, max(nn) AS nall FROM {_RANK('g', 'mode', 'f2')} GROUP BY 1, 2)"),
+    "j10_scheirer_ray_hare": f"WITH {_IT}, rk AS (SELECT l_returnflag AS a, l_linestatus AS b, rank FROM {_RANK('it', '1', 'l_quantity')}), t AS (SELECT avg(rank) AS gm, var_samp(rank) AS ms FROM rk), " + ", ".join(f"{n} AS (SELECT sum(n * (m - gm) ** 2) AS ss, count(*) AS c FROM (SELECT count(*) AS n, avg(rank) AS m FROM rk GROUP BY {k}), t)" for n, k in (("sa", "a"), ("sb", "b"), ("sx", "a, b"))) + f" SELECT 'l_returnflag' AS effect, {r('sa.ss / ms', 4)} AS \"H\", sa.c - 1 AS df FROM sa, t UNION ALL SELECT 'l_linestatus', {r('sb.ss / ms', 4)}, sb.c - 1 FROM sb, t UNION ALL SELECT 'l_returnflag:l_linestatus', {r('(sx.ss - sa.ss - sb.ss) / ms', 4)}, (sa.c - 1) * (sb.c - 1) FROM sa, sb, sx, t",
+    "j18_permutation_test": W(f"SELECT a.mode, a.level, {r('a.t')} AS \"T\", {r(f'(1 + count(*) FILTER (c.t >= a.t)) / {REPLICATES + 1}')} AS p FROM tt a JOIN tt c ON c.mode = a.mode AND c.level = a.level AND c.b > 0 WHERE a.b = 0 GROUP BY a.mode, a.level, a.t", f"rw AS (SELECT mode, level, condition, f2, row_number() OVER (PARTITION BY mode, level ORDER BY condition, distance, seed) AS i FROM g), sh AS (SELECT mode, level, condition, b, CASE WHEN b = 0 THEN i ELSE row_number() OVER (PARTITION BY mode, level, b ORDER BY md5('3:' || mode || ':' || level || ':' || b || ':' || i)) END AS q FROM rw, (SELECT unnest(range({REPLICATES + 1})) AS b)), mn AS (SELECT sh.mode, sh.level, sh.b, sh.condition, avg(v.f2) AS m, count(*) AS n FROM sh JOIN rw v ON v.mode = sh.mode AND v.level = sh.level AND v.i = sh.q GROUP BY ALL), tt AS (SELECT mode, level, b, round(sum(abs(m - gr)), 12) AS t FROM (SELECT *, sum(m * n) OVER w / sum(n) OVER w AS gr FROM mn WINDOW w AS (PARTITION BY mode, level, b)) GROUP BY ALL)"),
+    "j21_ci_width_by_k": W(f"SELECT condition, j + 1 AS k, {r('quantile_cont(m, 0.975) - quantile_cont(m, 0.025)')} AS width FROM (SELECT s.condition, b, j, avg(i.f2) OVER (PARTITION BY s.condition, b ORDER BY j) AS m FROM sl s JOIN ix i ON i.condition = s.condition AND i.i = s.p) GROUP BY 1, 2", f"ix AS (SELECT condition, f2, row_number() OVER (PARTITION BY condition ORDER BY mode, distance, level, seed) - 1 AS i FROM g), nn AS (SELECT condition, count(*) AS n FROM g GROUP BY 1), sl AS (SELECT condition, b, j, floor({_UQ(3, chr(39) * 2 + ' || condition || ' + chr(39) + ':' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || j')} * n) AS p FROM nn, (SELECT unnest(range({REPLICATES})) AS b), (SELECT unnest(range(10)) AS j))"),
+    "j36_tradeoff_pattern": W(f"SELECT mode, level, condition, {r('dr')} AS d_recall, {r('dp')} AS d_precision, dr > 0.147 AND dp < -0.147 AS tradeoff FROM (SELECT mode, level, x.condition, avg(sign(x.recall - z.recall)) AS dr, avg(sign(x.f2 - z.f2)) AS dp FROM g x JOIN g z USING (mode, level) WHERE z.condition = '1-URGENT' AND x.condition <> '1-URGENT' GROUP BY ALL)"),
+    "j37_rank_reversal": W(f"SELECT a, b, {r('corr(ka, kb)')} AS rho, count(*) AS n FROM (SELECT a, b, rank() OVER wa + (count(*) OVER (PARTITION BY a, b, ra) - 1) / 2 AS ka, rank() OVER wb + (count(*) OVER (PARTITION BY a, b, rb) - 1) / 2 AS kb FROM pp WINDOW wa AS (PARTITION BY a, b ORDER BY ra), wb AS (PARTITION BY a, b ORDER BY rb)) GROUP BY 1, 2", f"mr AS (SELECT mode, condition, round(avg(rank), 9) AS k FROM {_RANK('g', 'mode, seed, distance, level', 'f2')} GROUP BY 1, 2), pp AS (SELECT x.mode AS a, y.mode AS b, x.k AS ra, y.k AS rb FROM mr x JOIN mr y ON x.condition = y.condition AND x.mode < y.mode)"),
     "j11_brown_forsythe": W(f"SELECT mode, {r('((q - n * gm * gm) / (k - 1)) / (w / (n - k))')} AS \"F_stat\" FROM (SELECT mode, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS gm, sum(n * m * m) AS q, sum(n * s) AS w FROM (SELECT mode, condition, count(*) AS n, avg(z) AS m, var_pop(z) AS s FROM (SELECT mode, condition, abs(f2 - median(f2) OVER (PARTITION BY mode, condition)) AS z FROM g) GROUP BY 1, 2) GROUP BY 1 HAVING k >= 2 AND sum(n) > k)"),
     "j12_hodges_lehmann": W(f"SELECT {_K}, {r('median(x.f2 - y.f2)')} AS shift FROM g x JOIN g y USING ({_K}) WHERE x.condition = '1-URGENT' AND y.condition = '2-HIGH' GROUP BY ALL"),
     "j14_adjust_p": f"WITH p AS (SELECT s_suppkey, s_nationkey, (s_suppkey * 7919 % 1009) / 10090 AS p FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY p) AS k, count(*) OVER (PARTITION BY s_nationkey) AS m FROM p) SELECT s_suppkey, s_nationkey, {r('p')} AS p, {r('least(1, p * m)')} AS bonferroni, {r('least(1, min(p * m / k) OVER (PARTITION BY s_nationkey ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS bh, {r('least(1, max(p * (m - k + 1)) OVER (PARTITION BY s_nationkey ORDER BY k))')} AS holm FROM k",
