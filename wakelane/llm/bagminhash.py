@@ -3,9 +3,9 @@
 Each distinct shingle carries a Poisson process over the discretised weights
 (0, 1], (1, 2], (2, 4], (4, 8], ...: one process per level, with the level's
 width as rate, whose points fall on registers at random. A point counts if its
-weight lies within the shingle's count; on the level that the count ends in, the
-interval is halved again and again until the point's side is known, which is the
-same as drawing its place. A register keeps the earliest point. Points depend on
+weight lies within the shingle's count; on the level that the count ends in its
+place is drawn uniformly, where the published form halves the interval until
+the point's side is known, with the same distribution. A register keeps the earliest point. Points depend on
 the shingle alone, so two registers agree with probability equal to the weighted
 Jaccard similarity. Processes stop once their next point is later than the
 latest register, so a text costs about its shingles plus m log m points.

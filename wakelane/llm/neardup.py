@@ -305,10 +305,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(edges)
 
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("label", "id"))
-    split = named.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("bucket")
-    every = lambda a, b: F.explode(F.sequence(a, b))
-    own = named.join(split, "bucket").withColumn("other", every(F.lit(0).cast("long"), F.col("parts") - 1))
-    crossed = own.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "component", "id", "n", "sig")
+    # Members of a bucket's largest component need no pairs among themselves: they meet the others only.
+    by_component = named.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = F.max(F.struct("c", (-F.col("component")).alias("m"), "s"))
+    split = by_component.groupBy("bucket").agg(most.alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s")).where(F.col("c") > F.col("top.c"))
+    fewer = F.greatest(F.ceil((F.col("c") - F.col("top.c")) / CELL), F.ceil((F.col("s") - F.col("top.s")) / CELL_SHINGLES))
+    own = named.join(split.select("bucket", (-F.col("top.m")).alias("main"), fewer.alias("fewer")), "bucket")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    cell = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    place = F.pmod(F.xxhash64("id", F.lit(1)), "fewer")
+    main = F.transform(every(F.col("fewer")), lambda j: cell(F.col("part"), j))
+    other = F.concat(F.transform(every(F.col("parts")), lambda i: cell(i, place)), F.transform(every(F.col("fewer")), lambda o: cell(-1 - F.least(place, o), F.greatest(place, o))))
+    crossed = own.select("bucket", "component", "id", "n", "sig", F.inline(F.when(F.col("component") == F.col("main"), main).otherwise(other)))
+    crossed = crossed.select("bucket", "i", "j", "component", "id", "n", "sig")
     open_ = flagged(crossed).join(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id")
     more = written(linked(open_), "links")
     if more.limit(1).count():
