@@ -75,6 +75,31 @@ def test_verdicts_agree_with_labels(spark):
     assert share[1] > 0.97 and share.get(0, 0) < 0.2
 
 
+def test_marginals_with_sightings_are_those_of_all_labellings():
+    rng = np.random.default_rng(5)
+    chain = quality.Chain(rng.normal(size=(quality.N_CODES, 2)), rng.normal(size=(2, 2)))
+    codes, seen = rng.integers(0, quality.N_CODES, (1, 4, 13)), np.log([[0.1, 0.9], [0.1, 0.9], [0.9, 0.1], [0.1, 0.9]])
+    score = chain.scores(codes[0]) + seen
+    all_y = list(itertools.product((0, 1), repeat=4))
+    p = np.exp([sum(score[i, y[i]] for i in range(4)) + sum(chain.move[a, b] for a, b in zip(y, y[1:])) for y in all_y])
+    p /= p.sum()
+    line, _ = chain._marginals(codes, np.ones((1, 4), bool), np.array([4]), seen[None])
+    for i in range(4):
+        assert line[0, i, 1] == pytest.approx(sum(q for q, y in zip(p, all_y) if y[i]))
+
+
+def test_menu_prose_and_footer_in_one_text(spark):
+    chain = quality.learn(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    menu = ["HOME!! NEWS!! SHOP!! CONTACT!! LOGIN!! ABOUT!!"] * 3
+    prose = ["The old harbour was rebuilt after the storm, and most of the boats returned within the year.", "Since then the town has grown, and two schools have opened near the market.", "Its people still meet there on Sundays."]
+    footer = ["$$$ sale### now*** click&&& here%%% now$$$ sale###"] * 3
+    after = ["In winter the ferry runs twice a day, if the wind allows it.", "The lighthouse has been closed to visitors for many years."]
+    verdict = lambda lines: chain.decode(quality.line_features("\n".join(lines))[0]).tolist()
+    assert verdict(menu + prose + footer) == [0] * 3 + [1] * 3 + [0] * 3
+    assert verdict(prose + menu + after) == [1] * 3 + [0] * 3 + [1] * 2
+    assert verdict(prose + footer[:1] + after) == [1] * 3 + [0] + [1] * 2
+
+
 def test_no_labels_no_model(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert quality.learn(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is None

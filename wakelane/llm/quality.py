@@ -29,6 +29,8 @@ TRAIN_DOCUMENTS = 1000
 TRAIN_LINES = 40
 EPOCHS = 60
 L2 = 1e-3
+#: Chance that a line of a training document has the other label than its document.
+LINE_DOUBT = 0.1
 
 #: Feature families: name, upper ends of buckets. A line has one code of each.
 BUCKETS = {
@@ -135,33 +137,38 @@ class Chain:
                 now = out[i] = int(back[i][now])
         return out
 
-    def fit(self, sequences: list[tuple[np.ndarray, int]]) -> Chain:
-        """Maximum likelihood of chains whose lines all carry their document's label (Adam, L2)."""
+    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]]) -> Chain:
+        """Maximum likelihood of the labels that lines show, their own labels being latent (Adam, L2).
+
+        A line shows its document's label, wrongly with chance LINE_DOUBT. The
+        gradient is the expectation of the features given what is shown less that
+        without it, so a line unlike its document takes the other label.
+        """
         order = sorted(sequences, key=lambda s: -len(s[0]))
         lengths = np.array([len(c) for c, _ in order])
         width = int(lengths.max())
         codes = np.zeros((len(order), width, order[0][0].shape[1]), np.int64)
+        shown = np.zeros((len(order), width), np.int64)
         mask = np.arange(width)[None] < lengths[:, None]
-        for i, (c, _) in enumerate(order):
-            codes[i, : len(c)] = c
-        label = np.array([y for _, y in order])
+        for i, (c, y) in enumerate(order):
+            codes[i, : len(c)], shown[i, : len(c)] = c, y
+        label = shown[:, 0]
         weight = 1 / lengths  # a document counts once, however many lines it has
-        weight = weight / np.bincount(label, weights=np.ones(len(label)), minlength=2)[label]
+        weight = weight / np.bincount(label, minlength=2)[label]
         weight /= weight.sum()
         shape, steps = self.emit.shape, 0
         first, second = np.zeros(shape[0] * 2 + 4), np.zeros(shape[0] * 2 + 4)
         flat = codes[mask]
+        seen = np.log(np.where(np.arange(2) == shown[:, :, None], 1 - LINE_DOUBT, LINE_DOUBT))
         for _ in range(EPOCHS):
             p_line, p_pair = self._marginals(codes, mask, lengths)
-            truth = np.zeros_like(p_line)
-            truth[np.arange(len(label)), :, label] = 1
-            gap = ((truth - p_line) * weight[:, None, None])[mask]
+            q_line, q_pair = self._marginals(codes, mask, lengths, seen)
+            gap = ((q_line - p_line) * weight[:, None, None])[mask]
             emit = np.zeros(shape)
             for k in range(flat.shape[1]):
                 for y in (0, 1):
                     emit[:, y] += np.bincount(flat[:, k], weights=gap[:, y], minlength=shape[0])
-            pairs = np.maximum(lengths - 1, 0) * weight
-            move = np.diag(np.bincount(label, weights=pairs, minlength=2)) - (p_pair * weight[:, None, None]).sum(0)
+            move = ((q_pair - p_pair) * weight[:, None, None]).sum(0)
             g = np.concatenate([emit.ravel() - L2 * self.emit.ravel(), move.ravel() - L2 * self.move.ravel()])
             steps += 1
             first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
@@ -170,9 +177,14 @@ class Chain:
             self.move = self.move + step[-4:].reshape(2, 2)
         return self
 
-    def _marginals(self, codes: np.ndarray, mask: np.ndarray, lengths: np.ndarray):
-        """P(label of line) and expected transitions of each sequence, by forward-backward in logs."""
-        score = self.emit[codes].sum(2)
+    def _marginals(self, codes: np.ndarray, mask: np.ndarray, lengths: np.ndarray, seen: np.ndarray | float = 0.0):
+        """P(label of line) and expected transitions of each sequence, by forward-backward in logs.
+
+        seen has log chances by label that are added to the scores of the lines.
+        """
+        score = np.zeros((*mask.shape, 2))
+        score[mask] = self.emit[codes[mask]].sum(1)
+        score += seen
         n, width = mask.shape
         forward, backward = np.zeros((n, width, 2)), np.zeros((n, width, 2))
         forward[:, 0] = score[:, 0]
@@ -193,10 +205,29 @@ class Chain:
         return p_line, p_pair
 
 
+def spliced(sequences: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The documents, and each once more around one of the other label, as pages put menus around prose.
+
+    Documents of one source are mostly of one kind; without the splices a chain
+    would learn that labels never change.
+    """
+    plain = [(c, np.full(len(c), y)) for c, y in sequences]
+    by = [[c for c, y in sequences if y == v] for v in (0, 1)]
+    mixed = []
+    for y in (0, 1):
+        for i, outer in enumerate(by[y]):
+            inner, half = by[1 - y][i % len(by[1 - y])], (len(outer) + 1) // 2
+            codes = np.concatenate([outer[:half], inner, outer[half:]])
+            codes[1:, -2], codes[:-1, -1] = OFFSETS[-3], OFFSETS[-2]  # neither first nor last any more
+            codes[0, -2], codes[-1, -1] = OFFSETS[-3] + 1, OFFSETS[-2] + 1
+            mixed.append((codes, np.repeat([y, 1 - y, y], [half, len(inner), len(outer) - half])))
+    return plain + mixed
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Chain | None:
     """The CRF, from line features of at most TRAIN_DOCUMENTS documents per quality label.
 
-    Lines carry the quality of their document (a weak label). Without labelled
+    Lines show the quality of their document with some doubt (fit, spliced). Without labelled
     documents of both kinds there is no model (None): base rules decide alone.
     """
     tuned(docs.sparkSession)
@@ -215,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Chain | None:
     sequences = sorted(((np.array(r["codes"], np.int64).reshape(-1, width), r["quality"]) for r in sample), key=lambda s: (s[1], len(s[0]), s[0].tolist()))
     if len({y for _, y in sequences}) < 2:
         return None
-    return Chain().fit(sequences)
+    return Chain().fit(spliced(sequences))
 
 
 def judged(text: str | None, chain: Chain | None) -> tuple[int, int, int, int, int, bool, float, bool]:
