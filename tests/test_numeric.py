@@ -11,7 +11,8 @@ from wakelane.functions import tails
 from wakelane.operators import domain, windows
 from wakelane.operators.labels import event_ranges
 from wakelane.operators.metrics import classification_metrics, roc_auc
-from wakelane.operators.stats import adjust_p, mann_whitney
+from wakelane.functions.tails import u_exact
+from wakelane.operators.stats import adequacy, adjust_p, compare_intervals, mann_whitney
 
 
 def entropy_by_definition(x, m=2):
@@ -143,3 +144,29 @@ def test_bandpass_and_welch():
     f, p = windows.welch(low[None], 250, 500)
     assert f[p[0].argmax()] == 10 and (p[0] * (f[1] - f[0])).sum() == pytest.approx(0.5, rel=1e-3)
     assert windows.bandpass(np.ones((2, 16)), 128, 0.5, 4).shape == (2, 16)
+
+
+def test_exact_mann_whitney_by_enumeration(spark):
+    from itertools import combinations
+
+    for n, m in ((1, 3), (3, 4), (5, 5), (2, 9)):
+        us = [sum(c) - n * (n - 1) // 2 for c in combinations(range(n + m), n)]
+        for u in range(n * m + 1):
+            want = min(1.0, 2 * sum(x >= max(u, n * m - u) for x in us) / len(us))
+            assert u_exact(u, n, m) == pytest.approx(want)
+    rows = [("c", "a", float(x)) for x in (1, 2, 3)] + [("c", "b", float(x)) for x in (4, 5, 6)] + [("t", "a", 1.0), ("t", "b", 1.0), ("t", "b", 2.0)]
+    got = {r.k: r.p for r in mann_whitney(spark.createDataFrame(rows, "k string, g string, v double"), ["k"], "g", "a", "b", "v").collect()}
+    assert got["c"] == pytest.approx(0.1) and 0 < got["t"] <= 1
+
+
+def test_adequacy_by_hand(spark):
+    rows = [("flat", i, 0.8 + 0.001 * (i % 2)) for i in range(6)] + [("wide", i, 0.5 + 0.2 * (i % 2)) for i in range(6)] + [("low", i, 0.4) for i in range(3)] + [("one", 0, 0.9)]
+    got = {r.k: r for r in adequacy(spark.createDataFrame(rows, "k string, s int, v double"), ["k"], "s", "v", replicates=50).collect()}
+    assert {k: r.adequate for k, r in got.items()} == {"flat": True, "wide": False, "low": True, "one": None}
+    assert got["wide"].half == pytest.approx(2.570582 * 0.1095445 / 6**0.5, rel=1e-5)
+
+
+def test_intervals_hold_the_means(spark):
+    rows = [("m", c, s, v + 0.1 * s) for c, v in (("base", 0.0), ("x", 1.0)) for s in range(8)]
+    r = compare_intervals(spark.createDataFrame(rows, "k string, c string, s int, v double"), ["k"], "s", "c", "base", "v", 200).first()
+    assert r.base_lo < 0.35 < r.base_hi and r.lo < 1.35 < r.hi and r.lo - r.base_lo == pytest.approx(1.0)

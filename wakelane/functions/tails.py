@@ -83,7 +83,10 @@ def _column(fn, *cols):
     def two(a: pd.Series, b: pd.Series) -> pd.Series:
         return _each(fn, a, b)
 
-    return F.pandas_udf(one if len(cols) == 1 else two, "double")(*cols)
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return _each(fn, a, b, c)
+
+    return F.pandas_udf((one, two, three)[len(cols) - 1], "double")(*cols)
 
 
 def t_p(t, df):
@@ -101,6 +104,24 @@ def chi2_p(x, df):
     return _column(lambda a, b: gammaincc(b / 2, a / 2) if b > 0 else None, x, df)
 
 
+def u_exact(u: float, n: int, m: int) -> float:
+    """Two-sided p of U without ties: the coefficients of the Gaussian binomial count the arrangements of each U."""
+    n, m = sorted((int(n), int(m)))
+    count = np.array([1] + [0] * (n * m), dtype=object)
+    for i in range(1, n + 1):
+        shifted = count.copy()
+        shifted[m + i :] -= count[: max(len(count) - m - i, 0)]  # times 1 - x^(m + i)
+        for k in range(i):  # divided by 1 - x^i
+            shifted[k::i] = np.cumsum(shifted[k::i])
+        count = shifted
+    return min(1.0, 2 * int(count[math.ceil(max(u, n * m - u)) :].sum()) / math.comb(n + m, n))
+
+
+def mann_whitney_p(u, n, m, least: int = 8):
+    """Exact two-sided p of U where a group has at most `least` values; null elsewhere."""
+    return _column(lambda a, b, c: u_exact(a, b, c) if 0 < min(b, c) <= least else None, u, n, m)
+
+
 def shapiro_w(x: np.ndarray) -> tuple[float, float]:
     """Royston's approximation of the Shapiro-Wilk statistic and its p for 4 to 5000 values."""
     x, n = np.sort(x), len(x)

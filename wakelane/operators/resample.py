@@ -34,6 +34,12 @@ def interpolate(a: str, b: str, u: Column) -> Column:
     return F.zip_with(a, b, lambda p, q: p + u * (q - p))
 
 
+def _near(source: DataFrame, minority: DataFrame, k: int, id_col: str, vec_col: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, parent and _near: its k nearest minority rows, nearest first."""
+    near = knn_join(source, minority, k, id_col, vec_col, keys)
+    return near.groupBy(*keys, F.col("query_id").alias("parent")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda s: s.id).alias("_near"))
+
+
 def smote(df: DataFrame, y: str, ratio: float, seed: int, k: int = 5, id_col: str = "id", vec_col: str = "vec", keys: Sequence[str] = (), parents: DataFrame | None = None) -> DataFrame:
     """New minority rows until minority is int(majority * ratio): keys, n, parent, neighbour, vec.
 
@@ -43,7 +49,7 @@ def smote(df: DataFrame, y: str, ratio: float, seed: int, k: int = 5, id_col: st
     """
     minority = df.where(F.col(y) == 1)
     source = minority if parents is None else parents
-    near = knn_join(source, minority, k, id_col, vec_col, keys).groupBy(*keys, F.col("query_id").alias("parent")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda s: s.id).alias("_near"))
+    near = _near(source, minority, k, id_col, vec_col, keys)
     sizes = class_sizes(df, keys, y).withColumn("_new", F.floor(F.col("_hi") * ratio).cast("long") - F.col("_lo")).where("_new > 0 AND _lo >= 2")
     ranked = numbered(source.select(*keys, F.col(id_col).alias("parent"), F.col(vec_col).alias("_a"), hash_order(seed, id_col).alias("_h")), keys, ["_h", "parent"], "_place").drop("_h")
     rows = _with(_with(ranked, source.groupBy(*keys).agg(F.count("*").alias("_m")), keys), sizes, keys).join(near, [*keys, "parent"])
@@ -76,6 +82,21 @@ def adasyn_counts(df: DataFrame, y: str, ratio: float, k: int = 5, id_col: str =
     return share.join(need).join(total).select(id_col, "share", F.round(F.col("share") / F.nullif(F.col("_s"), F.lit(0.0)) * F.col("_g")).cast("long").alias("new_rows"))
 
 
+def adasyn(df: DataFrame, y: str, ratio: float, seed: int, k: int = 5, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+    """The new rows of adasyn_counts: parent, i (from 1 for each parent), neighbour, vec.
+
+    A new row lies between its parent and one of the parent's k nearest minority
+    rows; both the neighbour and the place are drawn by (seed, parent, i).
+    """
+    minority = df.where(F.col(y) == 1)
+    made = adasyn_counts(df, y, ratio, k, id_col, vec_col).where("new_rows > 0").select(F.col(id_col).alias("parent"), F.explode(F.sequence(F.lit(1).cast("long"), "new_rows")).alias("i"))
+    rows = made.join(_near(minority, minority, k, id_col, vec_col), "parent")
+    pick = F.floor(hash_uniform(seed + 1, "parent", "i") * F.size("_near")).cast("int") + 1
+    chosen = rows.select("parent", "i", F.element_at("_near", pick).alias("neighbour"), hash_uniform(seed + 2, "parent", "i").alias("_u"))
+    side = lambda c, v: minority.select(F.col(id_col).alias(c), F.col(vec_col).alias(v))
+    return chosen.join(side("parent", "_a"), "parent").join(side("neighbour", "_b"), "neighbour").select("parent", "i", "neighbour", interpolate("_a", "_b", F.col("_u")).alias(vec_col))
+
+
 def tomek_links(df: DataFrame, y: str, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
     """Rows without the majority members of mutual nearest neighbours of different classes."""
     near = knn_join(df, df, 1, id_col, vec_col).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
@@ -130,6 +151,47 @@ def adaptive_sigma(long: DataFrame) -> DataFrame:
     return per.agg(F.median("snr").alias("snr"), F.median("cv").alias("cv"), F.median("d").alias("interclass"))
 
 
+def sigma_modes(long: DataFrame) -> DataFrame:
+    """jitter_sigma and scale_sigma of each method (snr, cv, interclass, conservative), within fixed bounds.
+
+    Null values take no part in a feature's moments. Without rows of both
+    classes interclass is as snr.
+    """
+    one, zero = F.when(F.col("y") == 1, F.col("v")), F.when(F.col("y") == 0, F.col("v"))
+    level = F.when(F.avg("v") == 0, 1e-10).otherwise(F.abs(F.avg("v")))
+    spread = F.when(F.stddev_pop("v") == 0, 1e-10).otherwise(F.stddev_pop("v"))
+    per = long.groupBy("f").agg((level / spread).alias("snr"), (spread / level).alias("cv"), F.pow(F.avg(one) - F.avg(zero), 2).alias("gap"), F.stddev_pop(one).alias("s1"), (F.stddev_pop(one) / (F.abs(F.avg(one)) + 1e-10)).alias("cv1"))
+    s = per.agg(F.median("snr").alias("snr"), F.median("cv").alias("cv"), F.sqrt(F.sum("gap")).alias("gap"), F.avg("s1").alias("s1"), F.median("cv1").alias("cv1"))
+    clip = lambda c, lo, hi: F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
+    jitter, scale = clip(0.1 / (1 + F.col("snr")), 0.005, 0.1), clip(F.col("cv") * 0.5, 0.02, 0.2)
+    apart = clip(F.col("s1") / F.nullif(F.col("gap"), F.lit(0.0)) * 0.5, 0.005, 0.1)
+    modes = {
+        "snr": (jitter, scale),
+        "cv": (clip(F.col("cv") * 0.1, 0.01, 0.1), clip(F.col("cv") * 0.3, 0.05, 0.2)),
+        "interclass": (F.when(F.col("gap") == 0, 0.1).otherwise(F.coalesce(apart, jitter)), F.when(F.col("gap").isNull(), scale).otherwise(clip(F.col("cv1") * 0.3, 0.02, 0.15))),
+        "conservative": (F.lit(0.01), F.lit(0.05)),
+    }
+    rows = F.array(*(F.struct(F.lit(k).alias("method"), j.alias("jitter_sigma"), c.alias("scale_sigma")) for k, (j, c) in modes.items()))
+    return s.select(F.inline(rows))
+
+
+def augmentation_overlap(long: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row on new minority rows: mean_shift, std_change, overlap_score (mean distance to the minority's centre over that to the majority's).
+
+    Both tables are in long form (f, v; y in the first, id_col in the second);
+    without new rows all three are 0.
+    """
+    one, zero = F.when(F.col("y") == 1, F.col("v")), F.when(F.col("y") == 0, F.col("v"))
+    centres = long.groupBy("f").agg(F.avg(one).alias("m1"), F.avg(zero).alias("m0"), F.stddev_pop(one).alias("s1"))
+    moved = new.groupBy("f").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).join(centres, "f")
+    norm = lambda c: F.sqrt(F.sum(c * c))
+    whole = moved.agg((norm(F.col("m") - F.col("m1")) / (norm(F.col("m1")) + 1e-10)).alias("a"), ((F.avg("s") - F.avg("s1")) / (F.avg("s1") + 1e-10)).alias("b"))
+    far = new.join(centres, "f").groupBy(id_col).agg(norm(F.col("v") - F.col("m1")).alias("d1"), norm(F.col("v") - F.col("m0")).alias("d0"))
+    ratio = far.agg((F.avg("d1") / (F.avg("d0") + 1e-10)).alias("c"))
+    shown = [F.coalesce(c, F.lit(0.0)).alias(n) for c, n in (("a", "mean_shift"), ("b", "std_change"), ("c", "overlap_score"))]
+    return whole.join(F.broadcast(ratio)).select(*shown)
+
+
 def augmentation_quality(long: DataFrame, new: DataFrame) -> DataFrame:
     """Per feature, shift of the mean and change of the deviation from rows to new rows."""
     s = lambda d, k: d.groupBy("f").agg(F.avg("v").alias(f"m{k}"), F.stddev_pop("v").alias(f"s{k}"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakelane.functions.columns import hash_order, hash_uniform, normal_cdf
-from wakelane.functions.tails import NEMENYI_Q, chi2_p, shapiro_w, t_crit, t_p
+from wakelane.functions.tails import NEMENYI_Q, chi2_p, mann_whitney_p, shapiro_w, t_crit, t_p
 from wakelane.operators.joins import paired
 from wakelane.operators.primitives import tie_rank
 
@@ -42,7 +42,11 @@ def kruskal_wallis(df, keys, group, v):
 
 
 def mann_whitney(df, keys, group, a, b, v):
-    """U of a over b, two-sided p (normal, ties and continuity corrected), Cliff's delta with label."""
+    """U of a over b, two-sided p, Cliff's delta with label.
+
+    p is exact where a group has at most 8 values and none are tied, else normal
+    with tie and continuity correction.
+    """
     two = df.where(F.col(group).isin(a, b))
     r = tie_rank(two, keys, v)
     s = r.groupBy(*keys).agg(F.sum(F.when(F.col(group) == a, F.col("rank"))).alias("ra"), F.count_if(F.col(group) == a).alias("n"), F.count_if(F.col(group) == b).alias("m")).where("n > 0 AND m > 0")
@@ -52,7 +56,9 @@ def mann_whitney(df, keys, group, a, b, v):
     sd = F.sqrt(n * m / 12 * (N + 1 - F.col("ties") / F.nullif(N * (N - 1), F.lit(0))))
     z = F.greatest(F.lit(0.0), F.abs(u - n * m / 2) - 0.5) / F.nullif(sd, F.lit(0.0))
     delta = 2 * u / (n * m) - 1
-    return s.select(*keys, "n", "m", u.alias("U"), (2 * (1 - normal_cdf(z))).alias("p"), delta.alias("delta"), magnitude(delta, (0.147, 0.33, 0.474), ("negligible", "small", "medium", "large")).alias("size"))
+    s = s.withColumn("U", u)
+    exact = F.when((F.least(n, m) <= 8) & (F.col("ties") == 0), mann_whitney_p(F.col("U"), n.cast("double"), m.cast("double")))
+    return s.select(*keys, "n", "m", "U", F.coalesce(exact, 2 * (1 - normal_cdf(z))).alias("p"), delta.alias("delta"), magnitude(delta, (0.147, 0.33, 0.474), ("negligible", "small", "medium", "large")).alias("size"))
 
 
 def magnitude(c: Column, cuts: Sequence[float], names: Sequence[str]) -> Column:
@@ -287,6 +293,21 @@ def running_adequacy(df, keys, order, v, flat: float = 0.01):
     return rows.withColumn("flat", (F.col("n") >= 3) & (F.round(F.max("mean").over(last) - F.min("mean").over(last), 9) <= flat))
 
 
+def adequacy(df, keys, order, v, flat: float = 0.01, target: float = 0.05, chance: float = 0.5, chance_upper: float = 0.6, replicates: int = 2000, seed: int = 1):
+    """Whether each key has enough values, judged at its last one: n, mean, half (of the 95 % t interval), flat, upper, adequate.
+
+    Above the chance level a key is adequate if its interval is narrow and its
+    running mean flat; else if the upper end of the resampled mean lies under
+    chance_upper. Keys with one value have no half width and no verdict.
+    """
+    ran = running_adequacy(df, keys, order, v, flat).groupBy(*keys).agg(F.max_by(F.struct("n", "mean", "std", "flat"), F.col("n")).alias("_l")).select(*keys, "_l.*")
+    half = t_crit((F.col("n") - 1).cast("double")) * F.col("std") / F.sqrt("n")
+    upper = bootstrap_ci(df, keys, order, v, replicates, seed).select(*keys, F.col("hi").alias("upper"))
+    out = _join(ran.withColumn("half", half), upper, keys)
+    good = F.when(F.col("mean") > chance, (F.col("half") <= target) & F.col("flat")).otherwise(F.col("upper") < chance_upper)
+    return out.select(*keys, "n", "mean", "half", "flat", "upper", F.when(F.col("n") > 1, good).alias("adequate"))
+
+
 def domain_gap(df, keys, level, inside, outside, block, v):
     """Mean and deviation of out - in over common blocks."""
     m = df.groupBy(*keys, block).pivot(level, [inside, outside]).agg(F.avg(v)).withColumn("gap", F.col(outside) - F.col(inside)).where("gap IS NOT NULL")
@@ -420,6 +441,15 @@ def compare_to_baseline(df, keys, block, group, base, v):
     return paired_t(p, by, "value", "base_value").drop("n").withColumnRenamed("p", "p_t").join(wilcoxon(p, by, "value", "base_value").withColumnRenamed("p", "p_w"), by).join(means, by)
 
 
+def compare_intervals(df, keys, block, group, base, v, replicates: int = 2000, seed: int = 1):
+    """Percentile intervals of the mean of each condition and of the baseline, on their common blocks."""
+    p = paired(df, keys, block, group, base, v)
+    by = [*keys, group]
+    own = bootstrap_ci(p, by, block, "value", replicates, seed)
+    other = bootstrap_ci(p, by, block, "base_value", replicates, seed).withColumnsRenamed({"lo": "base_lo", "hi": "base_hi"})
+    return own.join(other, by)
+
+
 def ci_overlap(df, group, base, v, z: float = 1.959964):
     """Normal intervals of the mean, and whether they lie apart from the baseline's."""
     s = describe_cells(df, [group], v)

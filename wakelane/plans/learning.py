@@ -35,6 +35,10 @@ def g3_adasyn(spark, d):
     return fill(resample.adasyn_counts(_narrow(spark, d), "y", 1.0))
 
 
+def g3_adasyn_rows(spark, d):
+    return fill(_first(resample.adasyn(_narrow(spark, d), "y", 1.0, 31)))
+
+
 def g4_borderline_smote(spark, d):
     return fill(_first(resample.borderline_smote(_narrow(spark, d), "y", 0.5, 21)))
 
@@ -77,6 +81,15 @@ def g12_adaptive_sigma(spark, d):
     return fill(resample.adaptive_sigma(_long(spark, d)))
 
 
+def g12_sigma_modes(spark, d):
+    return fill(resample.sigma_modes(_long(spark, d)))
+
+
+def g13_augmentation_overlap(spark, d):
+    t = _long(spark, d)
+    return fill(resample.augmentation_overlap(t, t.where("y = 1").withColumn("v", F.col("v") * 1.1 + 0.05)))
+
+
 def g13_augmentation_quality(spark, d):
     t = _long(spark, d)
     return fill(resample.augmentation_quality(t.where("y = 0"), t.where("y = 1")))
@@ -239,6 +252,9 @@ ORACLES = {
     "g1_random_undersample": f"WITH {MATRIX} SELECT id, y FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('9:' || id), id) AS k FROM m) WHERE y = 1 OR k <= floor((SELECT count(*) FROM m WHERE y = 1) / 0.5)",
     "g2_smote": f"WITH {_M8}, nr AS (SELECT a.id AS parent, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 1 AND b.y = 1), nl AS (SELECT parent, list(id ORDER BY k) AS near FROM nr WHERE k <= 5 GROUP BY 1), pl AS (SELECT id AS parent, vec AS va, row_number() OVER (ORDER BY md5('21:' || id), id) AS place FROM m8 WHERE y = 1), nw AS (SELECT unnest(generate_series(1, CAST(floor({_HI} * 0.5) AS BIGINT) - {_LO})) AS n), pk AS (SELECT n, pl.parent, va, near[CAST(floor({_UQ(22, 'n')} * len(near)) AS INTEGER) + 1] AS neighbour, {_UQ(23, 'n')} AS u FROM nw JOIN pl ON place = (n - 1) % {_LO} + 1 JOIN nl ON nl.parent = pl.parent) SELECT n, parent, neighbour, {r('va[1] + u * (b.vec[1] - va[1])')} AS v1, {r('va[8] + u * (b.vec[8] - va[8])')} AS v8 FROM pk JOIN m8 b ON b.id = neighbour",
     "g3_adasyn": f"WITH {_M8}, nr AS (SELECT a.id, b.y, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 1), sh AS (SELECT id, avg(1 - y) AS share FROM nr WHERE k <= 5 GROUP BY 1) SELECT id, {r('share')} AS share, CAST(round(share / (SELECT sum(share) FROM sh) * ({_HI} - {_LO})) AS BIGINT) AS new_rows FROM sh",
+    "g3_adasyn_rows": f"WITH {_M8}, nr AS (SELECT a.id, b.id AS other, b.y, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k, row_number() OVER (PARTITION BY a.id, b.y ORDER BY {_DIST}, b.id) AS ky FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 1), sh AS (SELECT id, avg(1 - y) AS share FROM nr WHERE k <= 5 GROUP BY 1), nw AS (SELECT id AS parent, unnest(generate_series(1, CAST(round(share / (SELECT sum(share) FROM sh) * ({_HI} - {_LO})) AS BIGINT))) AS i FROM sh), nl AS (SELECT id AS parent, list(other ORDER BY ky) AS near FROM nr WHERE y = 1 AND ky <= 5 GROUP BY 1), pk AS (SELECT parent, i, near[CAST(floor({_UQ(32, 'parent || $$:$$ || i')} * len(near)) AS INTEGER) + 1] AS neighbour, {_UQ(33, 'parent || $$:$$ || i')} AS u FROM nw JOIN nl USING (parent)) SELECT parent, i, neighbour, {r('a.vec[1] + u * (b.vec[1] - a.vec[1])')} AS v1, {r('a.vec[8] + u * (b.vec[8] - a.vec[8])')} AS v8 FROM pk JOIN m8 a ON a.id = parent JOIN m8 b ON b.id = neighbour",
+    "g12_sigma_modes": f"WITH {long_matrix(N)}, p AS (SELECT f, abs(avg(v)) / stddev_pop(v) AS snr, stddev_pop(v) / abs(avg(v)) AS cv, (avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0)) ** 2 AS gap, stddev_pop(v) FILTER (y = 1) AS s1, stddev_pop(v) FILTER (y = 1) / (abs(avg(v) FILTER (y = 1)) + 1e-10) AS cv1 FROM lm GROUP BY 1), s AS (SELECT median(snr) AS snr, median(cv) AS cv, sqrt(sum(gap)) AS gap, avg(s1) AS s1, median(cv1) AS cv1 FROM p), w AS (SELECT 'snr' AS method, greatest(0.005, least(0.1, 0.1 / (1 + snr))) AS j, greatest(0.02, least(0.2, cv * 0.5)) AS c FROM s UNION ALL SELECT 'cv', greatest(0.01, least(0.1, cv * 0.1)), greatest(0.05, least(0.2, cv * 0.3)) FROM s UNION ALL SELECT 'interclass', greatest(0.005, least(0.1, s1 / gap * 0.5)), greatest(0.02, least(0.15, cv1 * 0.3)) FROM s UNION ALL SELECT 'conservative', 0.01, 0.05) SELECT method, {r('j')} AS jitter_sigma, {r('c')} AS scale_sigma FROM w",
+    "g13_augmentation_overlap": f"WITH {long_matrix(N)}, c AS (SELECT f, avg(v) FILTER (y = 1) AS m1, avg(v) FILTER (y = 0) AS m0, stddev_pop(v) FILTER (y = 1) AS s1 FROM lm GROUP BY 1), nw AS (SELECT id, f, v * 1.1 + 0.05 AS v FROM lm WHERE y = 1), a AS (SELECT sqrt(sum((m - m1) ** 2)) / (sqrt(sum(m1 ** 2)) + 1e-10) AS shift, (avg(s) - avg(s1)) / (avg(s1) + 1e-10) AS change FROM (SELECT f, avg(v) AS m, stddev_pop(v) AS s FROM nw GROUP BY 1) JOIN c USING (f)), o AS (SELECT avg(d1) / (avg(d0) + 1e-10) AS score FROM (SELECT id, sqrt(sum((v - m1) ** 2)) AS d1, sqrt(sum((v - m0) ** 2)) AS d0 FROM nw JOIN c USING (f) GROUP BY 1)) SELECT {r('shift')} AS mean_shift, {r('change')} AS std_change, {r('score')} AS overlap_score FROM a, o",
     "g9_subjectwise_smote": f"WITH {MATRIX}, m8 AS (SELECT id, id % 3 AS subject, CAST(label < 3 AS INTEGER) AS y, vec FROM m), nr AS (SELECT a.id AS parent, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.subject = b.subject AND a.id <> b.id WHERE a.y = 1 AND b.y = 1), nl AS (SELECT parent, list(id ORDER BY k) AS near FROM nr WHERE k <= 5 GROUP BY 1), pl AS (SELECT subject, id AS parent, vec AS va, row_number() OVER (PARTITION BY subject ORDER BY md5('5:' || id), id) AS place FROM m8 WHERE y = 1), sz AS (SELECT subject, sum(y) AS lo, sum(1 - y) AS hi FROM m8 GROUP BY 1), nw AS (SELECT subject, lo, unnest(generate_series(1, CAST(floor(hi * 0.8) AS BIGINT) - CAST(lo AS BIGINT))) AS n FROM sz WHERE lo >= 2), pk AS (SELECT nw.subject, n, pl.parent, va, near[CAST(floor({_UQ(6, 'nw.subject || $$:$$ || n')} * len(near)) AS INTEGER) + 1] AS neighbour, {_UQ(7, 'nw.subject || $$:$$ || n')} AS u FROM nw JOIN pl ON pl.subject = nw.subject AND place = (n - 1) % lo + 1 JOIN nl ON nl.parent = pl.parent) SELECT pk.subject, n, parent, neighbour, {r('va[1] + u * (b.vec[1] - va[1])')} AS v1, {r('va[8] + u * (b.vec[8] - va[8])')} AS v8 FROM pk JOIN m8 b ON b.id = neighbour",
     "g5_tomek_links": f"WITH {_M8}, nr AS (SELECT a.id AS a, b.id AS b, a.y AS ya, b.y AS yb, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id), n1 AS (SELECT * FROM nr WHERE k = 1) SELECT id FROM m8 WHERE id NOT IN (SELECT x.a FROM n1 x JOIN n1 z ON x.a = z.b AND x.b = z.a WHERE x.ya = 0 AND x.yb = 1)",
     "g6_enn": f"WITH {_M8}, nr AS (SELECT a.id AS a, b.y AS yb, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 0) SELECT id FROM m8 WHERE id NOT IN (SELECT a FROM nr WHERE k <= 3 AND yb = 1)",

@@ -114,6 +114,19 @@ def j21_ci_width_by_k(spark, d):
     return fill(stats.ci_width_by_k(grid(spark, d), ["condition"], ["mode", "distance", "level", "seed"], "f2", 10, REPLICATES, 3))
 
 
+def j3_p_values(spark, d):
+    return fill(stats.mann_whitney(grid(spark, d), CELL, "condition", A, B, "f2").select(*CELL, "n", "m", "U", "p"))
+
+
+def j22_adequacy(spark, d):
+    means = grid(spark, d).groupBy("condition", "seed").agg(F.avg("f2").alias("f2"))
+    return fill(stats.adequacy(means, ["condition"], "seed", "f2", chance=0.05, chance_upper=0.06, replicates=REPLICATES))
+
+
+def j32_intervals(spark, d):
+    return fill(stats.compare_intervals(grid(spark, d), ["mode", "distance"], "seed", "condition", A, "f2", REPLICATES))
+
+
 def j22_running_adequacy(spark, d):
     return fill(stats.running_adequacy(grid(spark, d).groupBy("condition", "seed").agg(F.avg("f2").alias("f2")), ["condition"], "seed", "f2"))
 
