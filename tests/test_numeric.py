@@ -161,12 +161,12 @@ def test_exact_mann_whitney_by_enumeration(spark):
 
 def test_adequacy_by_hand(spark):
     rows = [("flat", i, 0.8 + 0.001 * (i % 2)) for i in range(6)] + [("wide", i, 0.5 + 0.2 * (i % 2)) for i in range(6)] + [("low", i, 0.4) for i in range(3)] + [("one", 0, 0.9)]
-    got = {r.k: r for r in adequacy(spark.createDataFrame(rows, "k string, s int, v double"), ["k"], "s", "v", replicates=50).collect()}
+    got = {r.k: r for r in adequacy(spark.createDataFrame(rows, "k string, block int, v double"), ["k"], "block", "v", replicates=50).collect()}
     assert {k: r.adequate for k, r in got.items()} == {"flat": True, "wide": False, "low": True, "one": None}
     assert got["wide"].half == pytest.approx(2.570582 * 0.1095445 / 6**0.5, rel=1e-5)
 
 
 def test_intervals_hold_the_means(spark):
     rows = [("m", c, s, v + 0.1 * s) for c, v in (("base", 0.0), ("x", 1.0)) for s in range(8)]
-    r = compare_intervals(spark.createDataFrame(rows, "k string, c string, s int, v double"), ["k"], "s", "c", "base", "v", 200).first()
+    r = compare_intervals(spark.createDataFrame(rows, "k string, c string, block int, v double"), ["k"], "block", "c", "base", "v", 200).first()
     assert r.base_lo < 0.35 < r.base_hi and r.lo < 1.35 < r.hi and r.lo - r.base_lo == pytest.approx(1.0)

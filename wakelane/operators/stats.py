@@ -302,7 +302,7 @@ def adequacy(df, keys, order, v, flat: float = 0.01, target: float = 0.05, chanc
     """
     ran = running_adequacy(df, keys, order, v, flat).groupBy(*keys).agg(F.max_by(F.struct("n", "mean", "std", "flat"), F.col("n")).alias("_l")).select(*keys, "_l.*")
     half = t_crit((F.col("n") - 1).cast("double")) * F.col("std") / F.sqrt("n")
-    upper = bootstrap_ci(df, keys, order, v, replicates, seed).select(*keys, F.col("hi").alias("upper"))
+    upper = bootstrap_ci(df, keys, [order], v, replicates, seed).select(*keys, F.col("hi").alias("upper"))
     out = _join(ran.withColumn("half", half), upper, keys)
     good = F.when(F.col("mean") > chance, (F.col("half") <= target) & F.col("flat")).otherwise(F.col("upper") < chance_upper)
     return out.select(*keys, "n", "mean", "half", "flat", "upper", F.when(F.col("n") > 1, good).alias("adequate"))
@@ -445,8 +445,8 @@ def compare_intervals(df, keys, block, group, base, v, replicates: int = 2000, s
     """Percentile intervals of the mean of each condition and of the baseline, on their common blocks."""
     p = paired(df, keys, block, group, base, v)
     by = [*keys, group]
-    own = bootstrap_ci(p, by, block, "value", replicates, seed)
-    other = bootstrap_ci(p, by, block, "base_value", replicates, seed).withColumnsRenamed({"lo": "base_lo", "hi": "base_hi"})
+    own = bootstrap_ci(p, by, [block], "value", replicates, seed)
+    other = bootstrap_ci(p, by, [block], "base_value", replicates, seed).withColumnsRenamed({"lo": "base_lo", "hi": "base_hi"})
     return own.join(other, by)
 
 

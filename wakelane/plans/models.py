@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from wakelane.operators import clean, metrics, models, split
@@ -63,18 +60,11 @@ def h7_rf_importance(spark, d):
 
 
 def h8_welch_select(spark, d):
-    return fill(models.welch_select(features(matrix(spark, d), 12)))
-
-
-def _folder(spark, name):
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    return os.path.join(at, f"{name}-{uuid.uuid4().hex}")
+    return fill(models.welch_select(features(matrix(spark, d), 64)))
 
 
 def a4_write_features(spark, d):
-    path = _folder(spark, "features")
+    path = files.scratch(spark, "features")
     files.write_features(signals(spark, d).select("user_id", "t", "x", F.lit("raw").alias("stage"), F.col("event_type").alias("pipeline")), path)
     return spark.read.parquet(path).groupBy("pipeline").agg(F.count("*").alias("n"))
 
@@ -82,7 +72,7 @@ def a4_write_features(spark, d):
 def a7_write_results(spark, d):
     from wakelane.plans.tables import _eval_lines
 
-    path = _folder(spark, "results")
+    path = files.scratch(spark, "results")
     files.write_results(_eval_lines(spark, d).select(F.from_json("value", files.EVAL_SCHEMA).alias("r")).select("r.*"), path)
     return files.read_eval_results(spark, f"{path}/json").groupBy("model").agg(F.count("*").alias("n"))
 

@@ -57,6 +57,47 @@ def a9_read_sampling_logs(spark, d):
     return fill(files.parse_sampling_logs(o))
 
 
+def a2_feature_files(spark, d):
+    """Feature CSVs of two generations of columns, one folder per recording, written and read back."""
+    named = lambda k, run: F.format_string(f"S%04d_{run}", F.col(k).cast("int"))
+    old = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), named("c_nationkey", 1).alias("recording"))
+    new = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("w"), named("s_nationkey", 2).alias("recording"))
+    paths = [files.scratch(spark, "features") for _ in range(2)]
+    for rows, path in zip((old, new), paths):
+        rows.write.partitionBy("recording").option("header", "true").csv(path)
+    return files.read_features(spark, paths, ["k long, v double", "k long, w int"]).select("subject_id", "k", "v", "w")
+
+
+def a6_evaluation_files(spark, d):
+    """Evaluation records written as JSON, a folder per model, read from all folders and made flat."""
+    path = files.scratch(spark, "evaluation")
+    model = F.get_json_object("value", "$.model")
+    _eval_lines(spark, d).withColumn("folder", F.substring(model, 1, 1)).write.partitionBy("folder").text(path)
+    return fill(files.flatten_eval(files.read_eval_results(spark, path)).select("model", "tag", "precision", "recall", "f1", "auc", "f2", "tn", "tp"))
+
+
+def a7_result_files(spark, d):
+    """The flat CSV beside the JSON of write_results, read back."""
+    path = files.scratch(spark, "results")
+    rows = _eval_lines(spark, d).select(F.from_json("value", files.EVAL_SCHEMA).alias("r")).select("r.*")
+    files.write_results(rows, path)
+    schema = files.flatten_eval(rows).schema
+    back = spark.read.schema(schema).option("header", "true").csv(f"{path}/csv")
+    return fill(back.select("model", "tag", "precision", "recall", "f1", "auc", "f2", "tn", "tp"))
+
+
+def a8_log_files(spark, d):
+    """Tuning logs, a file per kind of event, read line by line; the first tag of a file is its smallest."""
+    path = files.scratch(spark, "logs")
+    e = read(spark, d, "events").where("event_type IS NOT NULL")
+    trial = e.select(F.col("event_type").alias("log"), F.concat(F.lit("[Search] Trial "), F.col("event_id"), F.lit(": value="), F.format_string("%.2f", "value"), F.lit(", best=9.5")).alias("value"))
+    head = e.select(F.col("event_type").alias("log"), F.concat(F.lit("[Run] tag=t_"), F.col("event_type"), F.lit(" mode=pooled")).alias("value")).distinct()
+    # A log is one file, as its lines belong together.
+    trial.unionByName(head).repartition("log").write.partitionBy("log").text(path)
+    lines = files.log_lines(spark, path)
+    return files.parse_tuning_logs(lines).select(F.regexp_extract("file", "log=([^/]+)", 1).alias("log"), "tag", "mode", "trial", "value", "best")
+
+
 def a10_matrix_to_pairs(spark, d):
     n = read(spark, d, "nation")
     m = n.groupBy("n_regionkey").pivot("n_regionkey", [0, 1, 2, 3, 4]).agg(F.sum("n_nationkey").cast("double"))
@@ -197,8 +238,13 @@ _TIMED = f"ts AS (SELECT *, {_CUT} AS split FROM (SELECT user_id, event_id, even
 _U = lambda seed, key: f"CAST(('0x' || substr(md5('{seed}:' || {key}), 1, 8)) AS BIGINT) / 4294967296.0"
 _Z = lambda c, where: f"({c} - (SELECT avg({c}) FROM lineitem{where})) / (SELECT stddev_pop({c}) FROM lineitem{where})"
 _PICK = lambda xs, c: f"list_extract([{', '.join(repr(x) for x in xs)}], CAST({c} % {len(xs)} + 1 AS INTEGER))"
+_FLAT = f"WITH o AS (SELECT o_orderpriority AS model, o_orderkey AS k, o_custkey AS c, (o_orderkey % 97) / 97 AS p, (o_orderkey % 89) / 89 AS q FROM orders) SELECT model, CAST(k AS VARCHAR) AS tag, {r('p')} AS precision, {r('q')} AS recall, {r('CASE WHEN k % 2 <> 0 THEN (p + q) / 2 END')} AS f1, {r('CASE WHEN k % 2 = 0 THEN q ELSE p END')} AS auc, {r('CASE WHEN 4 * p + q > 0 THEN 5 * p * q / (4 * p + q) END')} AS f2, c AS tn, k AS tp FROM o"
 ORACLES = {
     "a1_read_signals": f"SELECT user_id, count(*) AS n, {r('sum(value)', 3)} AS total FROM events GROUP BY 1",
+    "a2_feature_files": "SELECT printf('S%04d_1', c_nationkey) AS subject_id, c_custkey AS k, c_acctbal AS v, NULL::INTEGER AS w FROM customer UNION ALL SELECT printf('S%04d_2', s_nationkey), s_suppkey, NULL, s_nationkey FROM supplier",
+    "a6_evaluation_files": _FLAT,
+    "a7_result_files": _FLAT,
+    "a8_log_files": "SELECT event_type AS log, 't_' || event_type AS tag, 'pooled' AS mode, CAST(event_id AS INTEGER) AS trial, round(value, 2) AS value, 9.5::DOUBLE AS best FROM events WHERE event_type IS NOT NULL",
     "a2_read_features": "SELECT c_custkey AS k, c_acctbal AS v, NULL::BIGINT AS w FROM customer UNION ALL SELECT s_suppkey, NULL, s_nationkey FROM supplier",
     "a3_select_features": "SELECT p_partkey, p_size FROM part",
     "a5_read_eval_results": "SELECT o_orderpriority AS model, count(*) AS n, count(*) FILTER (o_orderkey % 2 <> 0) AS reports FROM orders GROUP BY 1",
