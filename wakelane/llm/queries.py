@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wakelane.llm import bpe, chat, langid, licenses, neardup, packing, quality, token_output, topk, warc
+from wakelane.llm import bpe, chat, langid, licenses, linededup, neardup, packing, quality, token_output, topk, warc
 from wakelane.llm.common import table
 
 CHAT_PROBE = "</s>[INST] ok [/INST]"
@@ -74,7 +74,12 @@ def op10_packing(spark, sf_dir):
     return packed.places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_chat, op4_language, op5_warc, op6_quality, op7_licenses, op8_top_k, op9_token_output, op10_packing)}
+def op11_line_dedup(spark, sf_dir):
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_chat, op4_language, op5_warc, op6_quality, op7_licenses, op8_top_k, op9_token_output, op10_packing, op11_line_dedup)}
 
 _PLAIN = "|".join(re.escape(c) for c in chat.CONTROLS)
 #: Characters that escaping adds: one per backslash and one per control string.
@@ -112,4 +117,16 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10""",
+    "op11_line_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+p AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{linededup.UPPER}', '{linededup.LOWER}') AS key FROM p),
+rep AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {linededup.LEAST_CHARS}
+  GROUP BY key HAVING count(DISTINCT doc_id) >= {linededup.LEAST_DOCUMENTS}
+), m AS (SELECT k.*, rep.key IS NOT NULL AND (k.doc_id IS NULL OR k.doc_id <> rep.keeper) AS gone FROM k LEFT JOIN rep ON k.key = rep.key)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM (
+  SELECT r, any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
+  FROM m GROUP BY r)""",
 }
