@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wakelane.llm import bpe, chat, langid, licenses, linededup, neardup, packing, quality, token_output, topk, warc
+from wakelane.llm import bpe, chat, langid, licenses, linededup, neardup, packing, quality, token_output, topk, variants, warc
 from wakelane.llm.common import table
 
 CHAT_PROBE = "</s>[INST] ok [/INST]"
@@ -79,7 +79,11 @@ def op11_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_chat, op4_language, op5_warc, op6_quality, op7_licenses, op8_top_k, op9_token_output, op10_packing, op11_line_dedup)}
+def op12_spelling_variants(spark, sf_dir):
+    return variants.group_variants(variants.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_chat, op4_language, op5_warc, op6_quality, op7_licenses, op8_top_k, op9_token_output, op10_packing, op11_line_dedup, op12_spelling_variants)}
 
 _PLAIN = "|".join(re.escape(c) for c in chat.CONTROLS)
 #: Characters that escaping adds: one per backslash and one per control string.
@@ -129,4 +133,41 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM (
   SELECT r, any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
   FROM m GROUP BY r)""",
+    # CRC-32 over UTF-8 bytes by its bitwise table; near words share a word with one letter left out or masked.
+    "op12_spelling_variants": f"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS crc FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, '{variants.UPPER}', '{variants.LOWER}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL
+), crcs AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, CAST(unicode(ch) AS BIGINT) - 64] END))),
+    lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8))) AS h
+  FROM runs, tab
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM crcs)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), gaps AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words
+), masks AS (
+  SELECT DISTINCT word, n, substring(word, 1, p - 1) || '?' || substring(word, p + 1) AS mask, substring(word, 1, p - 1) || substring(word, p + 1) AS short FROM gaps
+), pairs AS (
+  SELECT a.word AS word, b.word AS other FROM masks a JOIN masks b ON a.mask = b.mask AND a.word <> b.word
+  UNION SELECT m.word, w.word FROM masks m JOIN words w ON m.short = w.word
+  UNION SELECT w.word, m.word FROM masks m JOIN words w ON m.short = w.word
+), best AS (
+  SELECT p.word, count(*) AS n_near, first(struct_pack(w := o.word, n := o.n) ORDER BY o.n DESC, o.word) AS b
+  FROM pairs p JOIN words o ON o.word = p.other GROUP BY p.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 2 * w.n THEN b.w END AS form, CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), follow AS (
+  SELECT word, form AS root, 1 AS k FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT f.word, g.form, k + 1 FROM follow f JOIN forms g ON g.word = f.root WHERE g.form IS NOT NULL
+)
+SELECT word, form, coalesce((SELECT arg_max(root, k) FROM follow f WHERE f.word = forms.word), word) AS root, n, n_near, form_n FROM forms""",
 }
