@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wakelane.llm import bpe, chat, langid, licenses, linededup, neardup, packing, quality, token_output, topk, variants, warc
+from wakelane.llm import bpe, chat, langid, licenses, linededup, neardup, packing, quality, token_output, topk, variants, warc, whitening
 from wakelane.llm.common import table
 
 CHAT_PROBE = "</s>[INST] ok [/INST]"
@@ -83,7 +83,11 @@ def op12_spelling_variants(spark, sf_dir):
     return variants.group_variants(variants.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_chat, op4_language, op5_warc, op6_quality, op7_licenses, op8_top_k, op9_token_output, op10_packing, op11_line_dedup, op12_spelling_variants)}
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_chat, op4_language, op5_warc, op6_quality, op7_licenses, op8_top_k, op9_token_output, op10_packing, op11_line_dedup, op12_spelling_variants, op13_whitening)}
 
 _PLAIN = "|".join(re.escape(c) for c in chat.CONTROLS)
 #: Characters that escaping adds: one per backslash and one per control string.
