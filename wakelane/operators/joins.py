@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +27,33 @@ def asof_nearest(left: DataFrame, right: DataFrame, t: str, keys: Sequence[str],
 
 
 def interval_join(rows: DataFrame, ranges: DataFrame, t: str, keys: Sequence[str], start: str, end: str, label: str, order: str) -> DataFrame:
-    """Label of each row's range [start, end); where ranges overlap the last one by order wins; others are dropped."""
-    on = [rows[k] == ranges[k] for k in keys] + [rows[t] >= ranges[start], rows[t] < ranges[end]]
-    got = rows.join(ranges, on).select(*(rows[c] for c in rows.columns), ranges[label], ranges[order].alias("_o"))
-    return got.groupBy(*rows.columns).agg(F.max_by(label, "_o").alias(label))
+    """Label of each row's range [start, end); where ranges overlap the last one by order wins; others are dropped.
+
+    Equal rows have equal labels, so they are counted first, joined once and
+    given back as often as they came.
+    """
+    each = rows.groupBy(*rows.columns).agg(F.count("*").alias("_times"))
+    named = ranges.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(label).alias("_label"), F.col(order).alias("_o"))
+    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.col(t) >= F.col("_s"), F.col(t) < F.col("_e")]
+    got = each.join(named, on)
+    best = got.groupBy(*rows.columns, "_times").agg(F.max_by("_label", "_o").alias(label))
+    return best.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*rows.columns, label)
+
+
+def inner_join(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str = "_right") -> DataFrame:
+    """D3: rows of both sides with equal, non-null keys; columns of the right side that the left has, too, get the suffix."""
+    return left.join(_renamed(left, right, keys, suffix), list(keys))
+
+
+def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str = "_right", fill: Mapping[str, object] | None = None) -> DataFrame:
+    """Every left row, with nulls (or `fill`, by column) where the right side has no equal key; names as in D3."""
+    out = left.join(_renamed(left, right, keys, suffix), list(keys), "left")
+    return out.fillna(dict(fill)) if fill else out
+
+
+def _renamed(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
+    taken = set(left.columns) - set(keys)
+    return right.withColumnsRenamed({c: f"{c}{suffix}" for c in right.columns if c in taken})
 
 
 def paired(df: DataFrame, keys: Sequence[str], block: str, condition: str, base, value: str) -> DataFrame:

@@ -22,7 +22,7 @@ TRAINERS = {
     "boosted_trees": lambda seed, **p: GBTClassifier(seed=seed, weightCol="w", maxIter=p.get("rounds", 10), maxDepth=p.get("depth", 3)),
     "logistic": lambda seed, **p: LogisticRegression(weightCol="w", regParam=p.get("reg", 0.01), maxIter=50),
     "linear_svm": lambda seed, **p: LinearSVC(weightCol="w", regParam=p.get("reg", 0.01), maxIter=50),
-    "mlp": lambda seed, **p: MultilayerPerceptronClassifier(seed=seed, layers=p["layers"], maxIter=30),
+    "mlp": lambda seed, **p: MultilayerPerceptronClassifier(seed=seed, layers=[p["width"], *p.get("hidden", [6]), 2], maxIter=p.get("rounds", 30)),
 }
 
 
@@ -32,6 +32,8 @@ def prepared(df: DataFrame, positive_weight: float = 1.0) -> DataFrame:
 
 def fit_score(train: DataFrame, test: DataFrame, kind: str, seed: int = 1, positive_weight: float = 3.0, **params) -> DataFrame:
     """Id, y, score of test rows; decision values of the linear SVM are scaled to 0-1 by their extremes."""
+    if kind == "mlp":  # the first layer has the vectors' length
+        params = {"width": len(train.select("vec").first()["vec"])} | params
     model = TRAINERS[kind](seed, **params).fit(prepared(train, positive_weight))
     out = model.transform(prepared(test))
     if kind == "linear_svm":

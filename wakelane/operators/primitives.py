@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakelane.functions.storage import written
+
 
 def tie_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Average rank of value within keys, equal values sharing theirs.
@@ -27,19 +31,44 @@ def tie_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank")
     return df.join(ranks, on).select(*df.columns, name)
 
 
+def placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows in order, range partitioned, with _p (partition) and _r (row in it, from 0), as a written table.
+
+    Writing settles the partitions: whatever is counted on it later, in however
+    many branches of a plan, sees the same ones.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return written(rows, "placed").select(*df.columns, F.shiftright("_id", 33).alias("_p"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_r"))
+
+
 def prefix_sum(df: DataFrame, order: Sequence[str], values: Sequence[str], descending: bool = False) -> DataFrame:
     """Running sums `cum_<value>` over the whole table, without a one-task window.
 
-    Rows are range partitioned; each partition's total is summed up (one row per
-    partition), and added to sums within partitions. Equal order keys must not
-    span rows: aggregate by the order first.
+    Rows are range partitioned, sorted and summed up as a stream once, and
+    written with their partition; one total per partition gives each its base.
+    Equal order keys must not span rows: aggregate by the order first. Null
+    values add nothing.
     """
     keys = [F.desc(c) if descending else F.asc(c) for c in order]
-    part = df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
-    inside = Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    local = part.select("*", *(F.sum(v).over(inside).alias(f"cum_{v}") for v in values))
-    totals = part.groupBy("_p").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
+    added = [f"cum_{v}" for v in values]
+    kinds = {v: "long" if dict(df.dtypes)[v] in ("tinyint", "smallint", "int", "bigint") else "double" for v in values}
+    at = [df.columns.index(v) for v in values]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list = [0] * len(values)
+        for b in batches:
+            sums = []
+            for k, v in enumerate(values):
+                x = pc.fill_null(b.column(at[k]).cast(pa.int64() if kinds[v] == "long" else pa.float64()), 0)
+                sums.append(pc.add(pc.cumulative_sum(x), total[k]))
+                total[k] = sums[-1][-1].as_py() if len(x) else total[k]
+            yield pa.RecordBatch.from_arrays([*b.columns, *sums], names=[*b.schema.names, *added])
+
+    schema = rows.withColumns({f"cum_{v}": F.lit(None).cast(kinds[v]) for v in values}).schema
+    local = written(rows.mapInArrow(run, schema), "prefix-sum")
+    totals = local.groupBy("_p").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     base = totals.select("_p", *(F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values))
     out = local.join(base, "_p")
     return out.select(*df.columns, *((F.col(f"cum_{v}") + F.col(f"_b_{v}")).alias(f"cum_{v}") for v in values))
@@ -70,10 +99,32 @@ def pair_table(ids: DataFrame, key: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Row number from 1 by order within keys; without keys by range partitions and their counts (P6), never in one task."""
+    """Row number from 1 by order within keys; without keys by written range partitions and their counts (P6), never in one task.
+
+    Rows of equal order get different numbers.
+    """
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return prefix_sum(df.withColumn("_one", F.lit(1).cast("long")), order, ["_one"]).drop("_one").withColumnRenamed("cum__one", name)
+    return indexed(df, [], order, name).withColumn(name, F.col(name) + 1)
+
+
+def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, size: str | None = None) -> DataFrame:
+    """Row number from 0 by order within keys, and on demand the key's size; a key of any size is spread over range partitions.
+
+    Each partition holds a run of each key it has; a table of one row per
+    partition and key, with where the run begins and how many rows of the key
+    earlier partitions hold, is joined back.
+    """
+    rows = placed(df, [F.asc(c) for c in [*keys, *order]])
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ks = [f"_k{i}" for i in range(len(keys))]
+    runs = rows.select(F.col("_p").alias("_q"), "_r", *named).groupBy("_q", *ks).agg(F.min("_r").alias("_first"), F.count("*").alias("_c"))
+    own = Window.partitionBy(*ks) if ks else Window.partitionBy(F.lit(0))  # one row per partition of a key
+    earlier = own.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).withColumn("_all", F.sum("_c").over(own))
+    same = [F.col("_p") == F.col("_q"), *(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))]
+    out = rows.join(runs, same)
+    return out.select(*df.columns, (F.col("_r") - F.col("_first") + F.col("_before")).alias(name), *([F.col("_all").alias(size)] if size else []))
 
 
 #: Rows and queries of one task of a kNN join, and queries of one matrix product in it.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wakelane.functions.storage import fresh_path
 from wakelane.operators import clean, metrics, models, split
 from wakelane.plans.base import MATRIX, features, fill, matrix, r, read, signals
 from wakelane.sources import files
@@ -64,7 +65,7 @@ def h8_welch_select(spark, d):
 
 
 def a4_write_features(spark, d):
-    path = files.scratch(spark, "features")
+    path = fresh_path(spark, "features")
     files.write_features(signals(spark, d).select("user_id", "t", "x", F.lit("raw").alias("stage"), F.col("event_type").alias("pipeline")), path)
     return spark.read.parquet(path).groupBy("pipeline").agg(F.count("*").alias("n"))
 
@@ -72,7 +73,7 @@ def a4_write_features(spark, d):
 def a7_write_results(spark, d):
     from wakelane.plans.tables import _eval_lines
 
-    path = files.scratch(spark, "results")
+    path = fresh_path(spark, "results")
     files.write_results(_eval_lines(spark, d).select(F.from_json("value", files.EVAL_SCHEMA).alias("r")).select("r.*"), path)
     return files.read_eval_results(spark, f"{path}/json").groupBy("model").agg(F.count("*").alias("n"))
 
@@ -94,7 +95,7 @@ def f8_split_fallback(spark, d):
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "abfhi" and k[1:2].isdigit() and callable(f)}
 QUERIES |= {f"i1_{k}": _trainer(k) for k in ("random_forest", "decision_tree", "logistic", "linear_svm")}
-QUERIES |= {"i1_mlp": _trainer("mlp", layers=[8, 6, 2]), "i2_boosted_trees": _trainer("boosted_trees", rounds=3)}
+QUERIES |= {"i1_mlp": _trainer("mlp"), "i2_boosted_trees": _trainer("boosted_trees", rounds=3)}
 ORACLES = {
     "a4_write_features": "SELECT event_type AS pipeline, count(*) AS n FROM events GROUP BY 1",
     "i4_knn_classify": f"WITH {MATRIX}, t AS (SELECT *, CAST(('0x' || substr(md5('1:' || id), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM m), nr AS (SELECT id, y, dist, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS k FROM (SELECT a.id, b.id AS other, b.y, sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (a.vec[i] - b.vec[i]) ** 2))) AS dist FROM t a JOIN t b ON a.u < 0.3 AND b.u >= 0.3)) SELECT id, {r('sum(y / (dist + 1e-10)) / sum(1 / (dist + 1e-10))')} AS score FROM nr WHERE k <= 5 GROUP BY 1",

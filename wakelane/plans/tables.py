@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakelane.functions.columns import shown
+from wakelane.functions.storage import fresh_path
 from wakelane.operators import clean, split
 from wakelane.plans.base import SIG, fill, r, read, signals
 from wakelane.sources import files
@@ -62,7 +63,7 @@ def a2_feature_files(spark, d):
     named = lambda k, run: F.format_string(f"S%04d_{run}", F.col(k).cast("int"))
     old = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), named("c_nationkey", 1).alias("recording"))
     new = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("w"), named("s_nationkey", 2).alias("recording"))
-    paths = [files.scratch(spark, "features") for _ in range(2)]
+    paths = [fresh_path(spark, "features") for _ in range(2)]
     for rows, path in zip((old, new), paths):
         rows.write.partitionBy("recording").option("header", "true").csv(path)
     return files.read_features(spark, paths, ["k long, v double", "k long, w int"]).select("subject_id", "k", "v", "w")
@@ -70,7 +71,7 @@ def a2_feature_files(spark, d):
 
 def a6_evaluation_files(spark, d):
     """Evaluation records written as JSON, a folder per model, read from all folders and made flat."""
-    path = files.scratch(spark, "evaluation")
+    path = fresh_path(spark, "evaluation")
     model = F.get_json_object("value", "$.model")
     _eval_lines(spark, d).withColumn("folder", F.substring(model, 1, 1)).write.partitionBy("folder").text(path)
     return fill(files.flatten_eval(files.read_eval_results(spark, path)).select("model", "tag", "precision", "recall", "f1", "auc", "f2", "tn", "tp"))
@@ -78,7 +79,7 @@ def a6_evaluation_files(spark, d):
 
 def a7_result_files(spark, d):
     """The flat CSV beside the JSON of write_results, read back."""
-    path = files.scratch(spark, "results")
+    path = fresh_path(spark, "results")
     rows = _eval_lines(spark, d).select(F.from_json("value", files.EVAL_SCHEMA).alias("r")).select("r.*")
     files.write_results(rows, path)
     schema = files.flatten_eval(rows).schema
@@ -88,7 +89,7 @@ def a7_result_files(spark, d):
 
 def a8_log_files(spark, d):
     """Tuning logs, a file per kind of event, read line by line; the first tag of a file is its smallest."""
-    path = files.scratch(spark, "logs")
+    path = fresh_path(spark, "logs")
     e = read(spark, d, "events").where("event_type IS NOT NULL")
     trial = e.select(F.col("event_type").alias("log"), F.concat(F.lit("[Search] Trial "), F.col("event_id"), F.lit(": value="), F.format_string("%.2f", "value"), F.lit(", best=9.5")).alias("value"))
     head = e.select(F.col("event_type").alias("log"), F.concat(F.lit("[Run] tag=t_"), F.col("event_type"), F.lit(" mode=pooled")).alias("value")).distinct()

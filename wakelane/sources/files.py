@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,16 +14,6 @@ EVAL_SCHEMA = f"""model string, mode string, tag string, distance string, level
  pr_curve struct<precision: array<double>, recall: array<double>>, classification_report {REPORT}"""
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which all executors share; a local session without it gets a temporary folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="spark-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_signals(spark: SparkSession, path: str | Sequence[str], schema: str, fmt: str = "parquet") -> DataFrame:
     """A1: recordings with a stated schema; files that went missing are skipped."""
     return spark.read.format(fmt).schema(schema).option("ignoreMissingFiles", "true").option("header", "true").load(path)
