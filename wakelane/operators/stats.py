@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakelane.functions.columns import hash_order, hash_uniform, normal_cdf
+from wakelane.functions.columns import hash_uniform, normal_cdf
+from wakelane.functions.pairs import grid_inversions, inversions, median_difference
 from wakelane.functions.tails import NEMENYI_Q, chi2_p, mann_whitney_p, shapiro_w, t_crit, t_p
 from wakelane.operators.joins import paired
 from wakelane.operators.primitives import tie_rank
+from wakelane.operators.resampling import bootstrap_means, first_draws, permuted_group_sums, resampled_deltas
 
 
 def describe_cells(df, keys, v):
@@ -155,10 +158,22 @@ def brown_forsythe(df, keys, group, v):
 
 
 def hodges_lehmann(df, keys, group, a, b, v):
-    """Median of all differences a - b inside a cell (cells are small: seeds of one experiment)."""
-    x = df.where(F.col(group) == a).select(*keys, F.col(v).alias("x"))
-    y = df.where(F.col(group) == b).select(*keys, F.col(v).alias("y"))
-    return x.join(y, list(keys)).groupBy(*keys).agg(F.median(F.col("x") - F.col("y")).alias("shift"))
+    """Median of all differences a - b inside a cell, by selection without forming pairs.
+
+    Values are counted by Spark; a cell's task holds its distinct values with
+    their counts (16 bytes each), not its rows. Null and NaN values take no part;
+    cells that lack a group are left out.
+    """
+    some = df.where(F.col(group).isin(a, b) & F.col(v).isNotNull()).select(*keys, (F.col(group) == a).alias("_a"), F.col(v).cast("double").alias("_v")).where(~F.isnan("_v"))
+    counts = some.groupBy(*keys, "_a", "_v").agg(F.count("*").alias("_n"))
+
+    def run(pdf):
+        x, y = pdf[pdf["_a"]], pdf[~pdf["_a"]]
+        shift = median_difference(*(d[c].to_numpy() for d in (x, y) for c in ("_v", "_n"))) if len(x) and len(y) else None
+        return pdf[list(keys)].head(1).assign(shift=shift)
+
+    types = dict(df.dtypes)
+    return counts.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "shift double"])).where("shift IS NOT NULL")
 
 
 def shapiro(df, keys, v):
@@ -184,19 +199,9 @@ def adjust_p(df, keys, p):
     return rows.select(*df.columns, F.least(F.lit(1.0), F.col(p) * F.col("_m")).alias("bonferroni"), bh.alias("bh"), holm.alias("holm"))
 
 
-def draws(df, keys, order, v, replicates, seed, size=None):
-    """keys, b, v: for each replicate as many values as the cell has (or size), drawn with replacement by P2."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.select(*keys, (F.row_number().over(w) - 1).alias("_i"), F.col(v).alias("_v"))
-    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    slots = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), (F.lit(size).cast("long") if size else F.col("_n")) - 1)))
-    pick = F.floor(hash_uniform(seed, *[F.col(k) for k in keys], F.col("b"), F.col("_j")) * F.col("_n"))
-    return slots.withColumn("_i", pick).join(rows, [*keys, "_i"]).select(*keys, "b", F.col("_j").alias("j"), F.col("_v").alias("v"))
-
-
 def bootstrap_ci(df, keys, order, v, replicates=200, seed=1):
-    """Percentile interval of the mean."""
-    means = draws(df, keys, order, v, replicates, seed).groupBy(*keys, "b").agg(F.avg("v").alias("m"))
+    """Percentile interval of the mean; null values take no part."""
+    means = bootstrap_means(df, keys, order, v, replicates, seed)
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.groupBy(*keys).agg(q[0].alias("lo"), q[1].alias("hi"))
 
@@ -212,7 +217,7 @@ def bootstrap_bca(df, keys, order, v, replicates=200, seed=1):
     base = df.groupBy(*keys).agg(F.avg(v).alias("m0"), F.count("*").alias("n"))
     jack = df.join(base, list(keys)).withColumn("_d", (F.col(v) - F.col("m0")) / (F.col("n") - 1))
     acc = jack.groupBy(*keys).agg((F.sum(F.pow("_d", 3)) / F.nullif(6 * F.pow(F.sum(F.pow("_d", 2)), 1.5), F.lit(0.0))).alias("a"))
-    means = draws(df, keys, order, v, replicates, seed).groupBy(*keys, "b").agg(F.avg("v").alias("m")).join(base, list(keys))
+    means = bootstrap_means(df, keys, order, v, replicates, seed).join(base, list(keys))
     below = means.groupBy(*keys).agg(F.avg((F.col("m") < F.col("m0")).cast("double")).alias("share"), F.sort_array(F.collect_list("m")).alias("ms"))
     s = below.join(acc, list(keys)).withColumn("z0", normal_ppf(F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("share")))))
     at = lambda z: F.col("z0") + (F.col("z0") + z) / (1 - F.coalesce("a", F.lit(0.0)) * (F.col("z0") + z))
@@ -222,29 +227,22 @@ def bootstrap_bca(df, keys, order, v, replicates=200, seed=1):
     return s.select(*keys, ends.alias("_e")).select(*keys, F.col("_e")[0].alias("lo"), F.col("_e")[1].alias("hi"))
 
 
-def cliff_delta_ci(df, keys, group, a, b, order, v, replicates=100, seed=1):
+def cliff_delta_ci(df, keys, group, a, b, v, replicates=100, seed=1):
     """Percentile interval of Cliff's delta over resamples of both groups."""
-    one = lambda g, s: draws(df.where(F.col(group) == g), keys, order, v, replicates, s).withColumn("g", F.lit(g))
-    d = mann_whitney(one(a, seed).unionByName(one(b, seed + 1)), [*keys, "b"], "g", a, b, "v")
     q = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))
-    return d.groupBy(*keys).agg(q[0].alias("lo"), q[1].alias("hi"))
+    return resampled_deltas(df, keys, group, a, b, v, replicates, seed).groupBy(*keys).agg(q[0].alias("lo"), q[1].alias("hi"))
 
 
 def permutation_test(df, keys, group, order, v, replicates=200, seed=1):
     """T = sum of |group mean - grand mean|; p = (1 + shuffles with T at least as large) / (B + 1)."""
-    w = Window.partitionBy(*keys)
-    rows = df.select(*keys, group, *order, v, F.row_number().over(w.orderBy(group, *order)).alias("_i"))
-    shuffled = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    place = hash_order(seed, *[F.col(k) for k in keys], F.col("b"), F.col("_i"))
-    shuffled = shuffled.withColumn("_r", F.when(F.col("b") == 0, F.col("_i")).otherwise(F.row_number().over(Window.partitionBy(*keys, "b").orderBy(place))))
-    values = rows.select(*keys, F.col("_i").alias("_r"), F.col(v).alias("_v"))
-    got = shuffled.select(*keys, group, "b", "_r").join(values, [*keys, "_r"])
-    means = got.groupBy(*keys, "b", group).agg(F.avg("_v").alias("m"), F.count("*").alias("n"))
-    grand = Window.partitionBy(*keys, "b")
-    t = means.withColumn("g", F.sum(F.col("m") * F.col("n")).over(grand) / F.sum("n").over(grand)).groupBy(*keys, "b").agg(F.round(F.sum(F.abs(F.col("m") - F.col("g"))), 12).alias("T"))
-    s = t.groupBy(*keys).agg(F.max(F.when(F.col("b") == 0, F.col("T"))).alias("T"), F.collect_list(F.when(F.col("b") > 0, F.col("T"))).alias("ts"))
-    more = F.size(F.filter("ts", lambda x: x >= F.col("T")))
-    return s.select(*keys, "T", ((more + 1) / (replicates + 1)).alias("p"))
+    seen = df.where(F.col(v).isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum(v).cast("double").alias("s")).select(*keys, F.lit(0).alias("b"), "n", "s")
+    made = permuted_group_sums(df, keys, group, order, v, replicates, seed).select(*keys, "b", "n", "s")
+    every = Window.partitionBy(*keys, "b")  # groups of a replicate
+    rows = seen.unionByName(made).withColumn("g", F.sum("s").over(every) / F.sum("n").over(every))
+    t = rows.groupBy(*keys, "b").agg(F.round(F.sum(F.abs(F.col("s") / F.col("n") - F.col("g"))), 12).alias("T"))
+    one = t.where("b = 0").select(*keys, F.col("T").alias("_t"))
+    more = _join(t, one, keys).groupBy(*keys).agg(F.max("_t").alias("T"), F.count_if((F.col("b") > 0) & (F.col("T") >= F.col("_t"))).alias("_more"))
+    return more.select(*keys, "T", ((F.col("_more") + 1) / (replicates + 1)).alias("p"))
 
 
 def t_ci(df, keys, v):
@@ -277,7 +275,7 @@ def sigma_rank(df, keys, group, seed_col, v, subs):
 
 def ci_width_by_k(df, keys, order, v, most, replicates=100, seed=1):
     """Width of the bootstrap interval from the first k of each replicate's draws."""
-    d = draws(df, keys, order, v, replicates, seed, most)
+    d = first_draws(df, keys, order, v, most, replicates, seed)
     w = Window.partitionBy(*keys, "b").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     m = d.withColumn("m", F.avg("v").over(w)).withColumn("k", F.col("j") + 1)
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
@@ -340,13 +338,59 @@ def spearman(df, keys, a, b):
     return r.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("rho"), F.count("*").alias("n"))
 
 
-def kendall_tau(df, keys, a, b, order):
-    """Tau-b by pairs inside a cell (cells are small tables of items)."""
-    x = df.select(*keys, F.col(order).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    y = df.select(*keys, F.col(order).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    p = x.join(y, list(keys)).where("i < j")
-    sa, sb = F.signum(F.col("a1") - F.col("a2")), F.signum(F.col("b1") - F.col("b2"))
-    return p.groupBy(*keys).agg((F.sum(sa * sb) / F.nullif(F.sqrt(F.sum(sa * sa) * F.sum(sb * sb)), F.lit(0.0))).alias("tau"))
+#: Rows of a block of the inversion count, and blocks of a cell along each axis: larger cells have larger blocks.
+TAU_BLOCK, TAU_BLOCKS = 1 << 16, 512
+
+
+def _tau_places(counts, keys, value, block, name):
+    """Block of each value of a cell in order, by rows before it; a value with more rows than a block is (odd) block of its own; and its tied pairs."""
+    t = counts.groupBy(*keys, value).agg(F.sum("_w").alias("_t"), F.max("_n").alias("_n"))
+    size = F.greatest(F.lit(block).cast("long"), F.ceil(F.col("_n") / TAU_BLOCKS))
+    before = F.sum("_t").over(Window.partitionBy(*keys).orderBy(value)) - F.col("_t")
+    return t.select(*keys, value, (2 * F.floor(before / size) + (F.col("_t") > size).cast("long")).alias(name), (F.col("_t") * (F.col("_t") - 1) / 2).alias("_pairs"))
+
+
+def kendall_tau(df, keys, a, b, block=TAU_BLOCK):
+    """Tau-b by counting inversions in n log n; rows with a null take no part, cells of one row have no tau.
+
+    Rows are cut into blocks along a and along b. Discordant pairs in one block
+    of a, and pairs of one block of b in different ones of a, are counted in
+    tasks of a block; pairs apart in both come from the grid of block counts.
+    A value of many rows is a block by itself and needs no task.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, F.col(a).alias("_x"), F.col(b).alias("_y")).agg(F.count("*").alias("_w"))
+    size = counts.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * (F.col("_w") - 1) / 2).alias("_both")).where("_n > 1")
+    counts = _join(counts, size, keys)
+    px, py = (_tau_places(counts, keys, c, block, n) for c, n in (("_x", "_bx"), ("_y", "_by")))
+    rows = counts.join(px.drop("_pairs"), [*keys, "_x"]).join(py.drop("_pairs"), [*keys, "_y"])
+    kind = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), "d long"])
+    out = lambda pdf, d: pdf[keys].head(1).assign(d=d)
+
+    def inside(pdf):  # pairs of one block of a
+        o = np.lexsort((pdf["_y"], pdf["_x"]))
+        return out(pdf, inversions(pdf["_y"].to_numpy()[o], pdf["_w"].to_numpy()[o]))
+
+    def across(pdf):  # pairs of one block of b in different blocks of a
+        o = np.lexsort((pdf["_y"], pdf["_bx"]))
+        return out(pdf, inversions(pdf["_y"].to_numpy()[o], pdf["_w"].to_numpy()[o]))
+
+    def apart(pdf):
+        return out(pdf, grid_inversions(*(pdf[c].to_numpy() for c in ("_bx", "_by", "_w"))))
+
+    large = rows.where(F.col("_n") > block)
+    found = rows.where("_bx % 2 = 0").groupBy(*keys, "_bx").applyInPandas(inside, schema)
+    found = found.unionByName(large.where("_by % 2 = 0").groupBy(*keys, "_by").applyInPandas(across, schema))
+    found = found.unionByName(large.groupBy(*keys, "_bx", "_by").agg(F.sum("_w").alias("_w")).groupBy(*keys).applyInPandas(apart, schema))
+    zero = F.lit(0.0)
+    parts = [size.select(*keys, (F.col("_n") * (F.col("_n") - 1) / 2).alias("n0"), F.col("_both").alias("n3")), found.select(*keys, F.col("d").cast("double").alias("d")), px.select(*keys, F.col("_pairs").alias("n1")), py.select(*keys, F.col("_pairs").alias("n2"))]
+    terms = parts[0]
+    for part in parts[1:]:
+        terms = terms.unionByName(part, allowMissingColumns=True)
+    terms = terms.groupBy(*keys).agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("n0", "n1", "n2", "n3", "d")))
+    apart_x, apart_y = F.col("n0") - F.col("n1"), F.col("n0") - F.col("n2")
+    return terms.select(*keys, ((apart_x - F.col("n2") + F.col("n3") - 2 * F.col("d")) / F.nullif(F.sqrt(apart_x * apart_y), zero)).alias("tau"))
 
 
 def linear_fit(df, keys, x, y):
@@ -413,19 +457,62 @@ def bootstrap_sobol(df, factors, v, block, replicates=50, seed=1):
 
 
 def coverage(df, keys, cells, block):
-    """Least and most blocks over the sub-cells of each key, empty sub-cells counting 0."""
-    grid = df.select(*keys).distinct().crossJoin(F.broadcast(df.select(*cells).distinct()))
+    """Least and most blocks over the sub-cells of each key, empty sub-cells counting 0.
+
+    A key lacks a sub-cell if it has fewer of them than there are: no grid of
+    keys and sub-cells is formed.
+    """
     n = df.groupBy(*keys, *cells).agg(F.count_distinct(block).alias("b"))
-    return grid.join(n, [*keys, *cells], "left").groupBy(*keys).agg(F.min(F.coalesce("b", F.lit(0))).alias("least"), F.max(F.coalesce("b", F.lit(0))).alias("most"))
+    every = df.select(*cells).distinct().agg(F.count("*").alias("_all"))  # one row
+    found = n.groupBy(*keys).agg(F.min("b").alias("_least"), F.max("b").alias("most"), F.count("*").alias("_c")).join(F.broadcast(every))
+    return found.select(*keys, F.when(F.col("_c") < F.col("_all"), F.lit(0).cast("long")).otherwise(F.col("_least")).alias("least"), "most")
+
 
+def closed_sets(patterns: dict[int, int], columns: int) -> dict[int, int]:
+    """Close-by-one over bitsets: each column set that is all that some rows have in common, with the number of those rows.
 
-def largest_rectangle(cover, row, col, least):
-    """Most rows covered by `least` blocks in all columns of a column set, times its size (columns are few)."""
-    ok = cover.where(F.col("least") >= least).groupBy(row).agg(F.sort_array(F.collect_set(col)).alias("cs"))
-    names = [r[0] for r in cover.select(col).distinct().orderBy(col).collect()]
-    sets = F.explode(F.array(*(F.array(*map(F.lit, c)) for r in range(1, len(names) + 1) for c in combinations(names, r))))
-    fit = ok.withColumn("s", sets).where(F.size(F.array_except("s", "cs")) == 0).groupBy("s").agg(F.count("*").alias("rows"))
-    return fit.select(F.array_join("s", ",").alias("columns"), "rows", (F.col("rows") * F.size("s")).alias("area")).orderBy(F.desc("area"), "columns").limit(1)
+    patterns: rows by the bits of the columns they have.
+    """
+    distinct = list(patterns.items())
+    full, out = (1 << columns) - 1, {}
+
+    def closure(of):
+        common = full
+        for bits, _ in of:
+            common &= bits
+        return common
+
+    stack = [(closure(distinct), distinct, 0)] if distinct else []
+    while stack:
+        bits, rows, start = stack.pop()
+        out[bits] = sum(n for _, n in rows)
+        for j in range(start, columns):
+            if not bits >> j & 1:
+                some = [p for p in rows if p[0] >> j & 1]
+                if some:
+                    more = closure(some)
+                    # Each set is met once: from its own first columns only.
+                    if (more ^ bits) & ((1 << j) - 1) == 0:
+                        stack.append((more, some, j + 1))
+    return out
+
+
+def largest_rectangle(cover, row, col, least, most_columns: int = 62):
+    """Columns, rows, area of the largest block of rows that have `least` blocks in all of a column set.
+
+    Ties: the first by the columns' names. Rows are counted by their set of
+    columns (a bitset) in Spark, so equal rows are one; the closed sets are
+    searched among those. At most most_columns columns, else an error.
+    """
+    names = [r[0] for r in cover.select(col).distinct().orderBy(col).limit(most_columns + 1).collect()]
+    if len(names) > most_columns:
+        raise ValueError(f"more than {most_columns} columns")
+    bit = F.create_map(*(x for i, c in enumerate(names) for x in (F.lit(c), F.lit(1 << i).cast("long")))) if names else F.create_map()
+    ok = cover.where(F.col("least") >= least).select(row, col).distinct().groupBy(row).agg(F.bit_or(F.element_at(bit, F.col(col))).alias("bits"))
+    patterns = {r["bits"]: r["n"] for r in ok.groupBy("bits").agg(F.count("*").alias("n")).collect()}
+    sets = [(",".join(map(str, (c for i, c in enumerate(names) if bits >> i & 1))), n, n * bits.bit_count()) for bits, n in closed_sets(patterns, len(names)).items() if bits]
+    best = sorted(sets, key=lambda s: (-s[2], s[0]))[:1]
+    return cover.sparkSession.createDataFrame(best, "columns string, rows long, area long")
 
 
 def min_detectable(df, keys, v, z: float = 1.959964):
@@ -445,8 +532,9 @@ def compare_intervals(df, keys, block, group, base, v, replicates: int = 2000, s
     """Percentile intervals of the mean of each condition and of the baseline, on their common blocks."""
     p = paired(df, keys, block, group, base, v)
     by = [*keys, group]
-    own = bootstrap_ci(p, by, [block], "value", replicates, seed)
-    other = bootstrap_ci(p, by, [block], "base_value", replicates, seed).withColumnsRenamed({"lo": "base_lo", "hi": "base_hi"})
+    order = [block, "value", "base_value"]  # a block may hold several pairs
+    own = bootstrap_ci(p, by, order, "value", replicates, seed)
+    other = bootstrap_ci(p, by, order, "base_value", replicates, seed).withColumnsRenamed({"lo": "base_lo", "hi": "base_hi"})
     return own.join(other, by)
 
 

@@ -46,16 +46,50 @@ def a6_flatten_eval(spark, d):
     return fill(files.flatten_eval(rows).select("tag", "precision", "recall", "f1", "auc", "f2", "tn", "tp"))
 
 
-def a8_read_tuning_logs(spark, d):
+def _tuning_lines(spark, d):
+    """file (a user), line (event_id) and value: errors state tags and modes, other events are trials."""
     e = read(spark, d, "events")
-    head = F.concat(F.lit("[Run] tag=t"), F.col("user_id"), F.lit(" mode=m"), F.col("user_id") % 3)
+    head = F.concat(F.lit("[Run] tag=t"), F.col("event_id"), F.lit(" mode=m"), F.col("event_id") % 30)
     line = F.when(F.col("event_type") == "error", head).otherwise(F.concat(F.lit("[Search] Trial "), F.col("event_id"), F.lit(": value="), F.format_string("%.2f", "value"), F.lit(", best=9.5")))
-    return files.parse_tuning_logs(e.select(F.col("user_id").cast("string").alias("file"), line.alias("value")))
+    return e.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("line"), line.alias("value"))
+
+
+def a8_read_tuning_logs(spark, d):
+    return files.parse_tuning_logs(_tuning_lines(spark, d))
+
+
+def _sampling_lines(spark, d):
+    """Sampling logs of customers: each order states counts; the last order of a log counts."""
+    parts = [F.concat(F.lit("method=smote ratio=0.5 seed="), F.col("o_custkey")), F.concat(F.lit("train n="), F.col("o_orderkey") + 10, F.lit(" pos="), F.col("o_custkey")), F.concat(F.lit("Class distribution after oversampling: ["), F.col("o_orderkey"), F.lit(" "), F.col("o_custkey"), F.lit("]"))]
+    return read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("file"), (F.col("o_orderkey") * 3).alias("line"), F.posexplode(F.array(*parts)).alias("k", "value")).withColumn("line", F.col("line") + F.col("k")).drop("k")
 
 
 def a9_read_sampling_logs(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("file"), F.explode(F.array(F.concat(F.lit("method=smote ratio=0.5 seed="), F.col("o_custkey")), F.concat(F.lit("train n="), F.col("o_orderkey") + 10, F.lit(" pos="), F.col("o_custkey")), F.concat(F.lit("Class distribution after oversampling: ["), F.col("o_orderkey"), F.lit(" "), F.col("o_custkey"), F.lit("]")))).alias("value"))
-    return fill(files.parse_sampling_logs(o))
+    return fill(files.parse_sampling_logs(_sampling_lines(spark, d)))
+
+
+def _as_files(spark, lines, name):
+    """Writes lines as text files, one folder a log, in the order of the lines."""
+    path = fresh_path(spark, name)
+    lines.withColumnRenamed("file", "log").repartition("log").sortWithinPartitions("log", "line").select("log", "value").write.partitionBy("log").text(path)
+    return path
+
+
+def _log_name(df):
+    return df.withColumn("file", F.regexp_extract("file", "log=([^/]+)", 1))
+
+
+def a9_log_files(spark, d):
+    """Sampling logs of customers with few, written as files and read back; one file a segment and nation."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.concat_ws("-", "c_nationkey", F.lower("c_mktsegment")).alias("log"))
+    lines = _sampling_lines(spark, d).join(c, "file").select(F.col("log").alias("file"), "line", "value")
+    return fill(_log_name(files.read_sampling_logs(spark, _as_files(spark, lines, "sampling"))))
+
+
+def a11_log_files(spark, d):
+    """Hyper-parameter logs, a file a part size, read back: the last statement of each counts."""
+    path = _as_files(spark, _parameter_lines(spark, d), "parameters")
+    return _log_name(files.read_hyperparameters(spark, path, ["depth", "kind", "boot", "w"]))
 
 
 def a2_feature_files(spark, d):
@@ -88,15 +122,9 @@ def a7_result_files(spark, d):
 
 
 def a8_log_files(spark, d):
-    """Tuning logs, a file per kind of event, read line by line; the first tag of a file is its smallest."""
-    path = fresh_path(spark, "logs")
-    e = read(spark, d, "events").where("event_type IS NOT NULL")
-    trial = e.select(F.col("event_type").alias("log"), F.concat(F.lit("[Search] Trial "), F.col("event_id"), F.lit(": value="), F.format_string("%.2f", "value"), F.lit(", best=9.5")).alias("value"))
-    head = e.select(F.col("event_type").alias("log"), F.concat(F.lit("[Run] tag=t_"), F.col("event_type"), F.lit(" mode=pooled")).alias("value")).distinct()
-    # A log is one file, as its lines belong together.
-    trial.unionByName(head).repartition("log").write.partitionBy("log").text(path)
-    lines = files.log_lines(spark, path)
-    return files.parse_tuning_logs(lines).select(F.regexp_extract("file", "log=([^/]+)", 1).alias("log"), "tag", "mode", "trial", "value", "best")
+    """Tuning logs of users, a file for each hundred of them, read line by line."""
+    lines = _tuning_lines(spark, d).withColumn("file", (F.col("file").cast("long") % 100).cast("string"))
+    return _log_name(files.read_tuning_logs(spark, _as_files(spark, lines, "logs")))
 
 
 def a10_matrix_to_pairs(spark, d):
@@ -106,9 +134,13 @@ def a10_matrix_to_pairs(spark, d):
     return files.matrix_to_pairs(m, "r", ["0", "1", "2", "3", "4"], "sum")
 
 
+def _parameter_lines(spark, d):
+    """file (a part size), line (the part) and value: best parameters in Python notation."""
+    return read(spark, d, "part").select(F.col("p_size").cast("string").alias("file"), F.col("p_partkey").alias("line"), F.concat(F.lit("Best params: {'depth': "), F.col("p_partkey"), F.lit(", 'kind': '"), F.col("p_brand"), F.lit("', 'boot': True, 'w': None}")).alias("value"))
+
+
 def a11_read_hyperparameters(spark, d):
-    p = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), F.concat(F.lit("Best params: {'depth': "), F.col("p_size"), F.lit(", 'kind': '"), F.col("p_brand"), F.lit("', 'boot': True, 'w': None}")).alias("value"))
-    return files.parse_hyperparameters(p, ["depth", "kind", "boot", "w"])
+    return files.parse_hyperparameters(_parameter_lines(spark, d), ["depth", "kind", "boot", "w"])
 
 
 LI = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -240,20 +272,25 @@ _U = lambda seed, key: f"CAST(('0x' || substr(md5('{seed}:' || {key}), 1, 8)) AS
 _Z = lambda c, where: f"({c} - (SELECT avg({c}) FROM lineitem{where})) / (SELECT stddev_pop({c}) FROM lineitem{where})"
 _PICK = lambda xs, c: f"list_extract([{', '.join(repr(x) for x in xs)}], CAST({c} % {len(xs)} + 1 AS INTEGER))"
 _FLAT = f"WITH o AS (SELECT o_orderpriority AS model, o_orderkey AS k, o_custkey AS c, (o_orderkey % 97) / 97 AS p, (o_orderkey % 89) / 89 AS q FROM orders) SELECT model, CAST(k AS VARCHAR) AS tag, {r('p')} AS precision, {r('q')} AS recall, {r('CASE WHEN k % 2 <> 0 THEN (p + q) / 2 END')} AS f1, {r('CASE WHEN k % 2 = 0 THEN q ELSE p END')} AS auc, {r('CASE WHEN 4 * p + q > 0 THEN 5 * p * q / (4 * p + q) END')} AS f2, c AS tn, k AS tp FROM o"
+_TUNING = lambda key: f"WITH e AS (SELECT *, {key} AS file FROM events), h AS (SELECT file, arg_min('t' || event_id, event_id) AS tag, arg_min('m' || event_id % 30, event_id) AS mode FROM e WHERE event_type = 'error' GROUP BY 1) SELECT e.file, tag, mode, CAST(event_id AS INTEGER) AS trial, round(value, 2) AS value, 9.5::DOUBLE AS best FROM e LEFT JOIN h ON h.file = e.file WHERE event_type <> 'error'"
+_SAMPLING = lambda key, rows: f"SELECT {key} AS file, 'smote' AS method, 0.5::DOUBLE AS ratio, CAST(arg_max(o_custkey, o_orderkey) AS INTEGER) AS seed, max(o_orderkey) + 10 AS n, arg_max(o_custkey, o_orderkey) AS pos, max(o_orderkey) AS after_neg, arg_max(o_custkey, o_orderkey) AS after_pos, {r('arg_max(o_custkey, o_orderkey) / nullif(max(o_orderkey), 0)')} AS after_ratio FROM {rows} GROUP BY 1"
+_PARAMETERS = "SELECT CAST(p_size AS VARCHAR) AS file, CAST(max(p_partkey) AS VARCHAR) AS depth, arg_max(p_brand, p_partkey) AS kind, 'true' AS boot, NULL::VARCHAR AS w FROM part GROUP BY 1"
 ORACLES = {
     "a1_read_signals": f"SELECT user_id, count(*) AS n, {r('sum(value)', 3)} AS total FROM events GROUP BY 1",
     "a2_feature_files": "SELECT printf('S%04d_1', c_nationkey) AS subject_id, c_custkey AS k, c_acctbal AS v, NULL::INTEGER AS w FROM customer UNION ALL SELECT printf('S%04d_2', s_nationkey), s_suppkey, NULL, s_nationkey FROM supplier",
     "a6_evaluation_files": _FLAT,
     "a7_result_files": _FLAT,
-    "a8_log_files": "SELECT event_type AS log, 't_' || event_type AS tag, 'pooled' AS mode, CAST(event_id AS INTEGER) AS trial, round(value, 2) AS value, 9.5::DOUBLE AS best FROM events WHERE event_type IS NOT NULL",
+    "a8_log_files": _TUNING("CAST(user_id % 100 AS VARCHAR)"),
     "a2_read_features": "SELECT c_custkey AS k, c_acctbal AS v, NULL::BIGINT AS w FROM customer UNION ALL SELECT s_suppkey, NULL, s_nationkey FROM supplier",
     "a3_select_features": "SELECT p_partkey, p_size FROM part",
     "a5_read_eval_results": "SELECT o_orderpriority AS model, count(*) AS n, count(*) FILTER (o_orderkey % 2 <> 0) AS reports FROM orders GROUP BY 1",
     "a6_flatten_eval": f"WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, (o_orderkey % 97) / 97 AS p, (o_orderkey % 89) / 89 AS q FROM orders) SELECT CAST(k AS VARCHAR) AS tag, {r('p')} AS precision, {r('q')} AS recall, {r('CASE WHEN k % 2 <> 0 THEN (p + q) / 2 END')} AS f1, {r('CASE WHEN k % 2 = 0 THEN q ELSE p END')} AS auc, {r('CASE WHEN 4 * p + q > 0 THEN 5 * p * q / (4 * p + q) END')} AS f2, c AS tn, k AS tp FROM o",
-    "a8_read_tuning_logs": "WITH e AS (SELECT * FROM events) SELECT CAST(user_id AS VARCHAR) AS file, (SELECT max('t' || user_id) FROM e x WHERE x.user_id = e.user_id AND event_type = 'error') AS tag, (SELECT max('m' || user_id % 3) FROM e x WHERE x.user_id = e.user_id AND event_type = 'error') AS mode, CAST(event_id AS INTEGER) AS trial, round(value, 2) AS value, 9.5::DOUBLE AS best FROM e WHERE event_type <> 'error'",
-    "a9_read_sampling_logs": f"SELECT CAST(o_orderkey AS VARCHAR) AS file, 'smote' AS method, 0.5::DOUBLE AS ratio, CAST(o_custkey AS INTEGER) AS seed, o_orderkey + 10 AS n, o_custkey AS pos, o_orderkey AS after_neg, o_custkey AS after_pos, {r('o_custkey / nullif(o_orderkey, 0)')} AS after_ratio FROM orders",
+    "a8_read_tuning_logs": _TUNING("CAST(user_id AS VARCHAR)"),
+    "a9_read_sampling_logs": _SAMPLING("CAST(o_custkey AS VARCHAR)", "orders"),
+    "a9_log_files": _SAMPLING("c_nationkey || '-' || lower(c_mktsegment)", "orders JOIN customer ON o_custkey = c_custkey"),
+    "a11_log_files": _PARAMETERS,
     "a10_matrix_to_pairs": "SELECT 'sum' AS metric, CAST(a.k AS VARCHAR) AS a, CAST(b.k AS VARCHAR) AS b, CASE WHEN a.k = b.k THEN (SELECT sum(n_nationkey) FROM nation WHERE n_regionkey = a.k) ELSE 0 END AS d FROM (SELECT unnest(range(5)) AS k) a, (SELECT unnest(range(5)) AS k) b",
-    "a11_read_hyperparameters": "SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(p_size AS VARCHAR) AS depth, p_brand AS kind, 'true' AS boot, NULL::VARCHAR AS w FROM part",
+    "a11_read_hyperparameters": _PARAMETERS,
     "b2_drop_eeg_columns": "SELECT * EXCLUDE (s_acctbal) FROM supplier",
     "b3_clean_features": "SELECT c_custkey, c_acctbal FROM customer",
     "b4_align_columns": "SELECT s_acctbal, 0.0::DOUBLE AS missing, s_suppkey FROM supplier",

@@ -65,32 +65,57 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def log_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """file, value: the lines of text logs."""
-    return spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    """file, line, value: the lines of text logs in all folders below path; line orders a file's lines.
 
+    A line's place is where its split of the file begins, and its row in there.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path)
+    return rows.select(F.input_file_name().alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line"), "value")
+
+
+def _stated(value: Column, line: str, last: bool = False) -> Column:
+    """The first (or last) non-empty value by line."""
+    some = F.nullif(value, F.lit(""))
+    return (F.max_by if last else F.min_by)(some, F.when(some.isNotNull(), F.col(line)))
 
-def parse_tuning_logs(lines: DataFrame) -> DataFrame:
-    """File, tag, mode, trial, value, best: one row per trial; tag and mode are the first stated in the file."""
-    first = lines.groupBy("file").agg(F.min(F.nullif(F.regexp_extract("value", r"tag=(\S+)", 1), F.lit(""))).alias("tag"), F.min(F.nullif(F.regexp_extract("value", r"mode=(\w+)", 1), F.lit(""))).alias("mode"))
+
+def parse_tuning_logs(lines: DataFrame, line: str = "line") -> DataFrame:
+    """File, tag, mode, trial, value, best: one row per trial; tag and mode are the first stated in the file, by line number."""
+    first = lines.groupBy("file").agg(*(_stated(F.regexp_extract("value", p, 1), line).alias(n) for n, p in (("tag", r"tag=(\S+)"), ("mode", r"mode=(\w+)"))))
     pattern = r"Trial\s+(\d+): value=(-?[\d.]+), best=(-?[\d.]+)"
     trials = lines.where(F.col("value").rlike(pattern)).select("file", *(F.regexp_extract("value", pattern, k).cast(t).alias(n) for k, n, t in ((1, "trial", "int"), (2, "value", "double"), (3, "best", "double"))))
     return trials.join(first, "file", "left").select("file", "tag", "mode", "trial", "value", "best")
 
 
-def parse_sampling_logs(lines: DataFrame) -> DataFrame:
-    """File, method, ratio, seed, class counts before and after, ratio reached."""
-    got = lambda p, k=1: F.max(F.nullif(F.regexp_extract("value", p, k), F.lit("")))
+def parse_sampling_logs(lines: DataFrame, line: str = "line") -> DataFrame:
+    """File, method, ratio, seed, class counts before and after, ratio reached; of several statements the last in the file."""
+    got = lambda p, k=1: _stated(F.regexp_extract("value", p, k), line, last=True)
     after = r"Class distribution after oversampling: \[\s*(\d+)[,\s]+(\d+)\s*\]"
     one = lines.groupBy("file").agg(got(r"method=(\w+)").alias("method"), got(r"ratio=([\d.]+)").cast("double").alias("ratio"), got(r"seed=(\d+)").cast("int").alias("seed"), got(r"train n=(\d+) pos=(\d+)").cast("long").alias("n"), got(r"train n=(\d+) pos=(\d+)", 2).cast("long").alias("pos"), got(after).cast("long").alias("after_neg"), got(after, 2).cast("long").alias("after_pos"))
     return one.withColumn("after_ratio", F.col("after_pos") / F.nullif(F.col("after_neg"), F.lit(0)))
 
 
-def parse_hyperparameters(lines: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Best-parameter dictionaries of Python notation, one column per parameter, the last of each file."""
+def parse_hyperparameters(lines: DataFrame, names: Sequence[str], line: str = "line") -> DataFrame:
+    """Best-parameter dictionaries of Python notation, one column per parameter, the last of each file by line number."""
     text = F.regexp_extract("value", r"[Bb]est (?:hyper)?param\w*: (\{.*\})", 1)
     json = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("'"), F.lit('"')), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    rows = lines.where(text != "").select("file", F.from_json(json, "map<string,string>").alias("p"))
-    return rows.groupBy("file").agg(*(F.max(F.col("p")[n]).alias(n) for n in names))
+    last = lines.where(text != "").groupBy("file").agg(F.max_by(F.from_json(json, "map<string,string>"), line).alias("p"))
+    return last.select("file", *(F.col("p")[n].alias(n) for n in names))
+
+
+def read_tuning_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """A8 over all files below path."""
+    return parse_tuning_logs(log_lines(spark, path))
+
+
+def read_sampling_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """A9 over all files below path."""
+    return parse_sampling_logs(log_lines(spark, path))
+
+
+def read_hyperparameters(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
+    """A11 over all files below path."""
+    return parse_hyperparameters(log_lines(spark, path), names)
 
 
 def matrix_to_pairs(df: DataFrame, row_col: str, columns: Sequence[str], metric: str) -> DataFrame:
