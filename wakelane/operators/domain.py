@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakelane.functions.columns import hash_order
-from wakelane.operators.primitives import knn_join
+from wakelane.functions.storage import written
+from wakelane.operators.primitives import connected, knn_join, pair_blocks
 
 CAP = 1e6
 
@@ -36,28 +37,29 @@ def sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
+def mmd_of(x: np.ndarray, y: np.ndarray) -> float:
+    """K1 for two samples: biased squared MMD with an RBF kernel, gamma = 1 / (2 median squared distance)."""
+    z = np.concatenate([x, y])
+    q = np.maximum((z * z).sum(1)[:, None] + (z * z).sum(1)[None] - 2 * z @ z.T, 0)
+    med = np.median(q[np.triu_indices(len(z), 1)]) if len(z) > 1 else 0.0
+    k = np.exp(-q * (1 / (2 * med) if med > 0 else 1 / z.shape[1]))
+    n = len(x)
+    return float(k[:n, :n].mean() + k[n:, n:].mean() - 2 * k[:n, n:].mean())
+
+
 def mmd(df: DataFrame, rows: int = 1000, seed: int = 1, key: str = "id") -> DataFrame:
-    """K1: biased squared MMD with an RBF kernel, gamma = 1 / (2 median squared distance) of the pair's sample.
+    """K1: MMD of each pair of subjects' samples of at most `rows` rows.
 
-    Each subject's bounded sample is one row; pairs are tasks of their own.
+    A task holds two blocks of subjects' samples and does all pairs between
+    them, so a sample is shipped once per block of subjects.
     """
     packed = sample(df, rows, seed, key).groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct(key, "vec"))), lambda x: x.vec).alias("m"))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for x, y in zip(pdf.m_a, pdf.m_b):
-                x, y = np.stack(x), np.stack(y)
-                z = np.concatenate([x, y])
-                q = np.maximum((z * z).sum(1)[:, None] + (z * z).sum(1)[None] - 2 * z @ z.T, 0)
-                med = np.median(q[np.triu_indices(len(z), 1)]) if len(z) > 1 else 0.0
-                k = np.exp(-q * (1 / (2 * med) if med > 0 else 1 / z.shape[1]))
-                n = len(x)
-                out.append(float(k[:n, :n].mean() + k[n:, n:].mean() - 2 * k[:n, n:].mean()))
-            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "d": out})
+    def run(pdf, i, j):
+        samples = [np.stack(m) for m in pdf["m"]]
+        return {"d": [mmd_of(samples[x], samples[y]) for x, y in zip(i, j)]}
 
-    kind = dict(df.dtypes)["s"]
-    return pair_rows(packed, ["m"]).mapInPandas(run, f"a {kind}, b {kind}, d double")
+    return pair_blocks(packed, "s", run, "d double")
 
 
 def wasserstein(df: DataFrame) -> DataFrame:
@@ -78,30 +80,47 @@ def wasserstein(df: DataFrame) -> DataFrame:
     return one.where("w IS NULL OR NOT isnan(w)").groupBy("a", "b").agg(F.avg(F.least(F.coalesce("w", F.lit(0.0)), F.lit(CAP))).alias("d"))
 
 
-def dtw_of(x: np.ndarray, y: np.ndarray) -> float | None:
-    """K3 for two series: root of the least squared cost of an alignment; null from 1e6."""
-    last = np.full(len(y) + 1, np.inf)
-    last[0] = 0.0
-    for v in x:
-        row = np.full(len(y) + 1, np.inf)
-        cost = (y - v) ** 2
-        best = np.minimum(last[1:], last[:-1])
-        for j in range(len(y)):
-            row[j + 1] = cost[j] + min(best[j], row[j])
-        last = row
-    d = float(np.sqrt(last[-1]))
-    return d if d < CAP else None
+#: Numbers of one anti-diagonal of a batch of alignments.
+DTW_HELD = 1 << 20
+
+
+def dtw_many(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[float | None]:
+    """K3 for pairs of series: root of the least squared cost of an alignment; null from 1e6, and for an empty series.
+
+    Cells of one anti-diagonal hang on the two before only, so a step does a
+    whole anti-diagonal of all pairs. Shorter series are padded: no cell hangs
+    on a later one.
+    """
+    out: list[float | None] = [None] * len(xs)
+    order = sorted((p for p in range(len(xs)) if len(xs[p]) and len(ys[p])), key=lambda p: len(xs[p]) + len(ys[p]))
+    while order:
+        n = max(1, DTW_HELD // (len(xs[order[-1]]) + len(ys[order[-1]])))
+        batch, order = order[-n:], order[:-n]
+        nx, ny = np.array([len(xs[p]) for p in batch]), np.array([len(ys[p]) for p in batch])
+        x, y = np.zeros((len(batch), nx.max())), np.zeros((len(batch), ny.max()))
+        for k, p in enumerate(batch):
+            x[k, : nx[k]], y[k, : ny[k]] = xs[p], ys[p]
+        last = before = np.full((len(batch), nx.max() + 1), np.inf)  # column i + 1 holds row i of the alignment
+        for k in range(nx.max() + ny.max() - 1):
+            i = np.arange(max(0, k - ny.max() + 1), min(k, nx.max() - 1) + 1)
+            least = np.minimum(np.minimum(last[:, i + 1], last[:, i]), before[:, i]) if k else 0.0
+            now = np.full_like(last, np.inf)
+            now[:, i + 1] = (x[:, i] - y[:, k - i]) ** 2 + least
+            before, last = last, now
+            for q in np.flatnonzero(nx + ny - 2 == k):
+                d = float(np.sqrt(now[q, nx[q]]))
+                out[batch[q]] = d if d < CAP else None
+    return out
 
 
 def dtw(series: DataFrame) -> DataFrame:
-    """K3: distance of each pair of subjects' series (column x, an array); one pair at a time in a task."""
+    """K3: distance of each pair of subjects' series (column x, an array), by blocks of subjects."""
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "d": [dtw_of(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(pdf.x_a, pdf.x_b)]})
+    def run(pdf, i, j):
+        x = [np.asarray(v, float) for v in pdf["x"]]
+        return {"d": dtw_many([x[k] for k in i], [x[k] for k in j])}
 
-    kind = dict(series.dtypes)["s"]
-    return pair_rows(series, ["x"]).mapInPandas(run, f"a {kind}, b {kind}, d double")
+    return pair_blocks(series, "s", run, "d double")
 
 
 def vector_distance(means: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -171,35 +190,77 @@ def lof_rank(points: DataFrame, k: int = 10) -> DataFrame:
     return mine.join(lrd, "query_id").select(F.col("query_id").alias("id"), (F.col("other") / F.col("lrd")).alias("lof"))
 
 
-def isolation_forest_rank(points: DataFrame, trees: int = 50, size: int = 64, seed: int = 1) -> DataFrame:
-    """2^-(mean path / c(size)) of (id, vec); trees grow from bounded hash samples, scoring is distributed."""
-    t = points.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))
-    w = Window.partitionBy("tree").orderBy(hash_order(seed, "tree", "id"), "id")
-    chosen = points.crossJoin(F.broadcast(t)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= size)
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    c = lambda n: 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+def tree_samples(points: DataFrame, trees: int, size: int, seed: int) -> DataFrame:
+    """tree, id: for each tree the `size` rows with the smallest hashes.
+
+    Only rows whose hash lies under a bound that lets about four times `size`
+    rows through leave the scan; should a tree get too few, the bound is
+    doubled. So one pass is enough but for odds of one in many millions.
+    """
+    n = points.count()
+    share, need = 4 * size / max(n, 1), min(size, n)
+    rows = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("_h", hash_order(seed, "tree", "id"))
+    w = Window.partitionBy("tree").orderBy("_h", "id")
+    while True:
+        some = rows if share >= 1 else rows.where(F.col("_h") < f"{int(share * 2**32):08x}")
+        chosen = written(some.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= size).select("tree", "id"), "trees")
+        if share >= 1 or chosen.count() == trees * need:
+            return chosen
+        share *= 2
+
+
+class IsolationTree:
+    """A tree grown on a sample, as arrays by node: feature (-1 at leaves), cut, children, path length at leaves."""
+
+    def __init__(self, x: np.ndarray, rng: np.random.Generator, limit: int):
+        self.feature, self.cut, self.left, self.right, self.length = [], [], [], [], []
+        self._grow(x, rng, limit, 0)
+        self.arrays = [np.array(a) for a in (self.feature, self.cut, self.left, self.right, self.length)]
+
+    def _grow(self, x, rng, limit, depth) -> int:
+        at = len(self.feature)
+        lo, hi = (x.min(0), x.max(0)) if len(x) else (np.zeros(1), np.zeros(1))
+        leaf = depth >= limit or len(x) < 2 or not (hi > lo).any()
+        f = -1 if leaf else int(rng.choice(np.flatnonzero(hi > lo)))
+        cut = 0.0 if leaf else float(rng.uniform(lo[f], hi[f]))
+        for a, v in zip((self.feature, self.cut, self.left, self.right, self.length), (f, cut, at, at, depth + mean_path(len(x)) if leaf else 0.0)):
+            a.append(v)
+        if not leaf:
+            self.left[at] = self._grow(x[x[:, f] < cut], rng, limit, depth + 1)
+            self.right[at] = self._grow(x[x[:, f] >= cut], rng, limit, depth + 1)
+        return at
+
+    def lengths(self, x: np.ndarray, limit: int) -> np.ndarray:
+        """Path length of each row, one level of the tree at a time for all rows."""
+        feature, cut, left, right, length = self.arrays
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _ in range(limit):
+            f = feature[node]
+            node = np.where(f < 0, node, np.where(x[rows, np.maximum(f, 0)] < cut[node], left[node], right[node]))
+        return length[node]
+
+
+def mean_path(n: int) -> float:
+    """Mean path length of an unsuccessful search among n rows."""
+    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
-    def grow(x, rng, depth):
-        lo, hi = (x.min(0), x.max(0)) if len(x) else (0, 0)
-        if depth >= limit or len(x) < 2 or not (hi > lo).any():
-            return depth + c(len(x))
-        f = int(rng.choice(np.flatnonzero(hi > lo)))
-        at = float(rng.uniform(lo[f], hi[f]))
-        return f, at, grow(x[x[:, f] < at], rng, depth + 1), grow(x[x[:, f] >= at], rng, depth + 1)
 
-    forest = [grow(np.array(r["m"], float), np.random.default_rng([seed, r["tree"]]), 0) for r in chosen.groupBy("tree").agg(F.sort_array(F.collect_list("vec")).alias("m")).orderBy("tree").collect()]
+def isolation_forest_rank(points: DataFrame, trees: int = 50, size: int = 64, seed: int = 1) -> DataFrame:
+    """2^-(mean path / c(size)) of (id, vec); trees grow from bounded hash samples, scoring is distributed and vectorised."""
+    limit = int(np.ceil(np.log2(max(size, 2))))
+    # At most trees * size rows, whatever the table.
+    chosen = points.select("id", "vec").join(F.broadcast(tree_samples(points, trees, size, seed)), "id")
+    samples = chosen.groupBy("tree").agg(F.sort_array(F.collect_list("vec")).alias("m")).orderBy("tree").collect()
+    forest = [IsolationTree(np.array(r["m"], float), np.random.default_rng([seed, r["tree"]]), limit) for r in samples]
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for v in pdf.vec:
-                total = 0.0
-                for node in forest:
-                    while isinstance(node, tuple):
-                        node = node[2] if v[node[0]] < node[1] else node[3]
-                    total += node
-                out.append(float(2 ** -(total / max(len(forest), 1) / c(size))))
-            yield pd.DataFrame({"id": pdf.id, "score": out})
+            total = np.zeros(len(pdf))
+            if len(pdf):
+                x = np.stack(pdf["vec"])
+                for tree in forest:
+                    total = total + tree.lengths(x, limit)
+            yield pd.DataFrame({"id": pdf["id"], "score": 2 ** -(total / max(len(forest), 1) / mean_path(size))})
 
     return points.select("id", "vec").mapInPandas(run, f"id {dict(points.dtypes)['id']}, score double")
 
@@ -292,22 +353,89 @@ def kmeans(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(v).transform(v).select("id", F.col("prediction").alias("cluster"))
 
 
-def dbscan(d: DataFrame, eps: float | None = None, least: int = 3, k: int = 5) -> DataFrame:
-    """Eps is 1.5 times the mean distance to the k nearest unless given. Core points have `least` neighbours within eps; clusters are components of cores, borders join the
-    smallest core's, noise is null. Labels spread by minima until nothing moves."""
-    limit = rank_scores(d, k).agg((1.5 * F.avg("knn")).alias("_eps")) if eps is None else d.sparkSession.range(1).select(F.lit(float(eps)).alias("_eps"))
-    near = both_ways(d).join(F.broadcast(limit)).where(F.col("d") <= F.col("_eps")).select("a", "b")
+#: Leading coordinates that the grid of neighbours_within looks at, and points of a block of one grid cell.
+GRID_DIMS, GRID_BLOCK = 2, 2048
+
+
+def neighbours_within(points: DataFrame, eps: float) -> DataFrame:
+    """a, b, d: pairs a < b of points (id, vec) at most eps apart, by a grid of side eps over the first coordinates.
+
+    Points at most eps apart lie in equal or adjoining cells. A point is sent to
+    its own cell and to those before it in the order of cells, dealt into blocks
+    of GRID_BLOCK points of a cell, so that each pair of points meets in one
+    task, as matrix products. A dense cell is many tasks; the pairs within eps
+    are the result, whatever their number.
+    """
+    at = lambda k: F.floor(F.get("vec", F.lit(k)) / F.lit(float(eps)))
+    cells = [F.coalesce(at(k), F.lit(0).cast("long")).alias(f"_c{k}") for k in range(GRID_DIMS)]
+    rows = points.select("id", "vec", *cells)
+    key = [f"_c{k}" for k in range(GRID_DIMS)]
+    size = rows.groupBy(*key).agg(F.ceil(F.count("*") / GRID_BLOCK).cast("int").alias("_n"))
+    stored = rows.join(size, key).withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("_stored", F.lit(True))
+    steps = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if (x, y) <= (0, 0)]
+    near = F.explode(F.array(*(F.struct((F.col("_c0") + x).alias("_c0"), (F.col("_c1") + y).alias("_c1"), F.lit((x, y) == (0, 0)).alias("_own")) for x, y in steps))).alias("e")
+    asked = rows.select("id", "vec", near).select("id", "vec", "e.*").join(size, key).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_stored", F.lit(False))
+    both = stored.withColumn("_own", F.lit(True)).unionByName(asked)
+    # Queries of a cell's block are dealt again, so that no task holds them all.
+    many = asked.groupBy(*key, "_k").agg(F.ceil(F.count("*") / GRID_BLOCK).cast("int").alias("_q"))
+    dealt = both.drop("_n").join(many, [*key, "_k"]).withColumn("_j", F.when(F.col("_stored"), F.sequence(F.lit(0), F.col("_q") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(1)), F.col("_q")).cast("int"))))
+    dealt = dealt.withColumn("_j", F.explode("_j")).drop("_q")
+    kind = dict(points.dtypes)["id"]
+    # Cells are many and mostly small: a task's group has several.
+    buckets = max(1, -(-points.count() // GRID_BLOCK))
+    dealt = dealt.withColumn("_g", F.pmod(F.xxhash64(*key, "_k", "_j"), F.lit(buckets)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, own, stored = pdf["id"].to_numpy(), pdf["_own"].to_numpy(), pdf["_stored"].to_numpy()
+        vec, place = np.stack(pdf["vec"]).astype(float), pdf.groupby([*key, "_k", "_j"]).ngroup().to_numpy()
+        order = np.argsort(place, kind="stable")
+        first, second, far = [ids[:0]], [ids[:0]], [np.zeros(0)]
+        for cell in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            rows, queries = cell[stored[cell]], cell[~stored[cell]]
+            x = vec[rows]
+            for lo in range(0, len(queries) if len(rows) else 0, 256):
+                some = queries[lo : lo + 256]
+                q = vec[some]
+                mine = (q * q).sum(1)[:, None]
+                square = mine + (x * x).sum(1)[None] - 2 * q @ x.T
+                i, j = np.nonzero(square <= eps * eps * (1 + 1e-9) + 1e-9 * mine)
+                i, j = some[i], rows[j]
+                # In its own cell a pair is met from both sides.
+                keep = ~own[i] | (ids[i] < ids[j])
+                i, j = i[keep], j[keep]
+                d = np.sqrt(((vec[i] - vec[j]) ** 2).sum(1))
+                i, j, d = i[d <= eps], j[d <= eps], d[d <= eps]
+                swap = ids[i] > ids[j]
+                first.append(np.where(swap, ids[j], ids[i]))
+                second.append(np.where(swap, ids[i], ids[j]))
+                far.append(d)
+        return pd.DataFrame({"a": np.concatenate(first), "b": np.concatenate(second), "d": np.concatenate(far)})
+
+    return dealt.groupBy("_g").applyInPandas(run, f"a {kind}, b {kind}, d double")
+
+
+def clusters(near: DataFrame, ids: DataFrame, least: int, trace: list[int] | None = None) -> DataFrame:
+    """s, cluster of ids (a) by links (a, b) in both directions: core points have `least` - 1 links or more; clusters are
+    components of cores, named by the smallest; borders join their smallest core's cluster, noise is null."""
     cores = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least - 1).select("a")
-    links = near.join(cores, "a", "left_semi").join(cores.withColumnRenamed("a", "b"), "b", "left_semi").checkpoint()
-    labels = cores.select("a", F.col("a").alias("l")).checkpoint()
-    while True:
-        low = links.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        new = labels.join(low, "a", "left").select("a", F.least("l", F.coalesce("m", "l")).alias("l"), (F.coalesce("m", "l") < F.col("l")).alias("moved")).checkpoint()
-        labels = new.select("a", "l")
-        if not new.where("moved").limit(1).count():
-            break
+    links = near.select("a", "b").join(cores, "a", "left_semi").join(cores.withColumnRenamed("a", "b"), "b", "left_semi")
+    alone = cores.select("a", F.col("a").alias("b"))
+    labels = written(connected(links.unionByName(alone), trace).select(F.col("id").alias("a"), F.col("label").alias("l")), "clusters")
     border = near.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-    return both_ways(d).select("a").distinct().join(labels, "a", "left").join(border, "a", "left").select(F.col("a").alias("s"), F.coalesce("l", "m").alias("cluster"))
+    return ids.join(labels, "a", "left").join(border, "a", "left").select(F.col("a").alias("s"), F.coalesce("l", "m").alias("cluster"))
+
+
+def dbscan(d: DataFrame, eps: float | None = None, least: int = 3, k: int = 5, trace: list[int] | None = None) -> DataFrame:
+    """K22 over distances of subjects: eps is 1.5 times the mean distance to the k nearest unless given; see clusters()."""
+    limit = rank_scores(d, k).agg((1.5 * F.avg("knn")).alias("_eps")) if eps is None else d.sparkSession.range(1).select(F.lit(float(eps)).alias("_eps"))
+    near = written(both_ways(d).join(F.broadcast(limit)).where(F.col("d") <= F.col("_eps")).select("a", "b"), "near")
+    return clusters(near, both_ways(d).select("a").distinct(), least, trace)
+
+
+def dbscan_points(points: DataFrame, eps: float, least: int = 3, trace: list[int] | None = None) -> DataFrame:
+    """K22 over points (id, vec): neighbours by the grid, without all distances; see clusters()."""
+    near = written(both_ways(neighbours_within(points, eps)).select("a", "b"), "near")
+    return clusters(near, points.select(F.col("id").alias("a")).distinct(), least, trace)
 
 
 def spectral(d: DataFrame, k: int, gamma: float = 1.0) -> DataFrame:

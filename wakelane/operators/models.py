@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakelane.functions.columns import hash_uniform
+from wakelane.functions.storage import written
 from wakelane.functions.tails import t_p
-from wakelane.operators.metrics import best_threshold_pr
+from wakelane.operators.clean import filter_by_mode
+from wakelane.operators.manymodels import fit_logistic, leave_one_out, score_logistic
+from wakelane.operators.metrics import best_threshold_pr, classification_metrics, roc_auc
 from wakelane.operators.primitives import knn_join
-from wakelane.operators.resample import random_undersample
-from wakelane.operators.select import class_stats
-from wakelane.operators.split import stratified_kfold
+from wakelane.operators.resample import augment_minority, random_undersample, with_smote
+from wakelane.operators.select import class_stats, feature_indices
+from wakelane.operators.split import stratified_kfold, subject_time_split
 
 #: Boosting stands for the boosted-tree libraries, none of which is at hand.
 TRAINERS = {
@@ -60,21 +66,20 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "
 
 
 def adaboost(train: DataFrame, test: DataFrame, rounds: int = 5, seed: int = 1) -> DataFrame:
-    """I4: SAMME over weighted trees of depth 2; weights are columns of a checkpointed table."""
-    rows = prepared(train).withColumn("w", F.lit(1.0)).checkpoint()
+    """I4: SAMME over weighted trees of depth 2; weights are columns of a written table."""
+    rows = written(prepared(train).withColumn("w", F.lit(1.0)), "weights")
     scores = prepared(test).withColumn("s", F.lit(0.0))
     total = 0.0
     for k in range(rounds):
         model = DecisionTreeClassifier(seed=seed + k, weightCol="w", maxDepth=2).fit(rows)
         seen = model.transform(rows)
         error = seen.agg((F.sum(F.when(F.col("prediction") != F.col("label"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("e")).first()["e"]
-        import math
-
         alpha = math.log((1 - error + 1e-10) / (error + 1e-10))
         if alpha <= 0:
             break
         total += alpha
-        rows = seen.select("id", "label", "features", (F.col("w") * F.when(F.col("prediction") != F.col("label"), math.exp(min(alpha, 20))).otherwise(1.0)).alias("w")).checkpoint()
+        rows = seen.select("id", "label", "features", (F.col("w") * F.when(F.col("prediction") != F.col("label"), math.exp(min(alpha, 20))).otherwise(1.0)).alias("w"))
+        rows = written(rows, "weights")
         scores = model.transform(scores).select("id", "label", "features", "w", (F.col("s") + alpha * F.col("prediction")).alias("s"))
         if error == 0:
             break
@@ -93,8 +98,23 @@ def platt_calibrate(train: DataFrame, test: DataFrame, kind: str = "random_fores
     return sigmoid.transform(vector(fit_score(train, test, kind, seed))).select("id", "y", vector_to_array("probability")[1].alias("score"))
 
 
+def _cv_logistic(df: DataFrame, regs: list[float], folds: int, seed: int, positive_weight: float = 3.0) -> DataFrame:
+    """model (place in regs), f2, folds: all folds of all regs in shared passes."""
+    parts = written(stratified_kfold(df.select("id", "y", "vec"), "y", "id", folds, seed), "folds")
+    models = [(f, reg) for reg in regs for f in range(folds)]
+    scores = score_logistic(parts, models, fit_logistic(parts, models, positive_weight))
+    scores = scores.withColumn("model", F.floor(F.col("model") / folds).cast("int"))
+    return best_threshold_pr(scores, ["model", "fold"], "y", "score", 2.0).groupBy("model").agg(F.avg("fbeta").alias("f2"), F.count("*").alias("folds"))
+
+
 def cv_score(df: DataFrame, kind: str, folds: int = 3, seed: int = 1, **params) -> DataFrame:
-    """Best F2 of each fold, and its mean, as one row."""
+    """Best F2 of each fold, and its mean, as one row.
+
+    Logistic regressions of all folds are fitted together; other kinds are one
+    Spark ML fit a fold.
+    """
+    if kind == "logistic":
+        return _cv_logistic(df, [params.get("reg", 0.01)], folds, seed).select("f2", "folds")
     parts = stratified_kfold(df, "y", "id", folds, seed)
     out = None
     for f in range(folds):
@@ -103,14 +123,17 @@ def cv_score(df: DataFrame, kind: str, folds: int = 3, seed: int = 1, **params)
     return best_threshold_pr(out, ["fold"], "y", "score", 2.0).agg(F.avg("fbeta").alias("f2"), F.count("*").alias("folds"))
 
 
-def random_search(df: DataFrame, kind: str, space: dict[str, list], trials: int = 3, seed: int = 1) -> DataFrame:
-    """Seeded draws of parameters with their cross-validated F2."""
-    import random
-
-    rng, out = random.Random(seed), None
-    for t in range(trials):
-        params = {k: rng.choice(v) for k, v in sorted(space.items())}
-        one = cv_score(df, kind, seed=seed, **params).select(F.lit(t).alias("trial"), F.lit(str(params)).alias("params"), "f2")
+def random_search(df: DataFrame, kind: str, space: dict[str, list], trials: int = 3, seed: int = 1, folds: int = 3) -> DataFrame:
+    """Seeded draws of parameters with their cross-validated F2; all trials of logistic regressions share their passes."""
+    rng = random.Random(seed)
+    drawn = [{k: rng.choice(v) for k, v in sorted(space.items())} for _ in range(trials)]
+    if kind == "logistic":
+        found = _cv_logistic(df, [p.get("reg", 0.01) for p in drawn], folds, seed)
+        names = df.sparkSession.createDataFrame([(t, str(p)) for t, p in enumerate(drawn)], "trial int, params string")
+        return names.join(found, names.trial == found.model).select("trial", "params", "f2")
+    out = None
+    for t, params in enumerate(drawn):
+        one = cv_score(df, kind, folds, seed, **params).select(F.lit(t).alias("trial"), F.lit(str(params)).alias("params"), "f2")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -140,13 +163,44 @@ def session_loo(df: DataFrame, session: str) -> DataFrame:
     means = long.groupBy(session, "f").agg(F.avg("v").alias("m")).groupBy(session).agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "m"))), lambda x: x.m).alias("vec"))
     rate = df.groupBy(session).agg(F.avg("y").alias("rate"))
     med = F.broadcast(rate.agg(F.median("rate").alias("_m")))
-    rows = means.join(rate.join(med), session).select(F.col(session).alias("id"), (F.col("rate") > F.col("_m")).cast("int").alias("y"), "vec").checkpoint()
-    out = None
-    for r in rows.select("id").orderBy("id").collect():  # sessions: one model each
-        model = LinearSVC(weightCol="w", regParam=0.1, maxIter=20).fit(prepared(rows.where(F.col("id") != r["id"])))
-        one = model.transform(prepared(rows.where(F.col("id") == r["id"]))).select("id", F.col("label").cast("int").alias("y"), vector_to_array("rawPrediction")[1].alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = means.join(rate.join(med), session).select(F.col(session).alias("id"), (F.col("rate") > F.col("_m")).cast("int").alias("y"), "vec")
+    return leave_one_out(written(rows, "sessions"), 0.1)
+
+
+def training_run(df: DataFrame, targets: DataFrame, mode: str, key: str, order: list[str], kind: str = "logistic", method: str = "smote", ratio: float = 0.5, top: int = 16, seed: int = 1, beta: float = 2.0) -> DataFrame:
+    """One whole run over (id, y, vec, key, order): mode filter (B14), split in time (F3), rebalancing of the training rows
+    (G1, G2, G10, or none), top features by Fisher index (H1), fit (I1), threshold by F-beta on the validation rows (I12),
+    and the test rows' metrics at it (I14).
+
+    One row: n_train (rebalanced), n_val, n_test, thr, tn, fp, fn, tp, precision, recall, fbeta, auc.
+    """
+    rows = subject_time_split(filter_by_mode(df, targets, mode, key), [key], order).select("id", "y", "vec", "split")
+    part = {s: rows.where(F.col("split") == s).select("id", "y", "vec") for s in ("train", "val", "test")}
+    train = part["train"]
+    if method == "smote":
+        train = with_smote(train, "y", ratio, seed)
+    elif method == "undersample":
+        train = random_undersample(train, "y", "id", ratio, seed)
+    elif method in ("jitter", "scale", "jitter_scale"):
+        new = augment_minority(train, "y", ratio, seed, 0.05, method)
+        train = train.unionByName(new.select((-F.col("n")).alias("id"), F.lit(1).alias("y"), "vec"))
+    elif method != "none":
+        raise ValueError(f"unknown method {method}")
+    train = written(train, "training")
+    score = feature_indices(train.select("id", "y", F.posexplode("vec").alias("f", "v")))
+    # At most `top` numbers.
+    chosen = sorted(r["f"] for r in score.orderBy(F.desc_nulls_last("fisher"), "f").limit(top).collect())
+    cut = lambda d: d.withColumn("vec", F.array(*(F.get("vec", F.lit(k)) for k in chosen)))
+    scored = written(fit_score(cut(train), cut(part["val"].unionByName(part["test"])), kind, seed).join(rows.select("id", "split"), "id"), "scores")
+    val, test = (scored.where(F.col("split") == s).withColumn("g", F.lit(1)) for s in ("val", "test"))
+    thr = best_threshold_pr(val, ["g"], "y", "score", beta).select("g", "thr")
+    hit = F.col("score") >= F.col("thr")
+    cells = classification_metrics(test.join(F.broadcast(thr), "g"), ["g", "thr"], "y", hit)
+    p, r, b2 = F.col("precision"), F.col("recall"), beta * beta
+    fb = F.coalesce((1 + b2) * p * r / F.nullif(b2 * p + r, F.lit(0.0)), F.lit(0.0))
+    counts = scored.agg(F.count_if(F.col("split") == "val").alias("n_val"), F.count_if(F.col("split") == "test").alias("n_test")).join(F.broadcast(train.agg(F.count("*").alias("n_train"))))
+    auc = roc_auc(test, ["g"], "y", "score").select("g", "auc")
+    return cells.join(auc, "g").join(F.broadcast(counts)).select("n_train", "n_val", "n_test", "thr", "tn", "fp", "fn", "tp", "precision", "recall", fb.alias("fbeta"), "auc")
 
 
 def split_rows(df: DataFrame, seed: int = 1, test: float = 0.3) -> tuple[DataFrame, DataFrame]:

@@ -127,6 +127,67 @@ def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     return out.select(*df.columns, (F.col("_r") - F.col("_first") + F.col("_before")).alias(name), *([F.col("_all").alias(size)] if size else []))
 
 
+def connected(edges: DataFrame, trace: list[int] | None = None) -> DataFrame:
+    """id, label: the smallest id of each connected component of links (a, b), by alternating stars.
+
+    A large star links each node's larger neighbours to its smallest one, a
+    small star links its smaller neighbours (and itself) to that one; both keep
+    the components, and every round about halves the way to the smallest id,
+    so a chain of n nodes takes some log n rounds. Ids need an order. Each
+    round is a written table; a hub's links stay rows of their own. The number
+    of links after each round is put into `trace`.
+    """
+    links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    turned = lambda d: d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sum_of = lambda d: d.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+    state = sum_of(links)
+    while True:
+        both = turned(links)
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, "links")
+        down = large.groupBy("a").agg(F.min("b").alias("m"))  # links point from larger to smaller ids
+        small = large.join(down, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
+        links = written(small, "links")
+        now = sum_of(links)
+        if trace is not None:
+            trace.append(now["n"])
+        if now == state:
+            break
+        state = now
+    return ids.join(links.select(F.col("a").alias("id"), F.col("b").alias("_l")), "id", "left").select("id", F.coalesce("_l", "id").alias("label"))
+
+
+#: Subjects of one block of pair_blocks: a task holds two blocks.
+PAIR_SUBJECTS = 16
+
+
+def pair_blocks(subjects: DataFrame, key: str, per_pairs, schema: str, subjects_a_block: int = PAIR_SUBJECTS) -> DataFrame:
+    """All pairs a < b of subjects, one row each, by blocks: a task holds two blocks of subjects and does all pairs between them.
+
+    A subject's row is sent once per block, not once per partner. per_pairs
+    takes the rows of a task (a pandas frame) and the places (i, j) of its
+    pairs, and returns the values of the columns that follow a and b in schema.
+    """
+    kind = dict(subjects.dtypes)[key]
+    blocks = max(1, -(-subjects.count() // subjects_a_block))
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = subjects.withColumn("_b", own).withColumn("_o", other).withColumns({"_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o")})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
+        b, names = pdf["_b"].to_numpy(), pdf[key].to_numpy()
+        i, j = np.triu_indices(len(pdf), 1)
+        x, y = int(pdf["_x"].iloc[0]), int(pdf["_y"].iloc[0])
+        keep = np.ones(len(i), bool) if x == y else b[i] != b[j]
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"a": names[i], "b": names[j], **per_pairs(pdf, i, j)})
+
+    return dealt.groupBy("_x", "_y").applyInPandas(run, f"a {kind}, b {kind}, {schema}")
+
+
 #: Rows and queries of one task of a kNN join, and queries of one matrix product in it.
 ROW_BLOCK, QUERY_BLOCK, PRODUCT_BLOCK = 8192, 8192, 256
 

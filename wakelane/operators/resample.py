@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,23 +221,55 @@ def domain_mixup(df: DataFrame, subject: str, y: str, seed: int, n: int, alpha:
     return pairs.select("k", F.col("a.i").alias("first"), F.col("b.i").alias("second"), "w", label.alias("y"), mixed.alias(vec_col))
 
 
+#: Groups in which partial matrices of all tasks are merged before the driver merges theirs.
+MERGES = 32
+
+
+def merged(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, centred products) of the union of several parts."""
+    n, mean, m2 = parts[0]
+    for k, mu, c in parts[1:]:
+        gap, all_n = mu - mean, n + k
+        m2 = m2 + c + np.outer(gap, gap) * (n * k / all_n)
+        mean = mean + gap * (k / all_n)
+        n = all_n
+    return n, mean, m2
+
+
 def covariance(df: DataFrame, vec_col: str = "vec") -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample covariance by Spark sums; d x d numbers reach the driver."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
+    """Mean and sample covariance in one pass: each task makes a matrix product of its rows, centred.
 
-    d = len(df.select(vec_col).first()[0])
-    n, mean = df.select(Summarizer.metrics("mean", "count").summary(array_to_vector(vec_col)).alias("s")).select("s.count", "s.mean").first()
-    pairs = df.select(F.posexplode(vec_col).alias("i", "a"), F.col(vec_col).alias("v")).select("i", "a", F.posexplode("v").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    c = np.zeros((d, d))
-    for r in pairs.collect():
-        c[r["i"], r["j"]] = r["s"]
-    mu = mean.toArray()
-    return mu, (c - n * np.outer(mu, mu)) / max(n - 1, 1)
+    d x d numbers a task are shuffled, and MERGES such matrices reach the
+    driver. An empty table is an error.
+    """
+    schema = "part int, n long, mean array<double>, m2 array<double>"
+
+    def partial(batches):
+        held = None
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                mean = x.mean(0)
+                own = (len(x), mean, (x - mean).T @ (x - mean))
+                held = merged([held, own]) if held else own
+        if held:
+            n, mean, m2 = held
+            part = zlib.crc32(mean.tobytes()) % MERGES
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([mean.tolist()]), pa.array([m2.ravel().tolist()])], names=["part", "n", "mean", "m2"])
+
+    def join(pdf):
+        n, mean, m2 = merged([(int(n), np.asarray(mu), np.asarray(c).reshape(len(mu), -1)) for n, mu, c in zip(pdf["n"], pdf["mean"], pdf["m2"])])
+        return pd.DataFrame({"part": pdf["part"][:1], "n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
+
+    rows = df.select(vec_col).mapInArrow(partial, schema).groupBy("part").applyInPandas(join, schema).collect()
+    if not rows:
+        raise ValueError("no rows to take a covariance of")
+    n, mean, m2 = merged([(r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(len(r["mean"]), -1)) for r in sorted(rows, key=lambda r: r["part"])])
+    return mean, m2 / max(n - 1, 1)
 
 
 def coral_align(source: DataFrame, target: DataFrame, vec_col: str = "vec") -> DataFrame:
-    """(x - ms) (Cs + I)^-1/2 (Ct + I)^1/2 + mt; the matrix is d x d, rows are mapped by columns."""
+    """(x - ms) (Cs + I)^-1/2 (Ct + I)^1/2 + mt; the matrix is d x d, rows are mapped by a matrix product a batch."""
     (ms, cs), (mt, ct) = covariance(source, vec_col), covariance(target, vec_col)
 
     def power(c: np.ndarray, p: float) -> np.ndarray:
@@ -242,9 +277,16 @@ def coral_align(source: DataFrame, target: DataFrame, vec_col: str = "vec") -> D
         return (v * np.maximum(w, 1e-12) ** p) @ v.T
 
     a = power(cs, -0.5) @ power(ct, 0.5)
-    centred = F.zip_with(vec_col, F.array(*map(F.lit, ms.tolist())), lambda x, m: x - m)
-    out = F.array(*(F.aggregate(F.zip_with(F.col("_c"), F.array(*map(F.lit, a[:, j].tolist())), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) + float(mt[j]) for j in range(len(mt))))
-    return source.withColumn("_c", centred).withColumn(vec_col, out).drop("_c")
+    at = source.columns.index(vec_col)
+
+    def run(batches):
+        for b in batches:
+            x = b.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            y = (x - ms) @ a + mt if b.num_rows else x
+            moved = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * len(mt), pa.array(y.ravel()))
+            yield b.set_column(at, b.schema.names[at], moved)
+
+    return source.mapInArrow(run, source.withColumn(vec_col, F.col(vec_col).cast("array<double>")).schema)
 
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakelane.functions.columns import hash_order
+from wakelane.functions.storage import written
 from wakelane.operators.primitives import prefix_sum
 
 
@@ -37,13 +38,21 @@ def subject_time_split(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return df.withColumn("split", cut(place, F.count("*").over(whole), train, val))
 
 
+#: Runs of cuts on each side.
+CUT_BLOCKS = 1024
+
+
 def time_cuts(daily: DataFrame, order: Sequence[str], train: float = 0.6, test: float = 0.2, window: float = 0.1, least: int = 100) -> DataFrame:
     """one row (i, j) of cuts near the shares with the best class balance.
 
     daily holds rows (n) and positives (pos) per time step: cuts fall between
     steps, so candidates are steps, not rows. Loss: twice the gaps of the three
     positive rates to the whole, plus the gaps of the sizes. Ties: smallest i,
-    then j. With fewer than 3 * least rows the plain shares are cut.
+    then j. With fewer than 3 * least rows the plain shares are cut. The loss
+    has a part of i, one of j, and one of both. Cuts of each side are put into
+    CUT_BLOCKS runs; one pair of each two runs bounds the loss from above, the
+    runs' ends bound it from below, and only pairs of runs that may hold the
+    best one are searched.
     """
     run = prefix_sum(daily, order, ["n", "pos"]).select(F.col("cum_n").alias("i"), F.col("cum_pos").alias("p"))
     total = daily.agg(F.sum("n").alias("rows"), F.sum("pos").alias("positives"))
@@ -51,14 +60,28 @@ def time_cuts(daily: DataFrame, order: Sequence[str], train: float = 0.6, test:
     first = F.round(F.col("rows") * train)
     second = F.round(F.col("rows") * (1 - test))
     reach = F.greatest(F.lit(1), F.round(F.col("rows") * window))
-    a = c.where((F.col("i") >= F.greatest(F.lit(least), first - reach)) & (F.col("i") <= F.least(first + reach, F.col("rows") - 2 * least)))
-    b = c.where((F.col("i") >= F.greatest(F.lit(least), second - reach)) & (F.col("i") <= F.least(second + reach, F.col("rows") - least))).select(F.col("i").alias("j"), F.col("p").alias("q"))
-    pairs = a.join(b, F.col("j") >= F.col("i") + least)
     rate = F.col("positives") / F.col("rows")
     gap = lambda pos, n: F.abs(pos / n - rate)
     i, j, p, q, n = (F.col(x) for x in ("i", "j", "p", "q", "rows"))
-    loss = 2 * (gap(p, i) + gap(q - p, j - i) + gap(F.col("positives") - q, n - j)) + F.abs(i / n - train) + F.abs((j - i) / n - (1 - train - test)) + F.abs((n - j) / n - test)
-    best = pairs.agg(F.min(F.struct(F.round(loss, 9).alias("loss"), "i", "j")).alias("b"))
+    head = 2 * gap(p, i) + F.abs(i / n - train)
+    tail = 2 * gap(F.col("positives") - q, n - j) + F.abs((n - j) / n - test)
+    middle = 2 * gap(q - p, j - i) + F.abs((j - i) / n - (1 - train - test))
+    inside = lambda at, lo, hi: (at >= F.greatest(F.lit(least), lo)) & (at <= hi)
+    block = lambda at, lo: F.floor((at - lo) * CUT_BLOCKS / (2 * reach + 1))
+    a = c.where(inside(i, first - reach, F.least(first + reach, n - 2 * least))).withColumns({"head": head, "x": block(i, first - reach)})
+    b = c.withColumnsRenamed({"i": "j", "p": "q"}).where(inside(j, second - reach, F.least(second + reach, n - least))).withColumns({"tail": tail, "y": block(j, second - reach)}).select("j", "q", "tail", "y")
+    ends = lambda k: [f(k).alias(f"{k}{e}") for e, f in ((0, F.min), (1, F.max))]
+    # At most CUT_BLOCKS rows a side, whatever the steps.
+    xs = a.groupBy("x", "rows", "positives").agg(F.min("head").alias("least_head"), *ends("i"), *ends("p"), F.min_by(F.struct("i", "p", "head"), F.struct("head", "i")).alias("u"))
+    ys = b.groupBy("y").agg(F.min("tail").alias("least_tail"), *ends("j"), *ends("q"), F.min_by(F.struct("j", "q", "tail"), F.struct("tail", "j")).alias("v"))
+    pairs = written(xs.join(F.broadcast(ys), F.col("j1") >= F.col("i0") + least), "cuts")
+    loss = F.round(F.col("head") + middle + F.col("tail"), 9)
+    bound = pairs.select("u.*", "v.*", "rows", "positives").where(j >= i + least).agg(F.min(loss).alias("_u"))
+    far = lambda value, lo, hi: F.greatest(F.lit(0.0), lo - value, value - hi)
+    near, wide = F.greatest(F.col("j0") - F.col("i1"), F.lit(least)), F.col("j1") - F.col("i0")
+    low = F.col("least_head") + F.col("least_tail") + 2 * far(rate, F.greatest(F.col("q0") - F.col("p1"), F.lit(0)) / wide, (F.col("q1") - F.col("p0")) / near) + far(F.lit(1 - train - test), near / n, wide / n)
+    open_ = pairs.join(F.broadcast(bound)).where(F.col("_u").isNull() | (low <= F.col("_u") + 1e-8)).select("x", "y")
+    best = a.join(open_, "x").join(b, "y").where(j >= i + least).agg(F.min(F.struct(loss.alias("loss"), "i", "j")).alias("b"))
     return best.join(F.broadcast(total)).select(F.coalesce("b.i", F.round(F.col("rows") * train)).cast("long").alias("i"), F.coalesce("b.j", F.round(F.col("rows") * (1 - test))).cast("long").alias("j"))
 
 

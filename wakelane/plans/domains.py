@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wakelane.operators import domain, stats
+from wakelane.operators import domain, tables
 from wakelane.plans.base import GRID, MATRIX, features, fill, grid, long_matrix, matrix, r, read
 from wakelane.sources.files import latest_per_key
 
@@ -148,6 +147,12 @@ def k22_dbscan(spark, d):
     return domain.dbscan(_d(spark, d))
 
 
+def k22_dbscan_points(spark, d):
+    """Customers by nation and balance; a cluster is a run of balances close together in a nation."""
+    points = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array((F.col("c_nationkey") * 10).cast("double"), F.col("c_acctbal") / 100).alias("vec"))
+    return domain.dbscan_points(points, 0.5, 3)
+
+
 def k22_spectral(spark, d):
     return domain.spectral(_d(spark, d), 2)
 
@@ -167,38 +172,37 @@ def l1_latest_per_key(spark, d):
 
 def l2_load_grid(spark, d):
     g = grid(spark, d)
-    named = g.withColumn("condition", F.concat("condition", F.lit("_r"), F.when(F.col("level") == "O", "01").otherwise("05")))
-    return named.where(F.col("seed").isin(1, 3, 5, 7)).unionByName(g.where("seed = 2 AND condition = '1-URGENT'").drop("auc"), allowMissingColumns=True)
+    named = g.where(F.col("seed") != 2).withColumn("ratio", F.when(F.col("level") == "O", 0.1).otherwise(0.5))
+    return tables.load_grid(named, g.where("condition = '1-URGENT' AND seed = 2").drop("auc"), ratio="ratio", where={"seed": [1, 2, 3, 5, 7]})
 
 
 def l3_summary_table(spark, d):
-    modes = ["A", "N", "R"]
-    return fill(grid(spark, d).groupBy("condition").pivot("mode", modes).agg(F.avg("f2").alias("mean"), F.stddev_samp("f2").alias("std"), F.count(F.lit(1)).alias("n")))
+    return fill(tables.summary_table(grid(spark, d), "condition", "mode", ["A", "N", "R"], "f2"))
 
 
 def l4_comparison_table(spark, d):
-    m = stats.block_means(grid(spark, d), ["condition", "distance", "mode"], "f2")
-    return fill(m.groupBy("condition", "distance").pivot("mode", ["A", "R"]).agg(F.first("f2")).withColumn("delta", F.col("R") - F.col("A")))
+    return fill(tables.comparison_table(grid(spark, d), ["condition", "distance"], "mode", "A", "R", "f2"))
 
 
 def l5_improvement_summary(spark, d):
-    c = l4_comparison_table(spark, d).where("delta IS NOT NULL")
-    return fill(c.groupBy("distance").agg(F.count_if(F.col("delta") > 0).alias("improved"), F.count_if(F.col("delta") == 0).alias("tied"), F.count_if(F.col("delta") < 0).alias("worse"), F.avg("delta").alias("mean"), F.median("delta").alias("median")))
+    return fill(tables.improvement_summary(l4_comparison_table(spark, d), ["distance"]))
 
 
 def l6_read_test_row(spark, d):
     li = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("split"))
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc(F.col("split") == "R"), F.desc("l_linenumber"))
-    return li.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return tables.read_test_row(li, ["l_orderkey"], "split", "l_linenumber", "R")
 
 
 def l7_source_target_pivot(spark, d):
-    return fill(grid(spark, d).groupBy("condition").pivot("mode", ["A", "N"]).agg(F.avg("f2").alias("f2"), F.avg("recall").alias("recall")))
+    return fill(tables.source_target_pivot(grid(spark, d), "condition", "mode", "A", "N", ["f2", "recall"]))
 
 
 def l8_pooled_tables(spark, d):
-    g = grid(spark, d)
-    return fill(stats.describe_cells(g, ["condition"], "f2").join(g.groupBy("condition").pivot("level", ["F", "O"]).agg(F.avg("f2")), "condition"))
+    return fill(tables.pooled_table(grid(spark, d), "condition", "f2", "level", ["F", "O"]))
+
+
+def l8_ranking_table(spark, d):
+    return fill(tables.ranking_table(grid(spark, d), "condition", ["mode", "distance"], "f2", 3))
 
 
 def l9_top_k(spark, d):
@@ -212,9 +216,8 @@ def l10_set_operations(spark, d):
 
 
 def l11_ordered_sort(spark, d):
-    order = spark.createDataFrame([("F", 0), ("O", 1)], "level string, place int")
-    rows = grid(spark, d).groupBy("condition", "level").agg(F.count("*").alias("n")).join(F.broadcast(order), "level")
-    return rows.orderBy("place", "condition").select("place", "condition", "n")
+    rows = grid(spark, d).groupBy("condition", "level").agg(F.count("*").alias("n"))
+    return tables.ordered_sort(rows, "level", ["F", "O"], ["condition"]).select("place", "condition", "n")
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "kl" and k[1:2].isdigit() and callable(f)}
@@ -225,7 +228,11 @@ _LEVEL = lambda c, name: f"{name} AS (SELECT s, CASE WHEN i >= n - 3 THEN 'in_do
 _LM = long_matrix(N) + ", mn AS (SELECT label AS s, f, avg(v) AS m FROM lm GROUP BY 1, 2)"
 _G = lambda body, more="": f"WITH {GRID}{', ' + more if more else ''} {body}"
 _PIV = "pv AS (SELECT condition, distance, avg(f2) FILTER (mode = 'A') AS \"A\", avg(f2) FILTER (mode = 'R') AS \"R\" FROM g GROUP BY 1, 2)"
+#: Clusters by their definition: links of near points, cores, all that cores reach through cores, borders.
+_CLUSTERS = "deg AS (SELECT a FROM lk GROUP BY a HAVING count(*) >= 2), cl AS (SELECT a, b FROM lk WHERE a IN (SELECT a FROM deg) AND b IN (SELECT a FROM deg)), rc(a, l) AS (SELECT a, a FROM deg UNION SELECT cl.b, rc.l FROM rc JOIN cl ON cl.a = rc.a WHERE rc.l < cl.b), lb AS (SELECT a, min(l) AS l FROM rc GROUP BY 1), bo AS (SELECT lk.a, min(l) AS m FROM lk JOIN lb ON lb.a = lk.b GROUP BY 1) SELECT ids.s, coalesce(l, m) AS cluster FROM ids LEFT JOIN lb ON lb.a = ids.s LEFT JOIN bo ON bo.a = ids.s"
 ORACLES = {
+    "k22_dbscan": f"WITH RECURSIVE {_D}, {_KNN}, ids AS (SELECT s FROM su), lk AS (SELECT a, b FROM f WHERE d <= (SELECT 1.5 * avg(knn) FROM kn)), {_CLUSTERS}",
+    "k22_dbscan_points": f"WITH RECURSIVE ids AS (SELECT c_custkey AS s FROM customer), lk AS (SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON x.c_custkey <> y.c_custkey AND x.c_nationkey = y.c_nationkey AND abs(x.c_acctbal / 100 - y.c_acctbal / 100) <= 0.5), {_CLUSTERS}",
     "k1_mmd": f"WITH {MATRIX}, q AS (SELECT x.label AS la, y.label AS lb, x.id AS i, y.id AS j, list_sum(list_transform(generate_series(1, 64), lambda t: (x.vec[t] - y.vec[t]) ** 2)) AS q FROM m x, m y), pr AS (SELECT x.label AS a, y.label AS b FROM (SELECT DISTINCT label FROM m) x JOIN (SELECT DISTINCT label FROM m) y ON x.label < y.label), md AS (SELECT a, b, median(q) AS md FROM pr JOIN q ON la IN (a, b) AND lb IN (a, b) AND i < j GROUP BY 1, 2) SELECT a, b, {r('avg(exp(-q / (2 * md))) FILTER (la = a AND lb = a) + avg(exp(-q / (2 * md))) FILTER (la = b AND lb = b) - 2 * avg(exp(-q / (2 * md))) FILTER (la = a AND lb = b)')} AS d FROM md JOIN q ON la IN (a, b) AND lb IN (a, b) GROUP BY 1, 2",
     "k2_wasserstein": f"WITH v AS (SELECT l_linenumber AS s, 'q' AS f, l_quantity AS v FROM lineitem UNION ALL SELECT l_linenumber, 'x', l_discount * 100 FROM lineitem), p AS (SELECT s, f, v, count(*) / sum(count(*)) OVER (PARTITION BY s, f) AS p FROM v GROUP BY 1, 2, 3), st AS (SELECT x.s AS a, y.s AS b, p.f, p.v, sum(CASE WHEN p.s = x.s THEN p.p ELSE -p.p END) AS p FROM (SELECT DISTINCT s FROM v) x JOIN (SELECT DISTINCT s FROM v) y ON x.s < y.s JOIN p ON p.s IN (x.s, y.s) GROUP BY ALL), ar AS (SELECT a, b, f, abs(sum(p) OVER w) * (lead(v) OVER w - v) AS z FROM st WINDOW w AS (PARTITION BY a, b, f ORDER BY v)) SELECT a, b, {r('avg(w)')} AS d FROM (SELECT a, b, f, least(coalesce(sum(z), 0), 1e6) AS w FROM ar GROUP BY ALL) GROUP BY 1, 2",
     "k4_vector_distance": f"WITH {_LM} SELECT x.s AS a, y.s AS b, {r('sqrt(sum((x.m - y.m) ** 2))')} AS euclidean, {r('sum(abs(x.m - y.m))')} AS cityblock, {r('1 - sum(x.m * y.m) / sqrt(sum(x.m * x.m) * sum(y.m * y.m))')} AS cosine FROM mn x JOIN mn y ON x.f = y.f AND x.s < y.s GROUP BY 1, 2",
@@ -255,6 +262,7 @@ ORACLES = {
     "l6_read_test_row": "WITH li AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS split FROM lineitem GROUP BY 1, 2) SELECT * FROM li QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY split = 'R' DESC, l_linenumber DESC) = 1",
     "l7_source_target_pivot": _G("SELECT condition, " + ", ".join(f"{r(f'avg({c}) FILTER (mode = $${m}$$)')} AS \"{m}_{c}\"" for m in "AN" for c in ("f2", "recall")) + " FROM g GROUP BY 1"),
     "l8_pooled_tables": _G(f"SELECT condition, {r('avg(f2)')} AS mean, {r('stddev_samp(f2)')} AS std, count(f2) AS n, {r('avg(f2) FILTER (level = $$F$$)')} AS \"F\", {r('avg(f2) FILTER (level = $$O$$)')} AS \"O\" FROM g GROUP BY 1"),
+    "l8_ranking_table": _G(f"SELECT * REPLACE ({r('m')} AS m) FROM (SELECT mode, distance, condition, m, CAST(row_number() OVER (PARTITION BY mode, distance ORDER BY m DESC, condition) AS INTEGER) AS place FROM (SELECT mode, distance, condition, round(avg(f2), 9) AS m FROM g GROUP BY ALL)) WHERE place <= 3"),
     "l9_top_k": f"SELECT l_suppkey, {r('m')} AS m FROM (SELECT l_suppkey, avg(l_quantity) AS m FROM lineitem GROUP BY 1 ORDER BY round(avg(l_quantity), 9) DESC, l_suppkey LIMIT 10)",
     "l10_set_operations": "SELECT k, 'both' AS side FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer) UNION SELECT c_custkey, 'rest' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "l11_ordered_sort": _G("SELECT CAST(level = 'O' AS INTEGER) AS place, condition, count(*) AS n FROM g GROUP BY 1, 2"),

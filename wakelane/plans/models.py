@@ -43,6 +43,13 @@ def i5_platt_calibrate(spark, d):
     return fill(models.platt_calibrate(*models.split_rows(_rows(spark, d)), kind="logistic", folds=3).select("id", "score"))
 
 
+def i14_training_run(spark, d):
+    """A run from rows to test metrics: components of the vectors as features, their index as time, eight subjects, three of them targets."""
+    rows = _rows(spark, d).withColumn("subject_id", F.col("id") % 8)
+    targets = spark.range(3).select(F.col("id").alias("subject_id"))
+    return fill(models.training_run(rows, targets, "source_only", "subject_id", ["id"]))
+
+
 def i18_cv_score(spark, d):
     return fill(models.cv_score(_rows(spark, d), "logistic"))
 
