@@ -3,8 +3,13 @@
 DataFrame functions and Spark ML only. Training paragraphs are the notices
 below, cut and mixed with neutral text, against paragraphs of the corpus that
 hold no cue word. Classes are the families, `unknown` (licence wording of no
-family) and `none`. Every paragraph is judged: those without a word of
-triggers() are `none` by the fitted weights, so they need no scores.
+family) and `none`. `unknown` is learnt from the families' own notices with
+made-up names, which are no features, in place of the words that only one
+family has. It is calibrated
+by leaving whole families out of a fit: their notices must come out `unknown`,
+while left-out notices of the other families must keep their names. Every
+paragraph is judged: those without a word of triggers() are `none` by the
+fitted weights, so they need no scores.
 """
 
 from __future__ import annotations
@@ -125,6 +130,25 @@ OTHER = [
     "SPDX-License-Identifier: LicenseRef-Custom",
     "Licensed under the Example Public License, version 7.",
 ]
+#: Made-up names that stand for a family's own words.
+NAMES = ["acme", "quillon", "borealis", "wexford", "zanthor", "example", "frobnicate", "meridian"]
+#: How licences are named; texts of `unknown`, with each of the first three names.
+NAMED = [
+    "{} License",
+    "{} Public License",
+    "The {} Software License, version 1.0",
+    "{} License 2.0",
+    "Covered by the {} license.",
+    "{}-Lizenz",
+    "Licencia {}",
+    "Licence {}",
+    "Subject to the {} licence",
+]
+#: Of a notice with names put in, at least this share is its own words, and one says that it is about a licence.
+OWN_SHARE = 0.5
+ABOUT = r"licen[cs]|lizenz|derechos|rechte|droits|rights|domain"
+#: Parts of the families that are left out of one fit each.
+FOLDS = 3
 #: Texts with a cue word that state no licence.
 PLAIN = [
     "The driver must show a valid driving license at the counter.",
@@ -230,24 +254,57 @@ def units(lines: Column, some: list[str] | None) -> Column:
     return F.filter(F.concat(F.transform(lines, lambda w: F.struct(F.lit(False).alias("joined"), w.alias("w"))), windows), lambda u: needs(u.w, some))
 
 
+def renamed(known: DataFrame) -> DataFrame:
+    """(label UNKNOWN, text, notice, of) from notices (label, text): words of one family only are replaced by made-up names, in three ways."""
+    tokens = known.select("label", "text", words(F.col("text")).alias("w"))
+    own = tokens.select("label", F.explode("w").alias("t")).groupBy("t").agg(F.count_distinct("label").alias("c")).where("c = 1").agg(F.collect_set("t").alias("own"))
+    rows = tokens.join(F.broadcast(own)).withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))  # one row of a fixed number of words
+    name = lambda t: F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod(F.xxhash64("text", "k", t), F.lit(len(NAMES))) + 1).cast("int"))
+    put = F.transform("w", lambda t: F.when(F.array_contains("own", t), name(t)).otherwise(t))
+    left = F.size(F.filter("w", lambda t: ~F.array_contains("own", t)))
+    rows = rows.where((left >= OWN_SHARE * F.size("w")) & (left < F.size("w"))).select(F.lit(UNKNOWN).alias("label"), F.array_join(put, " ").alias("text"), F.col("text").alias("notice"), F.col("label").alias("of"))
+    return rows.where(F.rlike("text", F.lit(ABOUT)))
+
+
 def training(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(label, text, notice): notices alone and inside neutral words, and bounded negatives of the corpus."""
-    rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in OTHER] + [(NONE, t) for t in PLAIN]
-    known = spark.createDataFrame(rows, "label string, text string")
+    """(label, text, notice, of): notices alone and inside neutral words, and bounded negatives of the corpus; `of` is the family a notice is made from."""
+    families = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "label string, text string")
+    named = [t.format(n) for t in NAMED for n in NAMES[:3]]
+    others = spark.createDataFrame([(UNKNOWN, t) for t in OTHER + named] + [(NONE, t) for t in PLAIN], "label string, text string")
+    known = families.select("label", "text", F.col("text").alias("notice"), F.col("label").alias("of")).unionByName(others.select("label", "text", F.col("text").alias("notice"), F.lit("").alias("of"))).unionByName(renamed(families))
     neutral = F.array(*(F.lit(x) for x in ("", "lorem ipsum dolor ", "the whole of it was here and then there ", "version 1.2 of 2024 by the authors ")))
     mixed = known.withColumn("before", F.explode(neutral)).withColumn("after", F.explode(neutral))
-    mixed = mixed.select("label", F.concat("before", "text", F.lit(" "), "after").alias("text"), F.col("text").alias("notice"))
+    mixed = mixed.select("label", F.concat("before", "text", F.lit(" "), "after").alias("text"), "notice", "of")
     lines = docs.where("text IS NOT NULL").select(F.element_at(F.split("text", "\n"), -1).alias("text")).where(~F.rlike(F.lower("text"), F.lit(CUES)))
     lines = lines.select(F.array_join(F.slice(F.split("text", " "), 1, NEGATIVE_WORDS), " ").alias("text"))
     negative = lines.where("text <> ''").distinct().orderBy(F.xxhash64("text"), "text").limit(NEGATIVES)
-    return mixed.unionByName(negative.select(F.lit(NONE).alias("label"), "text", F.col("text").alias("notice")))
+    return mixed.unionByName(negative.select(F.lit(NONE).alias("label"), "text", F.col("text").alias("notice"), F.lit("").alias("of")))
+
+
+def calibrated(seen: list[tuple[str, str, float]]) -> tuple[float, dict[str, float]]:
+    """Threshold, and shares right at it, from (true class, best class, its probability) of left-out notices.
+
+    A text is right if its class comes out once families under the threshold
+    are `unknown`. The threshold is the smallest of those with the best mean
+    share over `unknown` and the families, and not under LEAST_PROBABILITY.
+    """
+    named = lambda best, p, t: UNKNOWN if best not in (NONE, UNKNOWN) and p < t else best
+    share = lambda rows, t: sum(named(b, p, t) == c for c, b, p in rows) / max(len(rows), 1)
+    kinds = {k: [r for r in seen if (r[0] == UNKNOWN, r[0] == NONE) == v] for k, v in (("unknown", (True, False)), ("families", (False, False)), ("none", (False, True)))}
+    cuts = sorted({LEAST_PROBABILITY, *(p + 1e-9 for _, b, p in seen if b not in (NONE, UNKNOWN) and p >= LEAST_PROBABILITY)})
+    best = max(cuts, key=lambda t: (round(share(kinds["unknown"], t) + share(kinds["families"], t), 9), -t))
+    stated = [(c, named(b, p, best)) for c, b, p in seen]
+    right = sum(c == b for c, b in stated if b not in (NONE, UNKNOWN))
+    return best, {f"recall_{k}": share(rows, best) for k, rows in kinds.items()} | {"precision_families": right / max(sum(b not in (NONE, UNKNOWN) for _, b in stated), 1)}
 
 
 class Classifier:
     """Vocabulary, multinomial logistic regression, class names, the calibrated threshold and triggers()."""
 
-    def __init__(self, vectors: CountVectorizerModel, model: LogisticRegressionModel, classes: list[str], threshold: float, some: list[str] | None = None):
+    def __init__(self, vectors: CountVectorizerModel, model: LogisticRegressionModel, classes: list[str], threshold: float, some: list[str] | None = None, figures: dict[str, float] | None = None):
         self.vectors, self.model, self.classes, self.threshold, self.some = vectors, model, classes, threshold, some
+        #: Shares right on left-out notices, by calibrated().
+        self.figures = figures or {}
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Adds family and probability to rows with an array column grams."""
@@ -260,30 +317,40 @@ class Classifier:
 
 
 def learn(spark: SparkSession, docs: DataFrame) -> Classifier:
-    """Trains on training(); the threshold is calibrated on notices left out of a first fit, in all their mixtures.
+    """Trains on training(); the threshold is calibrated on what FOLDS fits have not seen: whole families, and notices of the others.
 
     The training table has at most NEGATIVES rows of the corpus and a fixed
-    number of notices. A family's probability must exceed that of any held-out
-    text of `none` or `unknown`, and LEAST_PROBABILITY.
+    number of notices, so all that reaches the driver is bounded.
     """
     classes = [*sorted(TEMPLATES), UNKNOWN, NONE]
-    rows = training(spark, docs).select("label", words(F.col("text")).alias("w"), F.xxhash64("notice").alias("h"))
-    rows = rows.select("label", "w", features(F.col("w")).alias("grams"), (F.pmod("h", F.lit(4)) == 0).alias("held"), F.array_position(F.array(*(F.lit(c) for c in classes)), F.col("label")).cast("double").alias("k"))
-    rows = rows.withColumn("k", F.col("k") - 1).coalesce(1).cache()
-    share = rows.groupBy("k").agg(F.count("*").alias("n"))
-    rows_w = rows.join(F.broadcast(share), "k").withColumn("weight", 1 / F.col("n"))
+    place = lambda c: F.array_position(F.array(*(F.lit(x) for x in classes)), F.col(c)).cast("double") - 1
+    rows = training(spark, docs).select("label", "of", words(F.col("text")).alias("w"), F.xxhash64("notice").alias("h"))
+    # A name that no fit has seen is in no n-gram of the vocabulary, and so are the made-up ones.
+    known = F.filter(features(F.col("w")), lambda g: ~F.rlike(g, F.lit(rf"\b({'|'.join(NAMES)})\b")))
+    rows = rows.select("label", "of", "w", known.alias("grams"), F.pmod("h", F.lit(4)).alias("part"), place("label").alias("k"), F.pmod(place("of"), F.lit(float(FOLDS))).cast("int").alias("fold"))
+    rows = rows.withColumn("fold", F.when(F.col("of") == "", -1).otherwise(F.col("fold"))).coalesce(1).cache()
     vectors = CountVectorizer(inputCol="grams", outputCol="vector", binary=True, minDF=1, vocabSize=1 << 16).fit(rows.where(F.col("label") != NONE))
     regression = LogisticRegression(featuresCol="vector", labelCol="k", weightCol="weight", regParam=1e-4, maxIter=60, family="multinomial", standardization=False)
-    fit = lambda some: regression.fit(vectors.transform(some))
-    first = Classifier(vectors, fit(rows_w.where(~F.col("held"))), classes, 0.0)
-    wrong = first.apply(rows_w.where(F.col("held") & F.col("label").isin(NONE, UNKNOWN))).where(~F.col("family").isin(NONE, UNKNOWN)).agg(F.max("probability")).first()[0]
-    last = fit(rows_w)
+
+    def fit(some: DataFrame) -> LogisticRegressionModel:
+        share = some.groupBy("k").agg(F.count("*").alias("n"))
+        return regression.fit(vectors.transform(some.join(F.broadcast(share), "k").withColumn("weight", 1 / F.col("n"))))
+
+    last = fit(rows)
+    seen = []
+    for f in range(FOLDS):
+        out, held = F.col("fold") == f, F.col("part") == f
+        # A class that a fit has not seen needs no place of its own: its families' rows are gone.
+        model = Classifier(vectors, fit(rows.where(~out & ~held)), classes, 0.0)
+        # Left-out families are judged by their own notices, not by those with names put in.
+        test = rows.where((out & (F.col("label") == F.col("of"))) | (~out & held)).withColumn("true", F.when(out, UNKNOWN).otherwise(F.col("label")))
+        seen += [(r["true"], r["family"], r["probability"]) for r in model.apply(test).select("true", "family", "probability").collect()]
+    threshold, figures = calibrated(seen)
     # Words of the negatives, a bounded table, by the number of texts that have them.
-    seen = rows.where(F.col("label") == NONE).select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w")
-    some = triggers(vectors.vocabulary, last.coefficientMatrix.toArray(), last.interceptVector.toArray(), classes.index(NONE), [r["w"] for r in seen.collect()])
-    model = Classifier(vectors, last, classes, max(LEAST_PROBABILITY, wrong or 0.0), some)
+    common = rows.where(F.col("label") == NONE).select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w")
+    some = triggers(vectors.vocabulary, last.coefficientMatrix.toArray(), last.interceptVector.toArray(), classes.index(NONE), [r["w"] for r in common.collect()])
     rows.unpersist()
-    return model
+    return Classifier(vectors, last, classes, threshold, some, figures)
 
 
 def scan(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,8 +378,10 @@ def scan(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col
     templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string")
     pairs = templates.select("family", phrases(words(F.col("template"))).alias("pairs")).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
     # One row per family: fixed size.
-    near = rated.join(F.broadcast(pairs), "family", "left").withColumn("own", F.concat(grams(F.col("w"), 2), F.array_distinct("w")))
-    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.greatest(F.size(t), F.lit(1))))
+    near = rated.join(F.broadcast(pairs), "family", "left")
+    # Only families have templates; the row's own pairs are made once for all of them.
+    match = lambda own: F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, own)) / F.greatest(F.size(t), F.lit(1))))
+    share = F.when(F.col("templates").isNotNull(), F.transform(F.array(F.concat(grams(F.col("w"), 2), F.array_distinct("w"))), match)[0])
     near = near.withColumn("similarity", F.coalesce(share, F.lit(0.0))).withColumn("ok", F.col("similarity") >= CONFIRM)
     states = F.col("family") != NONE
     blocks = lambda joined: F.collect_set(F.when(states & (F.col("joined") == joined), F.col("block")))
