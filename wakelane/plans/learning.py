@@ -53,15 +53,15 @@ def g6_enn(spark, d):
 
 def g7_smote_tomek(spark, d):
     m = _narrow(spark, d)
-    return resample.with_smote(m, "y", 0.5, 21, after=lambda x: resample.tomek_links(x, "y")).groupBy("y").agg(F.count("*").alias("n"))
+    return resample.with_smote(m, "y", 0.5, 21, after=lambda x: resample.tomek_links(x, "y")).select("id", "y")
 
 
 def g7_smote_enn(spark, d):
-    return resample.with_smote(_narrow(spark, d), "y", 0.5, 21, after=lambda x: resample.enn(x, "y")).groupBy("y").agg(F.count("*").alias("n"))
+    return resample.with_smote(_narrow(spark, d), "y", 0.5, 21, after=lambda x: resample.enn(x, "y")).select("id", "y")
 
 
 def g8_smote_rus(spark, d):
-    return resample.with_smote(_narrow(spark, d), "y", 0.5, 21, after=lambda x: resample.random_undersample(x, "y", "id", 0.8, 9)).groupBy("y").agg(F.count("*").alias("n"))
+    return resample.with_smote(_narrow(spark, d), "y", 0.5, 21, after=lambda x: resample.random_undersample(x, "y", "id", 0.8, 9)).select("id", "y")
 
 
 def g9_subjectwise_rus(spark, d):
@@ -248,9 +248,14 @@ _IDX = f"{_CS}, qq AS (SELECT f, quantile_cont(v, [{', '.join(str(k / 8) for k i
 _AUC = "sum(pos * rank) AS r, sum(pos) AS p, sum(n - pos) AS q"
 _RK = lambda keys, src, v: f"c0 AS (SELECT {keys}, {v} AS score, count(*) AS n, sum(y) AS pos FROM {src} GROUP BY ALL), rk AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY score) - n + (n + 1) / 2 AS rank FROM c0), au AS (SELECT {keys}, (r - p * (p + 1) / 2) / nullif(p * q, 0) AS auc FROM (SELECT {keys}, {_AUC} FROM rk GROUP BY 1))"
 _LO, _HI = "(SELECT count(*) FROM m8 WHERE y = 1)", "(SELECT count(*) FROM m8 WHERE y = 0)"
+_SMOTE = f"{_M8}, nr AS (SELECT a.id AS parent, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 1 AND b.y = 1), nl AS (SELECT parent, list(id ORDER BY k) AS near FROM nr WHERE k <= 5 GROUP BY 1), pl AS (SELECT id AS parent, vec AS va, row_number() OVER (ORDER BY md5('21:' || id), id) AS place FROM m8 WHERE y = 1), nw AS (SELECT unnest(generate_series(1, CAST(floor({_HI} * 0.5) AS BIGINT) - {_LO})) AS n), pk AS (SELECT n, pl.parent, va, near[CAST(floor({_UQ(22, 'n')} * len(near)) AS INTEGER) + 1] AS neighbour, {_UQ(23, 'n')} AS u FROM nw JOIN pl ON place = (n - 1) % {_LO} + 1 JOIN nl ON nl.parent = pl.parent)"
+_SMOTED = _SMOTE + ", al AS (SELECT id, y, vec FROM m8 UNION ALL SELECT -n, 1, list_transform(generate_series(1, 64), lambda i: va[i] + u * (b.vec[i] - va[i])) FROM pk JOIN m8 b ON b.id = neighbour)"
 ORACLES = {
     "g1_random_undersample": f"WITH {MATRIX} SELECT id, y FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('9:' || id), id) AS k FROM m) WHERE y = 1 OR k <= floor((SELECT count(*) FROM m WHERE y = 1) / 0.5)",
-    "g2_smote": f"WITH {_M8}, nr AS (SELECT a.id AS parent, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 1 AND b.y = 1), nl AS (SELECT parent, list(id ORDER BY k) AS near FROM nr WHERE k <= 5 GROUP BY 1), pl AS (SELECT id AS parent, vec AS va, row_number() OVER (ORDER BY md5('21:' || id), id) AS place FROM m8 WHERE y = 1), nw AS (SELECT unnest(generate_series(1, CAST(floor({_HI} * 0.5) AS BIGINT) - {_LO})) AS n), pk AS (SELECT n, pl.parent, va, near[CAST(floor({_UQ(22, 'n')} * len(near)) AS INTEGER) + 1] AS neighbour, {_UQ(23, 'n')} AS u FROM nw JOIN pl ON place = (n - 1) % {_LO} + 1 JOIN nl ON nl.parent = pl.parent) SELECT n, parent, neighbour, {r('va[1] + u * (b.vec[1] - va[1])')} AS v1, {r('va[8] + u * (b.vec[8] - va[8])')} AS v8 FROM pk JOIN m8 b ON b.id = neighbour",
+    "g2_smote": f"WITH {_SMOTE} SELECT n, parent, neighbour, {r('va[1] + u * (b.vec[1] - va[1])')} AS v1, {r('va[8] + u * (b.vec[8] - va[8])')} AS v8 FROM pk JOIN m8 b ON b.id = neighbour",
+    "g7_smote_tomek": f"WITH {_SMOTED}, n2 AS (SELECT a.id AS a, b.id AS b, a.y AS ya, b.y AS yb, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM al a JOIN al b ON a.id <> b.id), n1 AS (SELECT * FROM n2 WHERE k = 1) SELECT id, y FROM al WHERE id NOT IN (SELECT x.a FROM n1 x JOIN n1 z ON x.a = z.b AND x.b = z.a WHERE x.ya = 0 AND x.yb = 1)",
+    "g7_smote_enn": f"WITH {_SMOTED}, n2 AS (SELECT a.id AS a, b.y AS yb, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM al a JOIN al b ON a.id <> b.id WHERE a.y = 0) SELECT id, y FROM al WHERE id NOT IN (SELECT a FROM n2 WHERE k <= 3 AND yb = 1)",
+    "g8_smote_rus": f"WITH {_SMOTED} SELECT id, y FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('9:' || id), id) AS k FROM al) WHERE y = 1 OR k <= floor((SELECT count(*) FROM al WHERE y = 1) / 0.8)",
     "g3_adasyn": f"WITH {_M8}, nr AS (SELECT a.id, b.y, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 1), sh AS (SELECT id, avg(1 - y) AS share FROM nr WHERE k <= 5 GROUP BY 1) SELECT id, {r('share')} AS share, CAST(round(share / (SELECT sum(share) FROM sh) * ({_HI} - {_LO})) AS BIGINT) AS new_rows FROM sh",
     "g3_adasyn_rows": f"WITH {_M8}, nr AS (SELECT a.id, b.id AS other, b.y, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS k, row_number() OVER (PARTITION BY a.id, b.y ORDER BY {_DIST}, b.id) AS ky FROM m8 a JOIN m8 b ON a.id <> b.id WHERE a.y = 1), sh AS (SELECT id, avg(1 - y) AS share FROM nr WHERE k <= 5 GROUP BY 1), nw AS (SELECT id AS parent, unnest(generate_series(1, CAST(round(share / (SELECT sum(share) FROM sh) * ({_HI} - {_LO})) AS BIGINT))) AS i FROM sh), nl AS (SELECT id AS parent, list(other ORDER BY ky) AS near FROM nr WHERE y = 1 AND ky <= 5 GROUP BY 1), pk AS (SELECT parent, i, near[CAST(floor({_UQ(32, 'parent || $$:$$ || i')} * len(near)) AS INTEGER) + 1] AS neighbour, {_UQ(33, 'parent || $$:$$ || i')} AS u FROM nw JOIN nl USING (parent)) SELECT parent, i, neighbour, {r('a.vec[1] + u * (b.vec[1] - a.vec[1])')} AS v1, {r('a.vec[8] + u * (b.vec[8] - a.vec[8])')} AS v8 FROM pk JOIN m8 a ON a.id = parent JOIN m8 b ON b.id = neighbour",
     "g12_sigma_modes": f"WITH {long_matrix(N)}, p AS (SELECT f, abs(avg(v)) / stddev_pop(v) AS snr, stddev_pop(v) / abs(avg(v)) AS cv, (avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0)) ** 2 AS gap, stddev_pop(v) FILTER (y = 1) AS s1, stddev_pop(v) FILTER (y = 1) / (abs(avg(v) FILTER (y = 1)) + 1e-10) AS cv1 FROM lm GROUP BY 1), s AS (SELECT median(snr) AS snr, median(cv) AS cv, sqrt(sum(gap)) AS gap, avg(s1) AS s1, median(cv1) AS cv1 FROM p), w AS (SELECT 'snr' AS method, greatest(0.005, least(0.1, 0.1 / (1 + snr))) AS j, greatest(0.02, least(0.2, cv * 0.5)) AS c FROM s UNION ALL SELECT 'cv', greatest(0.01, least(0.1, cv * 0.1)), greatest(0.05, least(0.2, cv * 0.3)) FROM s UNION ALL SELECT 'interclass', greatest(0.005, least(0.1, s1 / gap * 0.5)), greatest(0.02, least(0.15, cv1 * 0.3)) FROM s UNION ALL SELECT 'conservative', 0.01, 0.05) SELECT method, {r('j')} AS jitter_sigma, {r('c')} AS scale_sigma FROM w",
