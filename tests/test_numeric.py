@@ -79,7 +79,7 @@ def test_dtw_against_full_table():
         for i in range(len(x)):
             for j in range(len(y)):
                 c[i + 1, j + 1] = (x[i] - y[j]) ** 2 + min(c[i, j], c[i, j + 1], c[i + 1, j])
-        assert domain.dtw_of(x, y) == pytest.approx(math.sqrt(c[-1, -1]))
+        assert domain.dtw_many([x], [y])[0] == pytest.approx(math.sqrt(c[-1, -1]))
 
 
 def test_tails():
