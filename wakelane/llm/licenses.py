@@ -235,14 +235,30 @@ def triggers(vocabulary: list[str], weights: np.ndarray, intercepts: np.ndarray,
     return sorted(kept)
 
 
+def known(tokens: Column, vocabulary: list[str]) -> Column:
+    """The word array with null in place of the words that stand in no n-gram of the vocabulary."""
+    own = sorted({w for g in vocabulary for w in g.split(" ")})
+    return F.transform(tokens, lambda w: F.when(w.isin(own), w))
+
+
+def known_features(tokens: Column) -> Column:
+    """n-grams of a word array that have no null, repeated ones included: all that a vocabulary can find in it."""
+    grown = tokens
+    parts = [tokens]
+    for n in range(2, NGRAMS + 1):
+        grown = F.zip_with(grown, F.slice(tokens, n, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b))
+        parts.append(grown)
+    return F.array_compact(F.concat(*parts))
+
+
 def needs(tokens: Column, some: list[str] | None) -> Column:
-    """Whether a word array needs scores, by triggers()."""
-    return F.lit(True) if some is None else F.arrays_overlap(tokens, F.array(*map(F.lit, some)).cast("array<string>"))
+    """Whether a word array, maybe with nulls, needs scores, by triggers()."""
+    return F.lit(True) if some is None else F.coalesce(F.exists(tokens, lambda w: w.isin(some)), F.lit(False))
 
 
-def paragraphs(text: Column, some: list[str] | None) -> Column:
-    """Words of each line of each paragraph (between blank lines) of the whole text that needs scores."""
-    blocks = F.transform(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda b: F.transform(F.split(b, "\n"), words))
+def paragraphs(text: Column, some: list[str] | None, vocabulary: list[str]) -> Column:
+    """known() words of each line of each paragraph (between blank lines) of the whole text that needs scores."""
+    blocks = F.transform(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda b: F.transform(F.split(b, "\n"), lambda line: known(words(line), vocabulary)))
     return F.filter(blocks, lambda b: F.exists(b, lambda w: needs(w, some)))
 
 
@@ -369,12 +385,12 @@ def scan(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("doc_id"), paragraphs(text, classifier.some).alias("found"))
+    docs = df.select(F.col(id_col).alias("doc_id"), paragraphs(text, classifier.some, classifier.vectors.vocabulary).alias("found"))
     # Written, so that the texts are read and cut into words once.
     cued = written(docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode_outer("found").alias("block", "lines")), "license-paragraphs")
     bare = cued.where("lines IS NULL")
     scored = cued.where("lines IS NOT NULL").select("doc_id", "row", "block", F.inline(units(F.col("lines"), classifier.some)))
-    rated = classifier.apply(scored.select("doc_id", "row", "block", "joined", "w", features(F.col("w")).alias("grams"))).drop("grams")
+    rated = classifier.apply(scored.select("doc_id", "row", "block", "joined", "w", known_features(F.col("w")).alias("grams"))).drop("grams")
     templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string")
     pairs = templates.select("family", phrases(words(F.col("template"))).alias("pairs")).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
     # One row per family: fixed size.
