@@ -158,6 +158,22 @@ def test_paragraphs_without_triggers_are_none(spark):
     assert rated.count() > 100 and rated.where("family <> 'none'").count() == 0
 
 
+def test_known_features_are_the_n_grams_of_the_vocabulary(spark):
+    vocabulary = ["mit", "the mit", "the mit license", "of the"]
+    texts = ["", "the", "of the mit license", "the red mit license of the mit", "zzz zzz", "mit mit the the mit license", "of", "license of"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", licenses.words(F.col("text")).alias("w"))
+    got = {r.i: (r.k, r.g) for r in df.select("i", licenses.known(F.col("w"), vocabulary).alias("k"), licenses.known_features(licenses.known(F.col("w"), vocabulary)).alias("g")).collect()}
+    own = {"mit", "the", "license", "of"}
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = [w[j : j + n] for n in (1, 2, 3) for j in range(len(w) - n + 1)]
+        assert got[i][0] == [x if x in own else None for x in w]
+        assert sorted(got[i][1]) == sorted(" ".join(g) for g in grams if own.issuperset(g))
+    # Masked words find the triggers that the plain ones do.
+    both = df.select(licenses.needs(F.col("w"), ["license", "mit"]).alias("a"), licenses.needs(licenses.known(F.col("w"), vocabulary), ["license", "mit"]).alias("b")).collect()
+    assert all(r.a == r.b for r in both) and [r.a for r in both] == [False, False, True, True, False, True, False, True]
+
+
 def test_wrapped_notices(spark):
     notices = {
         "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
