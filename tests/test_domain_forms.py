@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wakelane import registry
 from wakelane.functions.columns import hash_order
 from wakelane.operators import domain, manymodels, models, primitives, resample, split
 
@@ -252,3 +253,9 @@ def test_dbscan_writes_no_table_of_pairs(spark, tmp_path, monkeypatch):
     got = {r.s: r.cluster for r in domain.dbscan_points(near.unionByName(far), 1.0, 3).collect()}
     want = dict.fromkeys(range(3000), 0) | dict.fromkeys(range(5000, 5005)) | dict.fromkeys(range(5005, 5009), 5005)
     assert got == want and max(size) < 10_000
+
+
+def test_grid_is_joined_once(spark):
+    """The plan over the result grid reads its few cells, and no longer the tables that it came from."""
+    files = registry.QUERIES["j36_tradeoff_pattern"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f or "orders" in f for f in files)

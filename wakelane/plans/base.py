@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakelane.functions.columns import OFF_TIE
+from wakelane.functions.storage import written
 from wakelane.operators.primitives import row_index, sliding_frames
 
 SIZE, STEP, RATE = 16, 8, 60.0
@@ -43,11 +44,14 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem x orders as a result grid: condition, mode, distance, level, seed and a metric per cell and block."""
+    """lineitem x orders as a result grid: condition, mode, distance, level, seed and a metric per cell and block.
+
+    The cells are few and written once: plans refer to them many times, and each would join the tables again.
+    """
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     rows = li.join(o, li.l_orderkey == o.o_orderkey)
     cell = [F.col("o_orderpriority").alias("condition"), F.col("l_returnflag").alias("mode"), F.col("o_orderstatus").alias("distance"), F.col("l_linestatus").alias("level"), F.month("l_shipdate").alias("seed")]
-    return rows.groupBy(*cell).agg(F.round(F.avg("l_discount"), 6).alias("f2"), F.round(F.avg("l_tax"), 6).alias("auc"), F.round(F.avg("l_quantity"), 6).alias("recall"))
+    return written(rows.groupBy(*cell).agg(F.round(F.avg("l_discount"), 6).alias("f2"), F.round(F.avg("l_tax"), 6).alias("auc"), F.round(F.avg("l_quantity"), 6).alias("recall")), "grid")
 
 
 def r(sql: str, digits: int = 6) -> str:
