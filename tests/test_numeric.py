@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wakelane.functions import tails
-from wakelane.operators import domain, windows
+from wakelane.operators import domain, primitives, windows
 from wakelane.operators.labels import event_ranges
 from wakelane.operators.metrics import classification_metrics, roc_auc
 from wakelane.functions.tails import u_exact
@@ -170,3 +171,33 @@ def test_intervals_hold_the_means(spark):
     rows = [("m", c, s, v + 0.1 * s) for c, v in (("base", 0.0), ("x", 1.0)) for s in range(8)]
     r = compare_intervals(spark.createDataFrame(rows, "k string, c string, block int, v double"), ["k"], "block", "c", "base", "v", 200).first()
     assert r.base_lo < 0.35 < r.base_hi and r.lo < 1.35 < r.hi and r.lo - r.base_lo == pytest.approx(1.0)
+
+
+def test_knn_join_ships_vectors_seldom(spark, monkeypatch):
+    """A row is sent to every block of queries: SPREAD at most until they are of MOST vectors, more for long vectors only."""
+    monkeypatch.setattr(primitives, "BLOCK", 20)
+    monkeypatch.setattr(primitives, "MOST", 80)
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 4, (400, 3)).astype(float)
+    rows = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "id long, vec array<double>")
+    out = primitives.knn_join(rows, rows, 3)
+    got = {(r.query_id, r["rank"]): (r.id, r.dist) for r in out.collect()}
+    for q in range(400):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        want = [i for i in sorted(range(400), key=lambda i: (d[i], i)) if i != q][:3]
+        assert [got[q, k + 1] for k in range(3)] == [(i, d[i]) for i in want]
+    count = lambda df: df.agg(primitives.block_count("vec").alias("n")).first()["n"]
+    wide = rows.select("id", F.array_repeat(F.col("vec")[0], 640).alias("vec"))
+    assert [count(d) for d in (rows.where("id < 90"), rows, rows.union(rows), wide)] == [5, 8, 10, 50]
+
+
+def test_nearest_among_copies_is_bounded(monkeypatch):
+    """All rows are copies: every one is a candidate, and they are measured some at a time."""
+    import tracemalloc
+
+    rows = np.ones((4000, 64))
+    tracemalloc.start()
+    q, i, d = primitives.nearest(np.arange(64), rows[:64], np.arange(4000), rows, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert i[:4].tolist() == [1, 2, 0, 2] and not d.any() and peak < 150e6

@@ -188,8 +188,11 @@ def pair_blocks(subjects: DataFrame, key: str, per_pairs, schema: str, subjects_
     return dealt.groupBy("_x", "_y").applyInPandas(run, f"a {kind}, b {kind}, {schema}")
 
 
-#: Rows and queries of one task of a kNN join, and queries of one matrix product in it.
-ROW_BLOCK, QUERY_BLOCK, PRODUCT_BLOCK = 8192, 8192, 256
+#: A kNN join's blocks of rows and of queries: BLOCK vectors or less while they are at most SPREAD blocks, so that there are
+#: enough tasks, and MOST beyond, which a vector is shipped least often with; longer vectors than WIDTH make blocks smaller.
+BLOCK, SPREAD, MOST, WIDTH = 8192, 8, 32768, 64
+#: Queries of one matrix product in a task, and candidates measured at a time.
+PRODUCT_BLOCK, CANDIDATES = 64, 1 << 16
 
 
 def nearest(ids: np.ndarray, queries: np.ndarray, names: np.ndarray, rows: np.ndarray, k: int, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,8 +217,10 @@ def nearest(ids: np.ndarray, queries: np.ndarray, names: np.ndarray, rows: np.nd
         near[own[:, None] == names[None]] = np.inf
         kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
         i, j = np.nonzero((near <= (kth + slack)[:, None]) & np.isfinite(near))
-        apart = rows[j] - q[i]
-        d = np.abs(apart).sum(1) if metric == "cityblock" else np.sqrt((apart * apart).sum(1))
+        d = np.empty(len(i))
+        for at in range(0, len(i), CANDIDATES):  # many where rows are copies of each other
+            apart = rows[j[at : at + CANDIDATES]] - q[i[at : at + CANDIDATES]]
+            d[at : at + CANDIDATES] = np.abs(apart).sum(1) if metric == "cityblock" else np.sqrt((apart * apart).sum(1))
         best = np.lexsort((names[j], d, i))
         i, j, d = i[best], j[best], d[best]
         keep = np.arange(len(i)) - np.searchsorted(i, i) < k
@@ -223,17 +228,31 @@ def nearest(ids: np.ndarray, queries: np.ndarray, names: np.ndarray, rows: np.nd
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def block_count(vec_col: str) -> Column:
+    """Blocks of a key's vectors, an aggregate."""
+    full = F.count("*") * F.greatest(F.max(F.size(vec_col)), F.lit(WIDTH)) / WIDTH  # in vectors of WIDTH components
+    return F.greatest(F.ceil(full / MOST), F.least(F.lit(SPREAD).cast("long"), F.ceil(full / BLOCK))).cast("int")
+
+
+def stacked(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as a matrix, without an object a row."""
+    if column.null_count or pc.count_distinct(pc.list_value_length(column)).as_py() > 1:
+        raise ValueError("vectors must not be null, and must be of one length")
+    values = pc.list_flatten(column).cast(pa.float64())
+    return values.to_numpy().reshape(len(column), -1)
+
+
 def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", keys: Sequence[str] = (), metric: str = "euclidean") -> DataFrame:
     """The k nearest other rows of each query: (keys, query_id, id, dist, rank).
 
     Each key's queries and rows are dealt into as many blocks as their counts
-    ask for, so a task holds at most about QUERY_BLOCK queries and ROW_BLOCK
-    rows whatever the input; every block of queries meets every block of rows,
-    and blocks' candidates are merged. Ties go to the smaller id.
+    ask for, so a task holds at most about MOST queries and MOST rows whatever
+    the input; every block of queries meets every block of rows, and blocks'
+    candidates are merged. Ties go to the smaller id.
     """
-    blocks = lambda df, size, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = lambda df, name: df.groupBy(*keys).agg(block_count(vec_col).alias(name))
     with_blocks = lambda df, sizes: df.join(sizes, list(keys)) if keys else df.join(F.broadcast(sizes))
-    sizes = with_blocks(blocks(queries, QUERY_BLOCK, "_qn"), blocks(rows, ROW_BLOCK, "_rn"))
+    sizes = with_blocks(blocks(queries, "_qn"), blocks(rows, "_rn"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = lambda df, kind: with_blocks(df.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.lit(kind).alias("kind")), sizes)
@@ -241,15 +260,15 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", ve
     r = base(rows, 1).where("_qn > 0").withColumn("rb", own("_rn")).withColumn("qb", every("_qn"))
     dealt = q.drop("_qn", "_rn").unionByName(r.drop("_qn", "_rn"))
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, rs = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
-        if qs.empty or rs.empty:
-            return pd.DataFrame({**{c: pdf[c][:0] for c in keys}, "query_id": pdf.id[:0], "id": pdf.id[:0], "dist": np.zeros(0)})
-        found = nearest(qs.id.to_numpy(), np.stack(qs.vec), rs.id.to_numpy(), np.stack(rs.vec), k, metric)
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, **dict(zip(("query_id", "id", "dist"), found))})
+    def near(group: pa.Table) -> pa.Table:
+        stored, ids, vec = group["kind"].to_numpy() == 1, group["id"].to_numpy(), stacked(group["vec"])
+        found = nearest(ids[~stored], vec[~stored], ids[stored], vec[stored], k, metric) if 0 < stored.sum() < len(stored) else (ids[:0], ids[:0], np.zeros(0))
+        kind = group.schema.field("id").type
+        same = [pa.repeat(group[c][0], len(found[0])) for c in keys]
+        return pa.table([*same, pa.array(found[0], kind), pa.array(found[1], kind), pa.array(found[2], pa.float64())], names=[*keys, "query_id", "id", "dist"])
 
     kind = dict(queries.dtypes)
     schema = ", ".join([*(f"`{c}` {kind[c]}" for c in keys), f"query_id {kind[id_col]}", f"id {kind[id_col]}", "dist double"])
-    found = dealt.groupBy(*keys, "qb", "rb").applyInPandas(near, schema)
+    found = dealt.groupBy(*keys, "qb", "rb").applyInArrow(near, schema)
     order = Window.partitionBy(*keys, "query_id").orderBy("dist", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
