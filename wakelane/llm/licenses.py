@@ -183,6 +183,8 @@ WINDOW, STEP = 64, 32
 CONFIRM = 0.6
 #: Probability of a family under which a paragraph is `unknown`; raised by calibration.
 LEAST_PROBABILITY = 0.5
+#: By what `none` leads all other classes, at least, on a text without a known n-gram, in log odds; fits of few negatives fall short of it.
+LEAST_LEAD = 0.5
 
 
 def words(text: Column) -> Column:
@@ -315,10 +317,15 @@ def calibrated(seen: list[tuple[str, str, float]]) -> tuple[float, dict[str, flo
 
 
 class Classifier:
-    """Vocabulary, multinomial logistic regression, class names, the calibrated threshold and triggers()."""
+    """Vocabulary, multinomial logistic regression, class names, the calibrated threshold and triggers().
+
+    The odds of `none` are raised by `lift`, which is 0 where the fit gives it its LEAST_LEAD.
+    """
 
     def __init__(self, vectors: CountVectorizerModel, model: LogisticRegressionModel, classes: list[str], threshold: float, some: list[str] | None = None, figures: dict[str, float] | None = None):
         self.vectors, self.model, self.classes, self.threshold, self.some = vectors, model, classes, threshold, some
+        base = model.interceptVector.toArray()
+        self.lift = max(0.0, float(np.delete(base, classes.index(NONE)).max() + LEAST_LEAD - base[classes.index(NONE)]))
         #: Shares right on left-out notices, by calibrated().
         self.figures = figures or {}
 
@@ -326,6 +333,10 @@ class Classifier:
         """Adds family and probability to rows with an array column grams."""
         out = self.model.transform(self.vectors.transform(df))
         p = vector_to_array("probability")
+        if self.lift:
+            none, odds = self.classes.index(NONE), float(np.exp(self.lift))
+            rest = 1 + (odds - 1) * p[none]
+            p = F.transform(p, lambda x, i: F.when(i == none, x * odds).otherwise(x) / rest)
         best = F.array_max(p)
         name = F.element_at(F.array(*(F.lit(c) for c in self.classes)), F.array_position(p, best).cast("int"))
         sure = F.when(name.isin(NONE, UNKNOWN) | (best >= self.threshold), name).otherwise(UNKNOWN)
@@ -364,9 +375,12 @@ def learn(spark: SparkSession, docs: DataFrame) -> Classifier:
     threshold, figures = calibrated(seen)
     # Words of the negatives, a bounded table, by the number of texts that have them.
     common = rows.where(F.col("label") == NONE).select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w")
-    some = triggers(vectors.vocabulary, last.coefficientMatrix.toArray(), last.interceptVector.toArray(), classes.index(NONE), [r["w"] for r in common.collect()])
+    model = Classifier(vectors, last, classes, threshold, None, figures)
+    base, none = last.interceptVector.toArray().copy(), classes.index(NONE)
+    base[none] += model.lift
+    model.some = triggers(vectors.vocabulary, last.coefficientMatrix.toArray(), base, none, [r["w"] for r in common.collect()])
     rows.unpersist()
-    return Classifier(vectors, last, classes, threshold, some, figures)
+    return model
 
 
 def scan(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
