@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -201,3 +202,35 @@ def test_nearest_among_copies_is_bounded(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert i[:4].tolist() == [1, 2, 0, 2] and not d.any() and peak < 150e6
+
+
+def test_knn_task_holds_each_vector_once():
+    """Batches are let go one by one, and a matrix product's distances are bounded, so a task's memory is little more than its vectors."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    vec, kind = rng.normal(size=(40000, 64)), (np.arange(40000) % 5 > 0).astype("int32")
+    vec[7], waiting = vec[6], []
+
+    def batches():
+        for lo in range(0, 40000, 4000):
+            waiting.append(pa.total_allocated_bytes() - base)
+            names = [f"{i:05d}" for i in range(lo, lo + 4000)]
+            column = pa.array(list(vec[lo : lo + 4000]))
+            yield pa.RecordBatch.from_arrays([pa.array(["a"] * 4000), pa.array(names), column, pa.array(kind[lo : lo + 4000])], names=["g", "id", "vec", "kind"])
+            del column
+
+    base = pa.total_allocated_bytes()
+    tracemalloc.start()
+    out = pa.Table.from_batches(primitives.nearest_in_batches(batches(), 2, ["g"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(waiting) < 3 * 4000 * 64 * 8 and peak < 3 * vec.nbytes
+    got = list(zip(*(out[c].to_pylist() for c in ("g", "query_id", "id", "dist"))))
+    assert len(got) == 16000
+    for q in (0, 5, 39995):
+        d = np.sqrt(((vec - vec[q]) ** 2).sum(1))
+        want = sorted((d[i], i) for i in range(40000) if kind[i] and i != q)[:2]
+        assert [(g, i, x) for g, n, i, x in got if n == f"{q:05d}"] == [("a", f"{i:05d}", pytest.approx(x)) for x, i in want]
+    none = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[1.0]]), pa.array([0], "int32")], names=["id", "vec", "kind"])
+    assert not list(primitives.nearest_in_batches(iter([none, none.slice(0, 0)]), 2, []))

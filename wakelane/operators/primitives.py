@@ -191,8 +191,8 @@ def pair_blocks(subjects: DataFrame, key: str, per_pairs, schema: str, subjects_
 #: A kNN join's blocks of rows and of queries: BLOCK vectors or less while they are at most SPREAD blocks, so that there are
 #: enough tasks, and MOST beyond, which a vector is shipped least often with; longer vectors than WIDTH make blocks smaller.
 BLOCK, SPREAD, MOST, WIDTH = 8192, 8, 32768, 64
-#: Queries of one matrix product in a task, and candidates measured at a time.
-PRODUCT_BLOCK, CANDIDATES = 64, 1 << 16
+#: Queries of one matrix product in a task and distances that it makes, both at most, and candidates measured at a time.
+PRODUCT_BLOCK, DISTANCES, CANDIDATES = 64, 1 << 19, 1 << 16
 
 
 def nearest(ids: np.ndarray, queries: np.ndarray, names: np.ndarray, rows: np.ndarray, k: int, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,18 +201,19 @@ def nearest(ids: np.ndarray, queries: np.ndarray, names: np.ndarray, rows: np.nd
     A matrix product gives squared distances up to rounding; the rows that can
     be among the k nearest within that rounding are then measured exactly.
     """
-    order = np.argsort(names, kind="stable")
-    names, rows = names[order], rows[order]
-    square = (rows * rows).sum(1)
+    square = np.einsum("ij,ij->i", rows, rows)
+    step = max(1, min(PRODUCT_BLOCK, DISTANCES // len(names)))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for lo in range(0, len(ids), PRODUCT_BLOCK):
-        own, q = ids[lo : lo + PRODUCT_BLOCK], queries[lo : lo + PRODUCT_BLOCK]
+    for lo in range(0, len(ids), step):
+        own, q = ids[lo : lo + step], queries[lo : lo + step]
         if metric == "cityblock":
             near = np.stack([np.abs(rows - x).sum(1) for x in q])
             slack = np.zeros(len(q))
         else:
             mine = (q * q).sum(1)
-            near = mine[:, None] + square[None] - 2 * q @ rows.T
+            near = (-2 * q) @ rows.T
+            near += square
+            near += mine[:, None]
             slack = 1e-10 * (mine + square.max())
         near[own[:, None] == names[None]] = np.inf
         kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
@@ -234,12 +235,37 @@ def block_count(vec_col: str) -> Column:
     return F.greatest(F.ceil(full / MOST), F.least(F.lit(SPREAD).cast("long"), F.ceil(full / BLOCK))).cast("int")
 
 
-def stacked(column: pa.ChunkedArray) -> np.ndarray:
+def stacked(column: pa.Array) -> np.ndarray:
     """Lists of one length as a matrix, without an object a row."""
     if column.null_count or pc.count_distinct(pc.list_value_length(column)).as_py() > 1:
         raise ValueError("vectors must not be null, and must be of one length")
     values = pc.list_flatten(column).cast(pa.float64())
-    return values.to_numpy().reshape(len(column), -1)
+    return values.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def nearest_in_batches(batches: Iterator[pa.RecordBatch], k: int, keys: Sequence[str], metric: str = "euclidean") -> Iterator[pa.RecordBatch]:
+    """nearest() of one task: (keys, query_id, id, dist) from batches of (keys, id, vec, kind), where kind 0 are queries and 1 rows.
+
+    A batch is split into its queries and rows as it comes in and let go, so
+    that each vector is held once.
+    """
+    asked, names, rows = [], [], []
+    for b in batches:
+        if b.num_rows:
+            stored, ids, vec = b["kind"].to_numpy() == 1, b["id"].to_numpy(zero_copy_only=False), stacked(b["vec"])
+            asked.append((ids[~stored], vec[~stored]))
+            names.append(ids[stored])
+            rows.append(vec[stored])
+            same, kind = [b[c][0] for c in keys], b.schema.field("id").type
+            del b, vec
+    if not sum(map(len, names)):
+        return
+    names, rows = np.concatenate(names), np.concatenate(rows)
+    for ids, queries in asked:
+        if len(ids):
+            found = nearest(ids, queries, names, rows, k, metric)
+            columns = [*(pa.repeat(c, len(found[0])) for c in same), pa.array(found[0], kind), pa.array(found[1], kind), pa.array(found[2], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "query_id", "id", "dist"])
 
 
 def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", keys: Sequence[str] = (), metric: str = "euclidean") -> DataFrame:
@@ -260,12 +286,8 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", ve
     r = base(rows, 1).where("_qn > 0").withColumn("rb", own("_rn")).withColumn("qb", every("_qn"))
     dealt = q.drop("_qn", "_rn").unionByName(r.drop("_qn", "_rn"))
 
-    def near(group: pa.Table) -> pa.Table:
-        stored, ids, vec = group["kind"].to_numpy() == 1, group["id"].to_numpy(), stacked(group["vec"])
-        found = nearest(ids[~stored], vec[~stored], ids[stored], vec[stored], k, metric) if 0 < stored.sum() < len(stored) else (ids[:0], ids[:0], np.zeros(0))
-        kind = group.schema.field("id").type
-        same = [pa.repeat(group[c][0], len(found[0])) for c in keys]
-        return pa.table([*same, pa.array(found[0], kind), pa.array(found[1], kind), pa.array(found[2], pa.float64())], names=[*keys, "query_id", "id", "dist"])
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return nearest_in_batches(batches, k, keys, metric)
 
     kind = dict(queries.dtypes)
     schema = ", ".join([*(f"`{c}` {kind[c]}" for c in keys), f"query_id {kind[id_col]}", f"id {kind[id_col]}", "dist double"])
