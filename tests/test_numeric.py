@@ -234,3 +234,25 @@ def test_knn_task_holds_each_vector_once():
         assert [(g, i, x) for g, n, i, x in got if n == f"{q:05d}"] == [("a", f"{i:05d}", pytest.approx(x)) for x, i in want]
     none = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[1.0]]), pa.array([0], "int32")], names=["id", "vec", "kind"])
     assert not list(primitives.nearest_in_batches(iter([none, none.slice(0, 0)]), 2, []))
+
+
+def test_knn_task_does_without_pandas():
+    """pandas takes more of a task's process than the vectors of most tasks; ids that are not numbers come back all the same."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+import numpy as np, pyarrow as pa, pyarrow.compute as pc
+from wakelane.operators import primitives
+held = lambda kind, values: pa.Array.from_buffers(kind, len(values), [None, pa.py_buffer(values)])
+ids, kinds = held(pa.int64(), np.array([5, 6, 7, 8])), held(pa.int32(), np.array([0, 1, 1, 1], "int32"))
+vec = pa.ListArray.from_arrays(held(pa.int32(), np.arange(0, 9, 2, dtype="int32")), held(pa.float64(), np.array([0.0, 0, 3, 4, 0, 1, 9, 9])))
+rows = lambda i: pa.RecordBatch.from_arrays([i, vec, kinds], names=["id", "vec", "kind"])
+out, = primitives.nearest_in_batches(iter([rows(ids)]), 2, [])
+print("pandas" in sys.modules, out.to_pydict())
+out, = primitives.nearest_in_batches(iter([rows(pc.cast(ids, pa.string()))]), 2, [])
+print(out.schema.field("id").type, out.to_pydict())
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.splitlines()
+    assert said == ["False {'query_id': [5, 5], 'id': [7, 6], 'dist': [1.0, 5.0]}", "string {'query_id': ['5', '5'], 'id': ['7', '6'], 'dist': [1.0, 5.0]}"]

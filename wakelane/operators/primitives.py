@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -170,6 +169,8 @@ def pair_blocks(subjects: DataFrame, key: str, per_pairs, schema: str, subjects_
     takes the rows of a task (a pandas frame) and the places (i, j) of its
     pairs, and returns the values of the columns that follow a and b in schema.
     """
+    import pandas as pd  # not above: the tasks of a kNN join load this module too and do without
+
     kind = dict(subjects.dtypes)[key]
     blocks = max(1, -(-subjects.count() // subjects_a_block))
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
@@ -235,12 +236,24 @@ def block_count(vec_col: str) -> Column:
     return F.greatest(F.ceil(full / MOST), F.least(F.lit(SPREAD).cast("long"), F.ceil(full / BLOCK))).cast("int")
 
 
+def numpy_of(column: pa.Array) -> np.ndarray:
+    """A column's values. Numbers come by DLPack: to_numpy() loads pandas, which takes some 25 MB of each process of a task."""
+    plain = (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)) and not column.null_count
+    return np.from_dlpack(column) if plain else column.to_numpy(zero_copy_only=False)
+
+
+def arrow_of(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Values as a column. Numbers go by their buffer, as pa.array() loads pandas too."""
+    if values.dtype.kind in "iuf" and pa.from_numpy_dtype(values.dtype) == kind:
+        return pa.Array.from_buffers(kind, len(values), [None, pa.py_buffer(values)])
+    return pa.array(values, kind)
+
+
 def stacked(column: pa.Array) -> np.ndarray:
     """Lists of one length as a matrix, without an object a row."""
     if column.null_count or pc.count_distinct(pc.list_value_length(column)).as_py() > 1:
         raise ValueError("vectors must not be null, and must be of one length")
-    values = pc.list_flatten(column).cast(pa.float64())
-    return values.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return numpy_of(pc.list_flatten(column).cast(pa.float64())).reshape(len(column), -1)
 
 
 def nearest_in_batches(batches: Iterator[pa.RecordBatch], k: int, keys: Sequence[str], metric: str = "euclidean") -> Iterator[pa.RecordBatch]:
@@ -252,19 +265,19 @@ def nearest_in_batches(batches: Iterator[pa.RecordBatch], k: int, keys: Sequence
     asked, names, rows = [], [], []
     for b in batches:
         if b.num_rows:
-            stored, ids, vec = b["kind"].to_numpy() == 1, b["id"].to_numpy(zero_copy_only=False), stacked(b["vec"])
+            stored, ids, vec = numpy_of(b["kind"]) == 1, numpy_of(b["id"]), stacked(b["vec"])
             asked.append((ids[~stored], vec[~stored]))
             names.append(ids[stored])
             rows.append(vec[stored])
             same, kind = [b[c][0] for c in keys], b.schema.field("id").type
-            del b, vec
+            del b, ids, vec
     if not sum(map(len, names)):
         return
     names, rows = np.concatenate(names), np.concatenate(rows)
     for ids, queries in asked:
         if len(ids):
             found = nearest(ids, queries, names, rows, k, metric)
-            columns = [*(pa.repeat(c, len(found[0])) for c in same), pa.array(found[0], kind), pa.array(found[1], kind), pa.array(found[2], pa.float64())]
+            columns = [*(pa.repeat(c, len(found[0])) for c in same), arrow_of(found[0], kind), arrow_of(found[1], kind), arrow_of(found[2], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "query_id", "id", "dist"])
 
 
